@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from oriel.llm import mixing, sharding
+from oriel.llm import line_dedup, media, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_simhash_components": simhash.op3_simhash_components,
+    "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_shard_documents": sharding.op5_shard_documents,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_media_sequences": media.op9_media_sequences,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
 }
