@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oriel.llm import line_dedup, media, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from oriel.llm import line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash_components": simhash.op3_simhash_components,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op5_shard_documents": sharding.op5_shard_documents,
+    "op6_sentence_pieces": pieces.op6_sentence_pieces,
+    "op7_pii_surrogates": pii.op7_pii_surrogates,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media_sequences": media.op9_media_sequences,
     "op10_quality_rules": quality_rules.op10_quality_rules,
