@@ -44,7 +44,7 @@ SERIES_SQL: dict[str, str] = {
     "lead_targets": f"SELECT t_idx, {', '.join(f'lead(ntu, {h}) {W} AS ntu_h{h}' for h in range(1, 7))} FROM {{s}}",
     "diff_features": f"SELECT t_idx, round(ntu - lag(ntu) {W}, 6) AS d_ntu, round(ln(1 + filt) - lag(ln(1 + filt)) {W}, 6) AS d_log_filt, CASE WHEN alum IS NULL THEN 1 ELSE 0 END AS alum_missing FROM {{s}}",
     "cyclic_features": "SELECT t_idx, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) AS year_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) AS year_cos FROM {s}",
-    "poly_interactions": f"SELECT t_idx, round(x, 4) AS x, round(x * x, 4) AS x_squared, round(x * alum, 4) AS x_alum, round(ph * alum, 4) AS ph_alum FROM (SELECT t_idx, lag(rw, 1) {W} AS x, alum, ph FROM {{s}}) z",
+    "poly_interactions": f"SELECT t_idx, round(x, 6) AS x, round(x * x, 4) AS x_squared, round(x * alum, 4) AS x_alum, round(ph * alum, 4) AS ph_alum FROM (SELECT t_idx, lag(rw, 1) {W} AS x, alum, ph FROM {{s}}) z",
     "inverse_link": "SELECT t_idx, CASE WHEN ntu IS NOT NULL THEN round(greatest(0.0, exp(ln(1 + ntu) - 0.1) - 1), 5) END AS back FROM {s}",
     "winsor_standardise": """WITH p AS (SELECT percentile_cont(0.005) WITHIN GROUP (ORDER BY ntu) AS lo, percentile_cont(0.995) WITHIN GROUP (ORDER BY ntu) AS hi, median(ntu) AS mid FROM {s} WHERE t_idx < 240),
         c AS (SELECT t_idx, least(greatest(coalesce(ntu, mid), lo), hi) AS x FROM {s} CROSS JOIN p),
