@@ -16,7 +16,7 @@ where they lie. All of it is SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.session import stage
@@ -43,7 +43,7 @@ TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})"
 #: First come, first served: what one of these matches is no part of a later match.
 PATTERNS = (
     r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
-    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64})(?![\p{L}\p{N}])",
+    r"(?<![\p{L}\p{N}])(?:(?=[a-f]*[0-9])[0-9a-f]{32,64}|(?=[A-F]*[0-9])[0-9A-F]{32,64}|(?:AKIA|ghp_|sk-)[A-Za-z0-9]{16,64})(?![\p{L}\p{N}])",
     rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     r"(?<![\p{L}\p{N}])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -53,6 +53,18 @@ PATTERNS = (
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS)
 
 
+#: What a text with an entity has: a digit, or one of these.
+SIGNS = ("@", "AKIA", "ghp_", "sk-", *MALE_TITLES, *FEMALE_TITLES)
+
+
+def mentions_of(text: Column) -> Column:
+    """The mentions in order; texts without a digit or sign are passed over by plain searches."""
+    may = text.rlike("[0-9]")
+    for sign in SIGNS:
+        may = may | F.contains(text, F.lit(sign))
+    return F.when(may, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -128,7 +140,7 @@ def written_like(m: str, t: str, s: str) -> str:
 
 def entities(texts: DataFrame) -> DataFrame:
     """Distinct rows (type, canonical) of the mentions in a column text."""
-    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("m")).withColumn("type", F.expr(type_of("m")))
+    found = texts.select(F.explode(mentions_of(F.col("text"))).alias("m")).withColumn("type", F.expr(type_of("m")))
     return found.select("type", F.expr(canonical("m", "type")).alias("canonical")).distinct()
 
 
@@ -160,11 +172,11 @@ def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.drop("n_entities")
     texts = docs.select(docs[text_col].alias("text"))
     again = stage(settle(entities(texts), key).where("attempt > 0").select("type", "canonical", "attempt"), "attempts")
-    listed = docs.withColumn("_found", F.regexp_extract_all(docs[text_col], F.lit(ENTITY), F.lit(0)))
+    listed = docs.withColumn("_found", mentions_of(docs[text_col]))
     few = again.limit(MOST_SENT + 1).count()
     attempt = "0"
     if few:
-        mentions = docs.select(docs[id_col].alias("_id"), F.explode(F.regexp_extract_all(docs[text_col], F.lit(ENTITY), F.lit(0))).alias("m")).withColumn("type", F.expr(type_of("m"))).withColumn("canonical", F.expr(canonical("m", "type")))
+        mentions = docs.select(docs[id_col].alias("_id"), F.explode(mentions_of(docs[text_col])).alias("m")).withColumn("type", F.expr(type_of("m"))).withColumn("canonical", F.expr(canonical("m", "type")))
         own = mentions.join(F.broadcast(again) if few <= MOST_SENT else again, ["type", "canonical"])
         own = own.groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "type", "canonical"), "attempt"))).alias("_attempts"))
         own = stage(own, "document-attempts")
