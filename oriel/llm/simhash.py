@@ -65,10 +65,11 @@ def link_bucket(entries: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]
         start, rest = rest[0], rest[1:]
         open_ = [start]
         while open_ and len(rest):
-            near = np.bitwise_count(rest ^ open_.pop()) <= MOST_BITS
+            reached = open_.pop()
+            near = np.bitwise_count(rest ^ reached) <= MOST_BITS
             if near.any():
                 found = rest[near]
-                one.append(np.full(len(found), start))
+                one.append(np.full(len(found), reached))
                 other.append(found)
                 open_.extend(found)
                 rest = rest[~near]

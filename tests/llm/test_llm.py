@@ -1,0 +1,227 @@
+"""Small fixtures with nulls, empty and long texts, repeated rows and clashing columns; brute force beside each operator."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from compare import same
+from pyspark.sql import functions as F
+
+from oriel.llm import line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, registry, sharding, simhash, statistics, toxicity
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{k % 977}x{k % 31}" for k in range(20_000))
+RUN = "\n".join(f"line {k} of a shared run with some words" for k in range(6))
+ROWS = [
+    (1, "alpha\n" + RUN, "b"),
+    (2, RUN + "\nomega", "a"),
+    (3, None, None),
+    (4, "", "a"),
+    (5, LONG, "c"),
+    (6, LONG + " tail", "c"),
+    (7, " \n\t", "a"),
+    (8, "Mail a.b@mail.example.org or +1 (212) 555-0101, 10.1.2.3, Frau Berta Klein", "b"),
+    (8, "Mail a.b@mail.example.org or +1 (212) 555-0101, 10.1.2.3, Frau Berta Klein", "b"),
+    (None, "no id here", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    columns = "doc_id long, text string, source string, fp string, size int, slot string, root string, label string, m string, lines int"
+    return spark.createDataFrame([(*r, "x", 1, "y", "z", "t", "m", 2) for r in ROWS], columns).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("1 = 0")
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    same(registry.QUERIES[name](spark, SF), registry.ORACLES[name], SF)
+
+
+def test_line_dedup(docs, none):
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert out[1]["text"] == ROWS[0][1] and out[2]["text"] == "omega" and out[2]["n_removed"] == 6
+    assert out[3]["text"] is None and out[4]["text"] == "" and out[7]["text"] == " \n\t" and out[8]["n_removed"] == 0
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_mixing(docs, none):
+    out = mixing.mix_documents(docs).collect()
+    assert len(out) == len(ROWS) and sum(r["size"] for r in out) == sum(len(WORD.findall(r[1] or "")) for r in ROWS)
+    by = {}
+    for r in out:
+        assert 0 <= r["taken"] <= 3 * r["size"] and r["target"] <= 3 * r["source_size"] + 1e-6
+        by.setdefault(r["source"], [r["target"], 0, 0])
+        by[r["source"]][1] += r["taken"]
+        by[r["source"]][2] = max(by[r["source"]][2], r["size"])
+    assert all(abs(t - n) <= m / 2 + 1e-6 for t, n, m in by.values())
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix_documents(docs.repartition(5)).collect()))
+    assert mixing.mix_documents(none).count() == 0
+
+
+def brute_print(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    ids, root = sorted(prints), {k: k for k in prints}
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {k: find(k) for k in ids}
+
+
+def test_simhash_on_a_table(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    prints = {k: brute_print(t) for k, t in texts.items()}
+    wanted = brute_components(prints)
+    out = simhash.near_components(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in out} == {k: (prints[k], wanted[k]) for k in texts}
+
+
+def test_simhash_links_of_close_prints(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    prints = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centres for _ in range(60)}
+    wanted = brute_components({p: p for p in prints})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.near_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"))
+    assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
+    roots = {r["node"]: r["root"] for r in simhash.connected_components(links).collect()}
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == g) for g in set(of.values()))
+    assert groups({signed(p): roots.get(signed(p), signed(p)) for p in prints}) == groups({signed(k): signed(v) for k, v in wanted.items()})
+
+
+def test_simhash_cases(docs, none):
+    out = [(r["doc_id"], r["component_id"]) for r in simhash.near_components(docs).collect()]
+    assert Counter(out)[(8, 8)] == 2 and {(3, 3), (4, 3), (7, 3), (5, 5), (6, 5)} <= set(out) and len(out) == len(ROWS)
+    assert simhash.near_components(none).count() == 0 and simhash.drop_near_copies(docs).where("doc_id = 8").count() == 1
+
+
+def test_statistics(docs, none):
+    for r in statistics.text_statistics(docs).collect():
+        for text in [t for k, t, _ in ROWS if k == r["doc_id"]][:1]:
+            words = WORD.findall(text or "")
+            windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+            covered = {i for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for i in range(k, k + 5)}
+            lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+            assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(covered))
+    assert statistics.text_statistics(none).count() == 0
+
+
+@pytest.mark.parametrize("distinct", [3, 40, 9000])
+def test_repeated_words(distinct):
+    ids = np.random.default_rng(distinct).integers(0, distinct, 3000)
+    ids[2000:2040] = ids[100:140]
+    windows = Counter(tuple(ids[k : k + 5]) for k in range(len(ids) - 4))
+    assert statistics.repeated_words(ids, distinct) == len({i for k in range(len(ids) - 4) if windows[tuple(ids[k : k + 5])] > 1 for i in range(k, k + 5)})
+
+
+def test_sharding(docs, none):
+    rows = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    out = sharding.shuffle_into_shards(rows, ["doc_id", "size"], 4).collect()
+    counts = Counter(r["shard"] for r in out)
+    assert sorted(counts.values()) == [2, 2, 3, 3] and all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    again = sharding.shuffle_into_shards(rows.repartition(7), ["doc_id", "size"], 4).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out)) and sharding.shuffle_into_shards(none.select("doc_id", "size"), ["doc_id"], 4).count() == 0
+
+
+def test_hypergeometric_law(spark):
+    n, draws = 4000, sharding.hypergeometric("20", "8", "5", "u")
+    got = Counter(r[0] for r in spark.range(n).selectExpr(f"(id + 0.5D) / {n} as u").selectExpr(draws).collect())
+    from math import comb
+    for k in range(6):
+        assert abs(got[k] / n - comb(8, k) * comb(12, 5 - k) / comb(20, 5)) < 2 / n
+
+
+def test_matrix_margins(spark):
+    sizes = spark.createDataFrame([(0, 100), (1, 7), (3, 250)], "block int, n long")
+    rows = {r["block"]: r["counts"] for r in sharding.communication_matrix(sizes, 4, 5, 3).collect()}
+    assert {b: sum(c) for b, c in rows.items()} == {0: 100, 1: 7, 2: 0, 3: 250} and [sum(c) for c in zip(*rows.values(), strict=True)] == [72, 72, 71, 71, 71]
+
+
+def test_pieces_equal_the_library(spark, docs, none):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    coder = pieces.Encoder(pieces.load_pieces())
+    texts = [r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + ["", " ", "   a  b", "日本 ᚠ\n\té", LONG]
+    got = coder.encode(texts)
+    assert [x.tolist() for x in got] == library.encode(texts) and [coder.decode(x) for x in got] == texts
+    out = pieces.encode_texts(docs, ["doc_id"])
+    assert out.where("not round_trip").count() == 0 and out.where("n_tokens = 0").count() == 2 and pieces.encode_texts(none, ["doc_id"]).count() == 0
+    decoded = out.select("doc_id", pieces.decode_ids(F.col("token_ids"), spark).alias("t")).collect()
+    assert dict(decoded)[8] == ROWS[7][1]
+
+
+def test_pii(docs, none):
+    out = [r for r in pii.replace_entities(docs).collect() if r["doc_id"] == 8]
+    assert out[0]["text"] == out[1]["text"] and out[0]["n_entities"] == 4
+    assert re.fullmatch(r"Mail [a-z]\.[a-z]@[a-z]{4}\.[a-z]{7}\.org or \+1 \(\d{3}\) \d{3}-\d{4}, \d+\.\d+\.\d+\.\d+, Frau [A-Z][a-z]+ [A-Z][a-z]+", out[0]["text"])
+    assert not any(x in out[0]["text"] for x in ("a.b@", "555-0101", "10.1.2.3", "Berta Klein")) and pii.replace_entities(none).count() == 0
+
+
+def test_pii_collisions(spark):
+    settled = pii.settle(spark.range(150).select(F.lit("ip").alias("type"), F.concat(F.lit("1.1.1."), "id").alias("canonical")), "k").collect()
+    made, own = [r["surrogate"] for r in settled], {r["canonical"] for r in settled}
+    assert len(set(made)) == 150 and not own & set(made)
+
+
+def test_media(docs, none, spark):
+    store = docs.select("doc_id", "text").mapInArrow(media._encode, "doc_id long, n_bytes long, digest string, media binary")
+    for r in store.collect():
+        data = next((t or "" for k, t, _ in ROWS if k == r["doc_id"])).encode()
+        samples = media.from_media(bytes(r["media"]))
+        assert samples == media.to_payload(data) and len(samples) % 576 == 0 and hashlib.sha256(samples).hexdigest() == r["digest"]
+    items = media.parse_page("<p>one<br>two</p><figure><img src='sha256:ab' alt='x'><figcaption>a &amp; b</figcaption></figure><script>no</script>three")
+    assert [(i["position"], i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [(0, "text", "one", None, None), (1, "text", "two", None, None), (2, "media", None, "ab", "a & b"), (3, "text", "three", None, None)]
+    assert media.sequences(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))).count() == 0
+    found = media.op9_media_sequences(spark, SF)
+    assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and found.where("payload_sha256 is null or position <> 1").count() == 0
+
+
+
+
+def test_toxicity(spark, docs, none):
+    rows = spark.createDataFrame([(k, f"text {k} " + ("you moron" if k % 3 == 0 else "kind words"), int(k % 3 == 0)) for k in range(60)], "doc_id long, text string, label int")
+    model = toxicity.fit_toxicity(rows)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model, ["doc_id", "label"]).collect()}
+    assert all(0 <= s <= 1 for s in scores.values()) and len(scores) == len({r[0] for r in ROWS})
+    bad = toxicity.score_toxicity(spark.createDataFrame([(1, "a moron here"), (2, "some kind words")], "doc_id long, text string"), model, ["doc_id"]).collect()
+    assert bad[0]["score"] > 0.5 > bad[1]["score"]
+    assert toxicity.fit_toxicity(rows.where("1 = 0"))[1] == 0.0 and toxicity.score_toxicity(none, model, ["doc_id"]).count() == 0
+    assert zlib.crc32(b"5") % 5 == spark.range(5, 6).select((F.crc32(F.col("id").cast("string")) % 5)).first()[0]
+
+
+def test_rules(spark):
+    found = quality_classifier.tree_rules(" If (feature 0 <= 0.5)\n  If (feature 1 <= 2.0)\n   Predict: 0.0\n  Else (feature 1 > 2.0)\n   Predict: 1.0\n Else (feature 0 > 0.5)\n  Predict: 1.0", ["a", "b"])
+    assert found == [(("a", True, 0.5),), (("a", True, 0.5), ("b", True, 2.0)), (("a", True, 0.5), ("b", False, 2.0)), (("a", False, 0.5),)]
+    rows = spark.createDataFrame([(float(k % 10), 1.0, int(k % 10 > 4)) for k in range(200)], "a double, b double, label int")
+    score = quality_classifier.compile_rules(*quality_classifier.fit_rules(rows, ["a", "b"], "label"))
+    assert rows.where((score >= 0.5).cast("int") != F.col("label")).count() == 0
+    assert quality_classifier.fit_rules(rows.where("1 = 0"), ["a", "b"], "label") == ([], 0.0)
+
+
+def test_quality_rules(spark, docs, none):
+    labels = spark.createDataFrame([(k, 1) for k in (1, 2, 5)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality_rules.judge(statistics.text_statistics(docs), labels).collect()}
+    assert out[3]["base_failed"] and not out[3]["kept"] and len(out) == len({r[0] for r in ROWS})
+    assert quality_rules.judge(statistics.text_statistics(none), labels).count() == 0
