@@ -64,7 +64,7 @@ def _slot_sets(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 found = mark_slots(text.as_py(), marks)
                 rows.append(np.flatnonzero(marks[used]).astype(np.int32))
                 marks[found] = False
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), batch.column(1)], ["slots", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]], ["slots", "label", "doc_id"])
 
     return sets
 
@@ -98,7 +98,7 @@ def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float]:
     zero in units of their standard error. Rows with a null label are left out. With no rows or
     a single label the table is zero and the intercept gives the smoothed share of label 1.
     """
-    sample = stage(labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label")), "labelled-texts")
+    sample = stage(labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.col("doc_id").cast("string").alias("doc_id")), "labelled-texts")
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     yes, no = totals.get(1, 0), totals.get(0, 0)
     if not yes or not no:
@@ -110,7 +110,8 @@ def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float]:
     q[counts["slot"]] += counts["no"].to_numpy()
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     used = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:MOST_SLOTS])
-    chosen = sample.mapInArrow(_slot_sets(used), "slots array<int>, label long").toArrow()
+    # In order of ids, as sums in another order would differ in their last bits.
+    chosen = sample.mapInArrow(_slot_sets(used), "slots array<int>, label long, doc_id string").toArrow().sort_by("doc_id")
     sets = chosen.column("slots").combine_chunks()
     columns, sizes = np.asarray(sets.flatten()), np.diff(np.asarray(sets.offsets))
     w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), columns, ratio[used][columns], np.asarray(chosen.column("label"), np.float64), len(used), RIDGE)
