@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
+from oriel.operators.recursion import GAPS_SQL, fill_gaps
+from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
 from oriel.sources import read_table
 
@@ -15,22 +18,36 @@ TAUS = "(VALUES " + ", ".join(f"({t})" for t in range(2, 25, 2)) + ") AS taus(ta
 TAPS = "(VALUES " + ", ".join(f"({k})" for k in range(40)) + ") AS taps(k)"
 
 
-def _fill(text: str, slots: str, ntz: str) -> str:
-    return text.replace("{s}", slots).replace("{taus}", TAUS).replace("{taps}", TAPS).replace("{ntz}", ntz)
+#: A day's rows in order, hashed.
+DIGESTS = {"spark": "sha2(listagg(part, ';') WITHIN GROUP (ORDER BY t_idx), 256)", "duckdb": "sha256(string_agg(part, ';' ORDER BY t_idx))"}
+
+
+def _fill(text: str, slots: str, events: str, ntz: str, engine: str) -> str:
+    parts = {"{s}": slots, "{e}": events, "{taus}": TAUS, "{taps}": TAPS, "{ntz}": ntz, "{digest}": DIGESTS[engine]}
+    for name, part in parts.items():
+        text = text.replace(name, part)
+    return text
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regular_slots(read_table(spark, sf_dir, "events"))
 
 
 def _series_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        slots = regular_slots(read_table(spark, sf_dir, "events"))
-        return spark.sql(_fill(text, "{slots}", "TIMESTAMP_NTZ"), slots=slots)
+        return spark.sql(_fill(text, "{slots}", "{events}", "TIMESTAMP_NTZ", "spark"), slots=_slots(spark, sf_dir), events=read_table(spark, sf_dir, "events"))
 
     return run
 
 
 def _series_oracle(text: str) -> str:
-    own = _fill(text, "slots", "TIMESTAMP")
+    own = _fill(text, "slots", "events", "TIMESTAMP", "duckdb")
     return f"WITH {SLOTS_SQL}" + (", " + own.removeprefix("WITH ") if own.startswith("WITH ") else own)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in SERIES_SQL.items()}
-ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in SERIES_SQL.items()}
+def gap_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_gaps(_slots(spark, sf_dir), "filt", "rw").select("t_idx", F.round("filled", 6).alias("filled"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion}
+ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"}
