@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
 from oriel.operators.recursion import GAPS_SQL, fill_gaps
+from oriel.operators.regression import Ridge, cosine_features, error, fit_ridge, gram, order_grid, permutation_importance, solve
 from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
 from oriel.sources import read_table
@@ -49,5 +51,50 @@ def gap_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_gaps(_slots(spark, sf_dir), "filt", "rw").select("t_idx", F.round("filled", 6).alias("filled"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion}
+FACTORS = {x: [x, f"{x}_1", f"{x}_2"] for x in ("rw", "alum", "ph")}
+#: Slots that models learn from come before this one.
+TRAIN_BEFORE = 240
+
+
+def lagged(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(FACTORS), steps: int = 2) -> DataFrame:
+    """The slots with lags 1 to steps of the named series, over one window."""
+    by = Window.partitionBy("series_id").orderBy("t_idx")
+    return _slots(spark, sf_dir).withColumns({f"{x}_{k}": F.lag(x, k).over(by) for x in names for k in range(1, steps + 1)})
+
+
+def _factor_model(rows: DataFrame) -> Ridge:
+    return fit_ridge(rows.where(F.col("t_idx") < TRAIN_BEFORE), [f for fs in FACTORS.values() for f in fs], "ntu", 1.0, robust=True)
+
+
+def huber_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of a robust fit of ntu on nine lagged features."""
+    m = _factor_model(lagged(spark, sf_dir))
+    return spark.createDataFrame([*zip(m.features, map(float, m.weights), strict=True), ("intercept", m.intercept)], "feature string, weight double")
+
+
+def block_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much each factor matters to huber_ridge() on later slots."""
+    rows = lagged(spark, sf_dir)
+    return permutation_importance(rows.where(F.col("t_idx") >= TRAIN_BEFORE), _factor_model(rows), "ntu", FACTORS)
+
+
+def ar_order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean validation error by order and ridge over four folds of three days."""
+    cell = F.greatest(F.lit(0), F.least(F.lit(4), F.floor((F.col("t_idx") - 180) / 36) + 1))
+    found = order_grid(lagged(spark, sf_dir, ("ntu",), 12), [f"ntu_{k}" for k in range(1, 13)], "ntu", cell, 4, (3, 6, 9, 12), (0.01, 0.1, 1.0, 10.0, 100.0))
+    return spark.createDataFrame(found, "ar_order int, ridge double, rmse double")
+
+
+def cosine_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and later errors of a ridge on 64 random cosine features."""
+    rows = lagged(spark, sf_dir).where("ntu is not null")
+    base = _factor_model(rows)
+    z = [(x - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(base.prepared(), base.mean, base.scale, strict=True)]
+    sums = gram(rows, [*cosine_features(z, 64, 0.05, 11), F.col("ntu")], group=(F.col("t_idx") >= TRAIN_BEFORE).cast("long"))
+    mean, scale, w, b = solve(sums[0], 1.0)
+    return spark.createDataFrame([(("train", "later")[k], int(m[0, 0]), error(m, w / scale, b - float(mean @ (w / scale)))) for k, m in sorted(sums.items())], "part string, n long, rmse double")
+
+
+MODELS = {f.__name__: f for f in (huber_ridge, block_importance, ar_order_grid, cosine_ridge)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS
 ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"}
