@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm.statistics import RATIOS, text_statistics
+from oriel.llm.text import least_hashed
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -90,7 +91,7 @@ def held_out() -> Column:
 def train_on_labels(statistics: DataFrame, labels: DataFrame) -> tuple[list[tuple[Rule, float]], float]:
     """fit_rules() on the statistics of the labelled rows with the least hashes of their ids; of two labels for an id the lower counts."""
     known = labels.where(~held_out()).where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    known = least_hashed(known, MOST_LABELLED)
     return fit_rules(stage(statistics.join(F.broadcast(known), "doc_id"), "labelled"), list(RATIOS), "quality")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm.statistics import COUNTS, RATIOS, text_statistics
+from oriel.llm.text import least_hashed
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -125,7 +126,7 @@ def judge(statistics: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ruled = statistics.withColumn("base_failed", base_failed())
     labelled = stage(ruled.where("not base_failed").join(known, "doc_id").select("doc_id", "quality", *FEATURES), "labelled-statistics")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED).select("quality", *FEATURES).toPandas()
+    sample = least_hashed(labelled, MOST_LABELLED).select("quality", *FEATURES).toPandas()
     rows = sample[list(FEATURES)].to_numpy(np.float64)
     sent = statistics.sparkSession.sparkContext.broadcast(grow_forest(rows[sample["quality"] == 1], rows))
     fields = lambda df: ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), "anomaly double"])

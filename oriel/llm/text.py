@@ -22,3 +22,17 @@ def count_chars(text: Column, chars: str) -> Column:
 def pick(docs: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names, so that others can't clash with them."""
     return docs.select(*[docs[c].alias(k) for k, c in columns.items()])
+
+
+def least_hashed(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """The `most` rows with the least hashes of their ids, in order of hash and id.
+
+    Hashes are spread evenly, so from a count it follows under which hash at least that many
+    lie; only rows under it are sorted, and tasks send few rows however many there are. Should
+    fewer lie there (ids that repeat), all rows are sorted.
+    """
+    total, digest = rows.count(), F.xxhash64(id_col)
+    if total > 4 * most:
+        under = rows.where(digest < -(1 << 63) + int(2 * most / total * (1 << 64)))
+        rows = under if under.count() >= most else rows
+    return rows.orderBy(digest, id_col).limit(most)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oriel.llm.text import least_hashed
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -151,7 +152,7 @@ def held_out() -> Column:
 def train_on_labels(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """fit_toxicity() on the documents with a label that aren't held out; a document with two labels counts once, as toxic if one says so."""
     known = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
+    known = least_hashed(known, MOST_LABELLED)
     return fit_toxicity(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
 
 

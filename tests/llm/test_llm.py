@@ -225,3 +225,12 @@ def test_quality_rules(spark, docs, none):
     out = {r["doc_id"]: r for r in quality_rules.judge(statistics.text_statistics(docs), labels).collect()}
     assert out[3]["base_failed"] and not out[3]["kept"] and len(out) == len({r[0] for r in ROWS})
     assert quality_rules.judge(statistics.text_statistics(none), labels).count() == 0
+
+
+def test_least_hashed_equals_a_whole_sort(spark):
+    from oriel.llm.text import least_hashed
+
+    rows = spark.range(5000).selectExpr("id as doc_id")
+    twice = spark.createDataFrame([(7,)] * 500 + [(None,)], "doc_id long")
+    for df, most in ((rows, 100), (rows, 4999), (twice, 20), (rows.where("false"), 5)):
+        assert least_hashed(df, most).collect() == df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
