@@ -15,7 +15,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that root, so chains shorten by half or more; it ends when no root changes. Rounds are
     written to the shared folder. Repeated edges and loops don't matter; no edges give no rows.
     """
-    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    # Both directions from one evaluation: evaluated twice, edges may come the other way round.
+    ways = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way"))
+    both = stage(ways.select("way.a", "way.b").distinct(), "edges")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))

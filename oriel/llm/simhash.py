@@ -131,7 +131,7 @@ def near_links(fingerprints: DataFrame) -> DataFrame:
             keys = f"concat({keys}, transform(filter(sequence(0, {width - 1}), j -> (shiftright({own}, j) & 1L) = 0L), j -> {own} | shiftleft(1L, j)))"
         entries.append(f"transform({keys}, x -> shiftleft({k}L, 32) | x)")
     filed = fingerprints.selectExpr("fp", f"explode(concat({', '.join(entries)})) as bucket")
-    sorted_ = filed.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
+    sorted_ = filed.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
     return sorted_.mapInArrow(_links, "a long, b long")
 
 

@@ -110,6 +110,21 @@ def test_simhash_links_of_close_prints(spark):
     assert groups({signed(p): roots.get(signed(p), signed(p)) for p in prints}) == groups({signed(k): signed(v) for k, v in wanted.items()})
 
 
+def test_components_of_edges_that_turn_round(spark):
+    """Edges whose direction another evaluation may change, as after a shuffle on a cluster."""
+
+    def turned(batches):
+        import random
+
+        for batch in batches:
+            a, b = batch.columns
+            yield batch if random.random() < 0.5 else batch.from_arrays([b, a], ["a", "b"])
+
+    chain = spark.range(40).selectExpr("id as a", "id + 1 as b").repartition(20).mapInArrow(turned, "a long, b long")
+    for _ in range(3):
+        assert {r["root"] for r in simhash.connected_components(chain).collect()} == {0}
+
+
 def test_simhash_cases(docs, none):
     out = [(r["doc_id"], r["component_id"]) for r in simhash.near_components(docs).collect()]
     assert Counter(out)[(8, 8)] == 2 and {(3, 3), (4, 3), (7, 3), (5, 5), (6, 5)} <= set(out) and len(out) == len(ROWS)
