@@ -8,10 +8,15 @@ same lines: a run with one window or more is always found.
 
 1. Fingerprints that occur at two positions or more are joined back to their positions.
 2. Matches extend both ways: every window that holds such a position is compared, by a
-   128-bit key of its lines, with the first occurrence of the same window. A repeated run is
-   the union of its windows, so this finds its exact ends.
-3. Lines under a window that has an earlier occurrence are deleted. "Earlier" goes by
-   doc_id (null first), then the text's hash, then the line.
+   128-bit key of its lines, with the first occurrence of the same window. To the left, a run
+   is the union of its windows. To the right, the window from the line after its last window
+   goes past its end, so at most `max_lines` - 1 lines are left over: with `extend`, each window
+   is also compared together with the lines after it, up to `max_lines` lines in all. That
+   finds the exact ends of every run that holds a window, whichever earlier place it is from.
+3. Lines under a window, or a window so extended, that has an earlier occurrence are deleted.
+   "Earlier" goes by doc_id (null first), then the text's hash, then the line.
+
+`op1_line_dedup` is held to its SQL, which deletes whole windows only: it runs without `extend`.
 
 Only hashes and positions are shuffled for this; groups are counted and reduced to their first
 position by partial aggregates, and no pairs within a group are made. The texts move once, for
@@ -34,11 +39,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_windows(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
-    """Rows (doc_id, doc_hash, start, lines, at, mark, window): a document's windows.
+def line_windows(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = MAX_LINES, extend: bool = True) -> DataFrame:
+    """Rows (doc_id, doc_hash, start, lines, length, at, mark, windows): a document's windows.
 
-    lines: positions of the window's lines in split(text, newline), from 0; start: the first of
-    them; at: position of the selected line; mark: its hash; window: two hashes of the lines.
+    lines: positions of the window's lines and, with extend, of those after it, max_lines at
+    most, in split(text, newline), from 0; start: the first of them; length: lines of the window
+    itself; at: position of the selected line; mark: its hash; windows: two hashes of the first
+    length lines, of the first length + 1 and so on to all of them.
     """
     words = docs.select("doc_id", "doc_hash", F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0).alias("ls"))
     line = words.select("doc_id", "doc_hash", "ls", F.posexplode("ls").alias("start", "line"))
@@ -57,24 +64,34 @@ def line_windows(docs: DataFrame, min_words: int = MIN_WORDS, max_lines: int = M
     at = F.lit(0)
     for k in range(1, max_lines):
         at = F.when(F.coalesce(shown(k, "h") == least, F.lit(False)), F.lit(k)).otherwise(at)
-    key = F.struct(F.xxhash64("length", *[shown(k, "h") for k in range(max_lines)]).alias("a"), F.xxhash64(F.lit(5), "length", *[shown(k, "g") for k in range(max_lines)]).alias("b"))
-    lines = F.array_compact(F.array(*[shown(k, "i") for k in range(max_lines)]))
-    return line.select("doc_id", "doc_hash", F.col("l0.i").alias("start"), lines.alias("lines"), F.get(lines, at).alias("at"), least.alias("mark"), key.alias("window"))
+    inside = F.array_compact(F.array(*[shown(k, "i") for k in range(max_lines)]))
+    lines = F.array_compact(F.array(*[F.col(f"l{k}.i") for k in range(max_lines)])) if extend else inside
+
+    def key(n: int) -> Column:
+        """Of the first n lines, where the window has no more and the document no fewer."""
+        hashes = F.struct(F.xxhash64(F.lit(n), *[F.col(f"l{k}.h") for k in range(n)]).alias("a"), F.xxhash64(F.lit(5), F.lit(n), *[F.col(f"l{k}.g") for k in range(n)]).alias("b"))
+        fits = (F.col("length") <= n) if extend else (F.col("length") == n)
+        return F.when(fits & F.col(f"l{n - 1}").isNotNull(), hashes)
+
+    windows = F.array_compact(F.array(*[key(n) for n in range(1, max_lines + 1)]))
+    return line.select("doc_id", "doc_hash", F.col("l0.i").alias("start"), lines.alias("lines"), "length", F.get(inside, at).alias("at"), least.alias("mark"), windows.alias("windows"))
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """Rows (doc_id, doc_hash, lines) of windows that occur before."""
+    """Rows (doc_id, doc_hash, lines) of windows, extended or not, that occur before."""
     place = F.struct("doc_id", "doc_hash", "at")
     shared = windows.groupBy("mark").agg(F.min(place).alias("p"), F.max(place).alias("q")).where(F.col("p") != F.col("q")).select("mark")
-    near = windows.join(shared, "mark").select("doc_id", "doc_hash", "start", "lines", "window")
+    near = windows.join(shared, "mark").select("doc_id", "doc_hash", "start", "lines", "length", F.posexplode("windows").alias("more", "window"))
+    near = near.select("doc_id", "doc_hash", "start", F.slice("lines", 1, F.col("length") + F.col("more")).alias("lines"), "window")
     first = near.groupBy("window").agg(F.min(F.struct("doc_id", "doc_hash", "start")).alias("first"), F.max(F.struct("doc_id", "doc_hash", "start")).alias("last")).where(F.col("first") != F.col("last")).select("window", "first")
     return near.join(first, "window").where(F.struct("doc_id", "doc_hash", "start") != F.col("first")).select("doc_id", "doc_hash", "lines")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES, extend: bool = True) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_removed (lines with a word; long).
 
-    Deletes every line under a window of lines that occurs before. Rows equal in id and text
+    Deletes every line of a run of lines that holds a window and occurs before; without extend,
+    every line under a window that occurs before. Rows equal in id and text
     are one document: they get the same result and don't repeat each other. A null text stays
     null and has no lines; an empty text stays empty; a document whose lines all go becomes
     its blank lines or "". The columns n_lines and n_removed of docs itself are replaced.
@@ -82,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.drop("n_lines", "n_removed")
     named = keyed.select(keyed[id_col].alias("doc_id"), F.coalesce(keyed[text_col], F.lit("")).alias("text"))
     hashed = named.withColumn("doc_hash", F.xxhash64("text"))
-    windows = stage(line_windows(hashed, min_words, max_lines), "line-windows")
+    windows = stage(line_windows(hashed, min_words, max_lines, extend), "line-windows")
     gone = repeated_windows(windows).groupBy("doc_id", "doc_hash").agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("doc_hash").alias("_hash"), "_gone")
     out = keyed.join(gone, keyed[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(keyed[text_col], F.lit(""))) == gone["_hash"]), "left").withColumn("_lines", _lines(keyed[text_col]))
@@ -93,7 +110,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
 
 
 OP1_SQL = r"""

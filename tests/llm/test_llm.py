@@ -54,6 +54,33 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def brute_runs(texts):
+    """(doc, line) of every maximal run that starts at an earlier place too and has 50 words or 3 lines."""
+    rows = {d: [x for x in t.split("\n") if WORD.search(x)] for d, t in texts.items()}
+    places, gone = [(d, i) for d in sorted(rows) for i in range(len(rows[d]))], set()
+    for n, (d, i) in enumerate(places):
+        for e, j in places[:n]:
+            k = 0
+            while i + k < len(rows[d]) and j + k < len(rows[e]) and rows[d][i + k] == rows[e][j + k]:
+                k += 1
+            if k >= 3 or sum(len(WORD.findall(x)) for x in rows[d][i : i + k]) >= 50:
+                gone |= {(d, i + m) for m in range(k)}
+    return {d: "\n".join(x for i, x in enumerate(r) if (d, i) not in gone) for d, r in rows.items()}
+
+
+def test_line_dedup_finds_the_ends_of_runs(spark):
+    many = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    run = "\n".join([many("a", 10), many("b", 22), many("c", 93), many("d", 2)])
+    # 3 goes on as 2 does, not as the first place of its window.
+    texts = {1: run + "\nx", 2: many("c", 93) + "\nyes", 3: many("c", 93) + "\nyes", 4: "y\n" + run, 5: run + "\nz"}
+    rng = np.random.default_rng(3)
+    texts |= {10 + d: "\n".join(many("pqrs"[c], [3, 20, 49, 60][c]) for c in rng.integers(0, 4, 7)) for d in range(40)}
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    wanted = brute_runs(texts)
+    assert wanted[3] == "" and wanted[4] == "y" and wanted[5] == "z"
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == wanted
+
+
 def test_mixing(docs, none):
     out = mixing.mix_documents(docs).collect()
     assert len(out) == len(ROWS) and sum(r["size"] for r in out) == sum(len(WORD.findall(r[1] or "")) for r in ROWS)
