@@ -6,6 +6,10 @@ log(p) - log(q), and a logistic regression is fitted on the vectors in which eac
 text holds its ratio. Scoring adds weight * ratio over a
 text's slots: one pass over the text, with a table of 2**18 numbers sent to the executors.
 
+A slot counts only for n-grams of the training texts: the model holds the 64-bit keys of those
+in the slots it uses. Others that share such a slot would fill it the more surely the longer a
+text is, and charge it for n-grams that it doesn't have.
+
 The fit uses at most `MOST_LABELLED` labelled rows, those with the least hashes of their ids.
 """
 
@@ -29,8 +33,8 @@ MOST_LABELLED = 10000
 MOST_SLOTS, RIDGE = 2048, 1e-4
 
 
-def mark_slots(text: str, marks: np.ndarray) -> np.ndarray:
-    """Sets marks at the slots of the text's n-grams; returns the slots with repeats, to clear them."""
+def gram_slots(text: str) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The text's code points, with a space at both ends, and for each width the slot of the n-gram at each place."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
     mixed, slots = codes * np.uint32(0x9E3779B1), []
     for width in range(2, GRAMS[-1] + 1):
@@ -38,12 +42,34 @@ def mark_slots(text: str, marks: np.ndarray) -> np.ndarray:
             break
         mixed = (mixed[:-1] ^ (mixed[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[width - 1 :] * np.uint32(0x9E3779B1)
         if width in GRAMS:
-            slots.append((mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS))
+            slots.append((width, (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - SLOT_BITS)))
+    return codes, slots
+
+
+def mark_slots(text: str, marks: np.ndarray) -> np.ndarray:
+    """Sets marks at the slots of the text's n-grams; returns the slots with repeats, to clear them."""
+    slots = [x for _, x in gram_slots(text)[1]]
     found = np.concatenate(slots) if slots else np.empty(0, np.uint32)
     marks[found] = True
     return found
 
 
+def gram_keys(text: str, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's distinct n-grams in the slots that used marks, in order, and their slots."""
+    codes, slots = gram_slots(text)
+    keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for width, slot in slots:
+        at = np.flatnonzero(used[slot])
+        key = np.full(len(at), width, np.uint64)
+        for k in range(width):
+            key = (key ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        keys.append(key)
+        places.append(slot[at])
+    found, first = np.unique(np.concatenate(keys), return_index=True)
+    return found, np.concatenate(places)[first]
+
+
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with a slot, by label, over one partition."""
     marks, counts = np.zeros(1 << SLOT_BITS, bool), np.zeros((2, 1 << SLOT_BITS), np.int64)
@@ -70,6 +96,15 @@ def _slot_sets(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return sets
 
 
+def _seen_keys(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(gram_keys(text.as_py(), used)[0].view(np.int64))], ["key"])
+
+    return keys
+
+
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic weights and intercept for a sparse matrix (rows, columns, values), by accelerated gradient steps.
 
@@ -92,8 +127,8 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labe
     return w, b
 
 
-def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float]:
-    """(table of 2**18 weights, intercept) from rows (doc_id, text, label 0 or 1), MOST_LABELLED at most.
+def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+    """(table of 2**18 weights, intercept, keys of the n-grams seen in slots with a weight, in order) from rows (doc_id, text, label 0 or 1), MOST_LABELLED at most.
 
     The regression runs over the `MOST_SLOTS` slots whose log-count ratios are furthest from
     zero in units of their standard error. Rows with a null label are left out. With no rows or
@@ -103,7 +138,7 @@ def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float]:
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     yes, no = totals.get(1, 0), totals.get(0, 0)
     if not yes or not no:
-        return np.zeros(1 << SLOT_BITS), float(np.log((yes + 1) / (no + 1)))
+        return np.zeros(1 << SLOT_BITS), float(np.log((yes + 1) / (no + 1))), np.empty(0, np.uint64)
     # One row a slot at most: 2**18, whatever the input.
     counts = sample.mapInArrow(_slot_counts, "slot long, yes long, no long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
     p, q = np.ones(1 << SLOT_BITS), np.ones(1 << SLOT_BITS)
@@ -118,25 +153,27 @@ def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float]:
     w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), columns, ratio[used][columns], np.asarray(chosen.column("label"), np.float64), len(used), RIDGE)
     table = np.zeros(1 << SLOT_BITS)
     table[used] = w * ratio[used]
-    return table, b
+    # Distinct n-grams of the sample in MOST_SLOTS of the slots.
+    seen = sample.mapInArrow(_seen_keys(table != 0), "key long").distinct().toPandas()["key"].to_numpy(np.int64)
+    return table, b, np.sort(seen.view(np.uint64))
 
 
 def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, intercept = model.value
-        marks = np.zeros(1 << SLOT_BITS, bool)
+        table, intercept, seen = model.value
+        used = table != 0
         for batch in batches:
             sums = np.full(batch.num_rows, intercept)
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
-                found = mark_slots(text.as_py() or "", marks)
-                sums[k] += table[np.flatnonzero(marks)].sum()
-                marks[found] = False
+                keys, slots = gram_keys(text.as_py() or "", used)
+                known = np.searchsorted(seen, keys, "right") > np.searchsorted(seen, keys)
+                sums[k] += table[np.unique(slots[known])].sum()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], [*batch.schema.names[:-1], "score"])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of docs and score, from 0 to 1; a null text scores as an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep, docs[text_col].alias("_text"))
@@ -149,7 +186,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def train_on_labels(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     """fit_toxicity() on the documents with a label that aren't held out; a document with two labels counts once, as toxic if one says so."""
     known = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = least_hashed(known, MOST_LABELLED)

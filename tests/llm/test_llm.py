@@ -214,6 +214,17 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert dict(decoded)[8] == ROWS[7][1]
 
 
+def test_toxicity_of_a_very_long_clean_text(spark):
+    rng = np.random.default_rng(5)
+    clean = ["".join(rng.choice(list("aeilnorst "), 300)) for _ in range(60)]
+    rows = [(k, t + (" you moron, zqxj!" if k % 3 == 0 else ""), int(k % 3 == 0)) for k, t in enumerate(clean)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string, label long"))
+    # Drawn from other letters: it shares next to no n-gram with the toxic texts, but fills most slots.
+    long = "".join(rng.choice(np.array(list("bcdfghkpuvwy0123456789 ")), 400_000))
+    scores = dict(toxicity.score_toxicity(spark.createDataFrame([(1, long), (2, long[:300]), (3, "you moron, zqxj!"), (4, long + " you moron, zqxj!")], "doc_id long, text string"), model, ["doc_id"]).collect())
+    assert scores[1] < 0.5 and scores[2] < 0.5 and scores[3] >= 0.5 and scores[4] >= 0.5
+
+
 def test_pii(docs, none):
     out = [r for r in pii.replace_entities(docs).collect() if r["doc_id"] == 8]
     assert out[0]["text"] == out[1]["text"] and out[0]["n_entities"] == 4
