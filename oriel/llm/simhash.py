@@ -1,164 +1,364 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint has 64 bits over 4-word shingles. Two fingerprints that differ in at most 4 bits
-agree, in three segments of 21, 21 and 22 bits, up to one bit in the first or in the second or
-entirely in the third: were it two, two and one, they would differ in five. So a fingerprint is
-filed in a table under each of its segments, and looks up the Hamming balls of radius 1, 1 and
-0 around them. Of two segments that differ in one bit, one has a zero there: it is enough to
-look up the neighbours that set a bit. Every match is verified on all 64 bits.
+A fingerprint has one bit for each of a number of hash bits of the text's word shingles: 1 if
+the bit is set in over half of them. Fingerprints are cut into segments. Each is filed in a
+table under the small Hamming ball of every segment, entries that meet in a table are candidates,
+and candidates are verified by their complete distance. How wide the segments are and how far
+the balls reach follows from the number of distinct fingerprints, so that buckets stay small.
+
+`CLOSE` is the contract of `op3_simhash_components`: 64 bits, 4 words, 4 bits apart at most. By
+the pigeonhole principle no link is lost: the radii plus one add up to five, so two fingerprints
+within four bits lie within the radius in one segment at least.
+
+`SIMILAR` finds texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+Such texts differ in some 15 of 100 bits, for which no segment of a useful width is sure to lie
+in a small ball. So the number of segments is chosen for the wanted recall, the first bits (the
+head) are indexed and compared leniently, and 1,024 bits in all decide.
 
 Equal fingerprints are one entry, so copies cost nothing. In one bucket, entries are linked by
-a search that drops what it has reached: a dense group of b near copies gives b - 1 links and
-about b comparisons with each link's remainder, not b * b / 2 pairs of rows.
+a search that drops what it has reached: a dense group of b near copies gives some b links, not
+b * b / 2 pairs. A bucket of more than `MOST_BUCKET` entries is dealt again by further segments
+within it (again without losing a link of `CLOSE`), so that it spreads over tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm.components import connected_components
+from oriel.llm.text import join_spread, row_hashes
 from oriel.session import stage
 from oriel.sources import read_table
 
-SHINGLE, MOST_BITS, SEED = 4, 4, 42
-#: First bit, width and radius of each segment; the radii plus one add up to MOST_BITS + 1.
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
+SEED = 42
 #: Buckets up to this size are compared by shifted arrays, larger ones by the search.
 SMALL = 24
+#: Buckets above this size are dealt again by further segments.
+MOST_BUCKET = 4096
+
+#: (first bit, width, radius); no segment crosses a border between 64-bit words.
+Segments = tuple[tuple[int, int, int], ...]
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Shingles (words, and whether repeats count), 64-bit words of the fingerprint, bits apart at most, and the similarity meant."""
+
+    shingle: int
+    repeats: bool
+    words: int
+    most: int
+    #: With a similarity the head decides candidates, and the complete fingerprint the links.
+    similarity: float | None = None
+    recall: float = 0.9
+
+
+CLOSE = Scheme(4, True, 1, 4)
+#: 165 of 1,024 bits apart is what texts of similarity 0.8 reach with four in five draws.
+SIMILAR = Scheme(5, False, 16, 165, 0.8)
+
+
+def ball(width: int, radius: int) -> float:
+    """Entries that a segment files on average: a radius of 1 is met by setting bits on one side, of 2 by balls of radius 1 on both."""
+    return (1.0, 1 + width / 2, 1.0 + width)[radius]
+
+
+def exact_segments(n: int, most: int = 4) -> Segments:
+    """Segments of one 64-bit word that lose no link within `most` bits, for n distinct fingerprints.
+
+    Of the splits into s segments with radii that add up to most + 1 - s, the one with the least
+    work: entries, and comparisons within buckets at a twentieth of an entry each.
+    """
+    choices = []
+    for s in range(max(1, -(-(most + 1) // 3)), most + 2):
+        widths = [64 // s + (k >= s - 64 % s) for k in range(s)]
+        radii = [(most + 1) // s - 1 + (k < (most + 1) % s) for k in range(s)]
+        cost = sum(ball(w, r) * (1 + 0.05 * n * ball(w, r) / 2.0**w) for w, r in zip(widths, radii, strict=True))
+        choices.append((cost, tuple((sum(widths[:k]), widths[k], radii[k]) for k in range(s))))
+    return min(choices)[1]
+
 
+def differing(similarity: float) -> float:
+    """Share of bits in which fingerprints of two sets of that Jaccard similarity and equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
-def fingerprint(data: bytes) -> int:
-    """Of a text's UTF-8 bytes, as an unsigned number; 0 without words."""
+
+def head_segments(n: int, similarity: float, recall: float) -> tuple[int, Segments]:
+    """(words of the head, segments) that find a pair of the similarity with at least that probability, for n fingerprints."""
+    p = differing(similarity)
+    width, radius = (16, 1) if n < 1 << 20 else (21, 1) if n < 1 << 26 else (32, 2)
+    hit = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(radius + 1))
+    per_word = 64 // width
+    words = -(-math.ceil(math.log(1 - recall) / math.log(1 - hit)) // per_word)
+    return words, tuple((64 * w + width * k, width, radius) for w in range(words) for k in range(per_word))
+
+
+def head_reach(words: int, similarity: float) -> int:
+    """Bits of the head that a pair of the similarity differs in at most, but for one in 30."""
+    p, bits = differing(similarity), 64 * words
+    return round(bits * p + 1.85 * math.sqrt(bits * p * (1 - p)))
+
+
+def count_bits(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set, by row of a two-dimensional array; eight counters to a 64-bit number."""
+    rows, n = hashes.shape
+    out = np.zeros((rows, 8, 8), np.int64)
+    for k in range(0, n, 255 * 32):
+        part = hashes[:, k : k + 255 * 32]
+        padded = np.zeros((rows, -(-part.shape[1] // 255) * 255), np.uint64)
+        padded[:, : part.shape[1]] = part
+        for b in range(8):
+            lanes = ((padded >> np.uint64(b)) & np.uint64(0x0101010101010101)).reshape(rows, -1, 255).sum(axis=2)
+            out[:, :, b] += lanes.view(np.uint8).reshape(rows, -1, 8).sum(axis=1, dtype=np.int64)
+    return out.reshape(rows, 64)
+
+
+def spread_bits(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The hashes themselves and words - 1 further ones of each, one to a row."""
+    if words == 1:
+        return hashes[None]
+    z = hashes[None] + (np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z[0] = hashes
+    return z
+
+
+def fingerprint(data: bytes, scheme: Scheme = CLOSE) -> np.ndarray:
+    """Of a text's UTF-8 bytes, as unsigned words; zeros without words."""
     words = data.lower().split()  # of bytes: A-Z only, and U+0009 to U+000D and the space only
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    joined, length = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(length + 1) - 1
-    starts, digest = ends - length, xxhash.xxh64_intdigest
-    grams = zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in grams), np.uint64, len(words) - SHINGLE + 1)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        found = np.fromiter((fingerprint(x.as_py() or b"") for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
-
-
-def link_bucket(entries: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that connect the distinct entries of one bucket as all pairs within MOST_BITS would."""
-    rest, one, other = np.unique(entries), [], []
+        return np.zeros(scheme.words, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) < scheme.shingle:
+        hashes = np.array([digest(joined, SEED)], np.uint64)
+    else:
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(length + 1) - 1
+        starts = ends - length
+        grams = zip(starts[: len(words) - scheme.shingle + 1].tolist(), ends[scheme.shingle - 1 :].tolist(), strict=True)
+        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in grams), np.uint64, len(words) - scheme.shingle + 1)
+    if not scheme.repeats:
+        hashes = np.unique(hashes)
+    ones = np.zeros((scheme.words, 64), np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        ones += count_bits(spread_bits(hashes[k : k + (1 << 16)], scheme.words))
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def words_of(column: pa.Array, words: int) -> np.ndarray:
+    """A column of binaries of 8 * words bytes, as a table of unsigned numbers."""
+    if not len(column):
+        return np.zeros((0, words), np.uint64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64).reshape(-1, words)
+
+
+def binaries(table: np.ndarray) -> pa.Array:
+    """The reverse of words_of()."""
+    size = 8 * table.shape[1]
+    offsets = np.arange(len(table) + 1, dtype=np.int32) * np.int32(size)
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _fingerprints(scheme: Scheme, head: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            found = np.array([fingerprint(x.as_py() or b"", scheme) for x in texts], np.uint64).reshape(-1, scheme.words)
+            complete = [binaries(found)] if head < scheme.words else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binaries(found[:, :head]), *complete], [*batch.schema.names[:-1], "fp", *["complete"] * len(complete)])
+
+    return prints
+
+
+def _file(segments: Segments, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries (bucket, fp): each fingerprint under the balls of its segments."""
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                fps = words_of(whole.column(0).slice(at, 2000), words)
+                for k, (first, width, radius) in enumerate(segments):
+                    own = (fps[:, first // 64] >> np.uint64(first % 64)) & np.uint64((1 << width) - 1)
+                    keys, rows = [own], [np.arange(len(fps))]
+                    for j in range(width if radius else 0):
+                        bit = np.uint64(1 << j)
+                        here = np.flatnonzero(own & bit == 0) if radius == 1 else rows[0]
+                        keys.append(own[here] ^ bit)
+                        rows.append(here)
+                    bucket = np.concatenate(keys) | np.uint64(k << 40)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), binaries(fps[np.concatenate(rows)])], ["bucket", "fp"])
+
+    return filed
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def link_bucket(entries: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect the distinct entries of one bucket as all pairs within `most` bits would.
+
+    Each group is also linked to its member nearest to the group's majority of bits, as links
+    to a text that others derive from pass a stricter check best.
+    """
+    rest, found = np.unique(entries, axis=0), []
     while len(rest):
-        start, rest = rest[0], rest[1:]
-        open_ = [start]
-        while open_ and len(rest):
-            reached = open_.pop()
-            near = np.bitwise_count(rest ^ reached) <= MOST_BITS
+        group, waiting, rest = [rest[:1]], [rest[0]], rest[1:]
+        while waiting and len(rest):
+            reached = waiting.pop()
+            near = apart(rest, reached) <= most
             if near.any():
-                found = rest[near]
-                one.append(np.full(len(found), reached))
-                other.append(found)
-                open_.extend(found)
+                new = rest[near]
+                found.append((np.broadcast_to(reached, new.shape), new))
+                group.append(new)
+                waiting.extend(new)
                 rest = rest[~near]
-    return one, other
+        if len(group) > 1:
+            members = np.concatenate(group)
+            middle = np.packbits(2 * count_bits(np.ascontiguousarray(members.T)) > len(members), axis=1, bitorder="little").view(np.uint64)[:, 0]
+            hub = members[np.argmin(apart(members, middle))]
+            off = apart(members, hub)
+            near = members[(off > 0) & (off <= most)]
+            found.append((np.broadcast_to(hub, near.shape), near))
+    return found
 
 
-def _link(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    """Links within buckets; equal buckets stand together."""
+def _link(bucket: np.ndarray, fp: np.ndarray, most: int, deal: bool) -> pa.RecordBatch:
+    """Rows (a, b, again) within buckets, which stand together: links, or entries (a) to be dealt again under `again`."""
     edges = np.flatnonzero(np.diff(bucket)) + 1
     starts, ends = np.r_[0, edges], np.r_[edges, len(bucket)]
-    large = ends - starts > SMALL
-    one, other = [], []
+    large, links, again = ends - starts > SMALL, [], []
     for a, b in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-        more = link_bucket(fp[a:b])
-        one += more[0]
-        other += more[1]
+        if deal and b - a > MOST_BUCKET:
+            base = bucket[a : a + 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) << np.uint64(17)
+            # Within `most` bits, two agree in one of most + 1 further segments of a 64-bit word.
+            for k in range(most + 1):
+                first, last = 64 * k // (most + 1), 64 * (k + 1) // (most + 1)
+                key = (fp[a:b, 0] >> np.uint64(first)) & np.uint64((1 << (last - first)) - 1)
+                again.append((fp[a:b], (key << np.uint64(3) | np.uint64(k)) ^ base))
+        else:
+            links += link_bucket(fp[a:b], most)
     small = ~np.repeat(large, ends - starts)
     bucket, fp = bucket[small], fp[small]
     for d in range(1, SMALL):
-        if len(bucket) <= d:
-            break
         at = np.flatnonzero(bucket[d:] == bucket[:-d])
         if not len(at):
             break
-        apart = np.bitwise_count(fp[at] ^ fp[at + d])
-        at = at[(apart > 0) & (apart <= MOST_BITS)]
-        one.append(fp[at])
-        other.append(fp[at + d])
-    whole = lambda parts: pa.array((np.concatenate(parts) if parts else np.empty(0, np.uint64)).view(np.int64))
-    return pa.RecordBatch.from_arrays([whole(one), whole(other)], ["a", "b"])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket may go on in the next batch, so the last one of a batch waits."""
-    kept_bucket, kept = [], []
-    for batch in batches:
-        bucket, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if not len(bucket):
-            continue
-        kept_bucket.append(bucket)
-        kept.append(fp.view(np.uint64))
-        if bucket[-1] == kept_bucket[0][0]:
-            continue
-        bucket, fp = np.concatenate(kept_bucket), np.concatenate(kept)
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        kept_bucket, kept = [bucket[cut:]], [fp[cut:]]
-        yield _link(bucket[:cut], fp[:cut])
-    if kept:
-        yield _link(np.concatenate(kept_bucket), np.concatenate(kept))
-
-
-def near_links(fingerprints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the distinct fp as all pairs within MOST_BITS bits would."""
-    entries = []
-    for k, (first, width, radius) in enumerate(SEGMENTS):
-        own = f"(shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L)"
-        keys = f"array({own})"
-        if radius:
-            keys = f"concat({keys}, transform(filter(sequence(0, {width - 1}), j -> (shiftright({own}, j) & 1L) = 0L), j -> {own} | shiftleft(1L, j)))"
-        entries.append(f"transform({keys}, x -> shiftleft({k}L, 32) | x)")
-    filed = fingerprints.selectExpr("fp", f"explode(concat({', '.join(entries)})) as bucket")
-    sorted_ = filed.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    return sorted_.mapInArrow(_links, "a long, b long")
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, component_id), one for each row of docs.
+        off = apart(fp[at], fp[at + d])
+        at = at[(off > 0) & (off <= most)]
+        links.append((fp[at], fp[at + d]))
+    none = fp[:0]
+    one, other = (np.concatenate([x[k] for x in links] + [none]) for k in (0, 1))
+    dealt, keys = np.concatenate([x for x, _ in again] + [none]), np.concatenate([k for _, k in again] + [np.empty(0, np.uint64)])
+    numbers = pa.array(np.r_[np.zeros(len(one), np.int64), keys.view(np.int64)], mask=np.r_[np.ones(len(one), bool), np.zeros(len(keys), bool)])
+    return pa.RecordBatch.from_arrays([binaries(np.concatenate([one, dealt])), binaries(np.concatenate([other, dealt])), numbers], ["a", "b", "again"])
+
+
+def _links(words: int, most: int, deal: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket may go on in the next batch, so the last one of a batch waits."""
+        kept_bucket, kept = [], []
+        for batch in batches:
+            bucket, fp = batch.column(0).to_numpy(zero_copy_only=False), words_of(batch.column(1), words)
+            if not len(bucket):
+                continue
+            kept_bucket.append(bucket)
+            kept.append(fp)
+            if bucket[-1] == kept_bucket[0][0]:
+                continue
+            bucket, fp = np.concatenate(kept_bucket), np.concatenate(kept)
+            cut = int(np.searchsorted(bucket, bucket[-1]))
+            kept_bucket, kept = [bucket[cut:]], [fp[cut:]]
+            yield _link(bucket[:cut], fp[:cut], most, deal)
+        if kept:
+            yield _link(np.concatenate(kept_bucket), np.concatenate(kept), most, deal)
+
+    return links
+
+
+def near_links(fingerprints: DataFrame, segments: Segments, words: int, most: int, deal: bool) -> DataFrame:
+    """Distinct links (a, b), a before b, of the distinct binaries fp, that connect those which meet in a bucket as all pairs within `most` bits would."""
+
+    def linked(filed: DataFrame, deal: bool) -> DataFrame:
+        return filed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links(words, most, deal), "a binary, b binary, again long")
+
+    found = stage(linked(fingerprints.select("fp").mapInArrow(_file(segments, words), "bucket long, fp binary"), deal), "links")
+    links = found.where("again is null")
+    if deal and not found.where("again is not null").isEmpty():
+        links = links.union(linked(found.where("again is not null").selectExpr("again as bucket", "a as fp").distinct(), False))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _complete(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = apart(words_of(batch.column(2), words), words_of(batch.column(3), words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(off)], ["a", "b", "bits"])
+
+    return distances
+
+
+def near_groups(docs: DataFrame, keys: list[str], text: Column, scheme: Scheme) -> DataFrame:
+    """Rows (keys, fp, least): a row's fingerprint (its head) and the least struct of keys that links reach, null keys last."""
+    rows = docs.count()
+    words, segments = (scheme.words, ()) if scheme.similarity is None else head_segments(rows, scheme.similarity, scheme.recall)
+    named = docs.select(*keys, text.alias("_text"))
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1]), "fp binary", *["complete binary"] * (words < scheme.words)])
+    # A table of its own: the fingerprints are read several times.
+    prints = stage(named.mapInArrow(_fingerprints(scheme, words), shape), "fingerprints")
+    own = F.struct(F.col(keys[0]).isNull().alias("_null"), *keys)
+    distinct = stage(prints.groupBy("fp").agg(F.min(own).alias("least"), F.count("*").alias("copies"), *[F.min("complete").alias("complete")] * (words < scheme.words)), "distinct-fingerprints")
+    if scheme.similarity is None:
+        links = near_links(distinct, exact_segments(distinct.count(), scheme.most), words, scheme.most, True)
+    else:
+        links = near_links(distinct, segments, words, head_reach(words, scheme.similarity), False)
+        side = lambda x: distinct.select(F.col("fp").alias(x), F.col("complete").alias(f"complete_{x}"))
+        pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "complete_a", "complete_b")
+        links = pairs.mapInArrow(_complete(scheme.words), "a binary, b binary, bits long").where(F.col("bits") <= scheme.most).select("a", "b")
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    linked = stage(distinct.join(roots, "fp").select("fp", "root", "least", "copies"), "linked-fingerprints")
+    first = linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    merged = join_spread(linked, first, ["root"], "n", linked.count()).select("fp", "first")
+    named = distinct.select("fp", "least", "copies").join(merged, "fp", "left").select("fp", "copies", F.coalesce("first", "least").alias("least"))
+    return join_spread(prints.drop("complete"), stage(named, "named-fingerprints"), ["fp"], "copies", rows).drop("copies")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
+    """Rows (doc_id, fp, component_id), one for each row of docs; fp: the (head of the) fingerprint, 64-bit words of 8 bytes, least significant first.
 
     component_id: the least doc_id that links reach, the row's own included. Null and empty
     texts have fingerprint zero and link like others; repeated rows share a component; a null
     doc_id counts only where a component has no other. An empty table gives no rows.
     """
-    # A table of its own: the fingerprints are read three times.
-    prints = stage(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "fingerprints")
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = connected_components(near_links(distinct)).withColumnRenamed("node", "fp")
-    linked = distinct.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    merged = linked.join(least, "root").select("fp", "component_id")
-    named = distinct.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    found = near_groups(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), ["doc_id"], F.col("text"), scheme)
+    return found.select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = SIMILAR) -> DataFrame:
+    """One row of docs for each group of near copies: the least by id (null last), then by two hashes of all columns.
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's; of rows with the same id, one stays."""
-    kept = near_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates([id_col])
+    Rows are told apart by these hashes, so rows without an id and different rows with one id
+    each count. Of wholly equal rows one stays. A null text counts as an empty one, and all
+    texts without words are copies of each other. Only columns that Spark can hash may be there.
+    """
+    keyed, one, two = row_hashes(docs)
+    rows = keyed.select(keyed[id_col].alias("doc_id"), keyed[one].alias("row"), keyed[two].alias("row2"), keyed[text_col].alias("text"))
+    found = near_groups(rows, ["doc_id", "row", "row2"], F.col("text"), scheme)
+    kept = found.where((F.col("least.row") == F.col("row")) & (F.col("least.row2") == F.col("row2"))).select(F.col("row").alias(one), F.col("row2").alias(two)).distinct()
+    return keyed.dropDuplicates([one, two]).join(kept, [one, two], "left_semi").drop(one, two)
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_components() of all documents under the contract's scheme; nulls, copies and empty texts as there."""
     found = near_components(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.concat(*[F.hex(F.substring("fp", k, 1)) for k in range(8, 0, -1)])).alias("fingerprint"), "component_id")

@@ -19,9 +19,33 @@ def count_chars(text: Column, chars: str) -> Column:
     return F.coalesce(F.length(text) - F.length(F.translate(text, chars, "")), F.lit(0)).cast("long")
 
 
-def pick(docs: DataFrame, **columns: str) -> DataFrame:
-    """The named columns under the operator's own names, so that others can't clash with them."""
-    return docs.select(*[docs[c].alias(k) for k, c in columns.items()])
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_hashes(rows: DataFrame) -> tuple[DataFrame, str, str]:
+    """rows with two more columns, hashes of all others that together tell different rows apart, and their names."""
+    named, one, two = [F.col(f"`{c}`") for c in rows.columns], fresh(rows, "_row"), fresh(rows, "_row2")
+    return rows.withColumns({one: F.xxhash64(*named), two: F.xxhash64(F.lit(11), *reversed(named))}), one, two
+
+
+#: Keys with more than this share of all rows are joined by a broadcast; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """The inner join of rows with table, which has one row a key and in `count` how many of the `total` rows have it.
+
+    No task gets all rows of a hot key: keys with over HOT_SHARE of the rows, 1,000 at most, are
+    sent to where the rows lie, and only the others are shuffled. Both tables are read twice.
+    """
+    hot = F.broadcast(table.where(F.col(count) > total * HOT_SHARE))
+    cold = table.where(F.col(count) <= total * HOT_SHARE)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
 def least_hashed(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:

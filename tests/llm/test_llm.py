@@ -120,21 +120,76 @@ def test_simhash_on_a_table(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     prints = {k: brute_print(t) for k, t in texts.items()}
     wanted = brute_components(prints)
-    out = simhash.near_components(spark.read.parquet(f"{SF}/documents.parquet")).collect()
-    assert {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in out} == {k: (prints[k], wanted[k]) for k in texts}
+    out = simhash.op3_simhash_components(spark, SF).collect()
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in out} == {k: (prints[k], wanted[k]) for k in texts}
 
 
-def test_simhash_links_of_close_prints(spark):
+def as_groups(of):
+    return sorted(sorted(k for k in of if of[k] == g) for g in set(of.values()))
+
+
+@pytest.mark.parametrize("n", [100, 10**6, 10**10])
+def test_simhash_links_of_close_prints(spark, n):
+    """For each choice of segments; centres that share segments make buckets that are dealt again."""
     rng = np.random.default_rng(1)
-    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
-    prints = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centres for _ in range(60)}
+    centres = [int(c) for c in rng.integers(0, 1 << 63, 12, dtype=np.uint64)]
+    prints = {c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for c in centres for _ in range(60)}
+    prints |= {(centres[0] & (1 << 21) - 1) | int(x) << 21 for x in rng.integers(0, 1 << 43, 300)}
     wanted = brute_components({p: p for p in prints})
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    links = simhash.near_links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"))
-    assert links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
-    roots = {r["node"]: r["root"] for r in simhash.connected_components(links).collect()}
-    groups = lambda of: sorted(sorted(k for k in of if of[k] == g) for g in set(of.values()))
-    assert groups({signed(p): roots.get(signed(p), signed(p)) for p in prints}) == groups({signed(k): signed(v) for k, v in wanted.items()})
+    table = spark.createDataFrame([(bytearray(p.to_bytes(8, "little")),) for p in prints], "fp binary")
+    most, simhash.MOST_BUCKET = simhash.MOST_BUCKET, 100
+    try:
+        links = simhash.near_links(table, simhash.exact_segments(n), 1, 4, True)
+        roots = {int.from_bytes(r["node"], "little"): int.from_bytes(r["root"], "little") for r in simhash.connected_components(links).collect()}
+        found = [(int.from_bytes(r["a"], "little"), int.from_bytes(r["b"], "little")) for r in links.collect()]
+    finally:
+        simhash.MOST_BUCKET = most
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    assert as_groups({p: roots.get(p, p) for p in prints}) == as_groups(wanted)
+
+
+def test_segments_lose_no_link():
+    for n in (1, 10**4, 10**6, 10**8, 10**11):
+        segments = simhash.exact_segments(n)
+        assert sum(r + 1 for *_, r in segments) == 5 and sum(w for _, w, _ in segments) == 64
+        assert [f for f, *_ in segments] == list(np.cumsum([0, *[w for _, w, _ in segments]])[:-1])
+
+
+def grams_of(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts(spark):
+    """Against brute force: all links of five-word Jaccard 0.85 or more, nine in ten of 0.8 or more, none under 0.6."""
+    rng, rows = np.random.default_rng(8), {}
+    for base in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows[10 * base] = " ".join(words)
+        for k, edits in enumerate((0, 2, 4, 6, 8, 12, 20, 40)):
+            at = rng.choice(400, edits, replace=False)
+            rows[10 * base + 1 + k] = " ".join(f"new{x}" if x in at else w for x, w in enumerate(words))
+    table = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_components(table, scheme=simhash.SIMILAR).collect()}
+    sets, close, surely = {k: grams_of(t) for k, t in rows.items()}, [], []
+    for a in rows:
+        for b in range(a + 1, a - a % 10 + 9):
+            j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            close += [group[a] == group[b]] * (j >= 0.8)
+            surely += [group[a] == group[b]] * (j >= 0.85)
+    assert all(surely) and len(close) > 300 and np.mean(close) >= 0.9
+    assert all(group[k] == k for k in rows if k % 10 == 8) and all(group[k] // 10 == k // 10 for k in rows)
+
+
+def test_near_copies_are_dropped_by_row(spark, docs, none):
+    """Different rows with a null or a repeated id all count; of equal rows and of copies one stays, whatever the partitions."""
+    words = lambda tag: " ".join(f"{tag}{k}" for k in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (7, words("d")), (7, words("e")), (7, words("e")), (9, words("d")), (3, None), (4, ""), (5, " \n")]
+    table = spark.createDataFrame([(*r, k) for r in rows for k in ("x", "y")], "doc_id long, text string, _row string")
+    out = [sorted(map(str, simhash.drop_near_copies(table.repartition(n)).collect())) for n in (1, 2, 5)]
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.drop_near_copies(table).collect())
+    assert kept == sorted([(0, words("a")), (0, words("b")), (0, words("c")), (3, ""), (7, words("d")), (7, words("e"))]) and out[0] == out[1] == out[2]
+    assert simhash.drop_near_copies(none).count() == 0 and simhash.drop_near_copies(docs).columns == docs.columns
 
 
 def test_components_of_edges_that_turn_round(spark):
@@ -155,7 +210,9 @@ def test_components_of_edges_that_turn_round(spark):
 def test_simhash_cases(docs, none):
     out = [(r["doc_id"], r["component_id"]) for r in simhash.near_components(docs).collect()]
     assert Counter(out)[(8, 8)] == 2 and {(3, 3), (4, 3), (7, 3), (5, 5), (6, 5)} <= set(out) and len(out) == len(ROWS)
-    assert simhash.near_components(none).count() == 0 and simhash.drop_near_copies(docs).where("doc_id = 8").count() == 1
+    assert simhash.near_components(none).count() == 0
+    again = [(r["doc_id"], r["component_id"]) for r in simhash.near_components(docs.repartition(7)).collect()]
+    assert Counter(again) == Counter(out)
 
 
 def test_statistics(docs, none):
