@@ -1,16 +1,16 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is the set of its lower-case character n-grams, hashed to 2**18 slots. With p and q a
-slot's share of all smoothed counts of toxic and of other labelled texts, its ratio is
-log(p) - log(q), and a logistic regression is fitted on the vectors in which each slot of the
-text holds its ratio. Scoring adds weight * ratio over a
-text's slots: one pass over the text, with a table of 2**18 numbers sent to the executors.
+A text is the set of its lower-case character n-grams. Of those that at least `LEAST_TEXTS`
+toxic training texts have, all count whose texts are split between the labels further from
+chance than `SURE` standard deviations (the signed root of the log-likelihood ratio). With p and
+q an n-gram's smoothed shares of toxic and of other texts, its ratio is log(p) - log(q), and a
+logistic regression is fitted on the vectors in which each n-gram of the text holds its ratio.
 
-A slot counts only for n-grams of the training texts: the model holds the 64-bit keys of those
-in the slots it uses. Others that share such a slot would fill it the more surely the longer a
-text is, and charge it for n-grams that it doesn't have.
+Scoring adds weight * ratio over a text's n-grams in one pass. N-grams are told apart by 64-bit
+keys; a table of 2**18 slots tells first which places of a text can matter.
 
-The fit uses at most `MOST_LABELLED` labelled rows, those with the least hashes of their ids.
+The fit uses at most `MOST_LABELLED` labelled rows, those with the least hashes of their ids;
+of these it counts all n-grams.
 """
 
 from __future__ import annotations
@@ -22,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriel.llm.text import least_hashed
+from oriel.llm.text import fresh, least_hashed
 from oriel.session import stage
 from oriel.sources import read_table
 
 GRAMS, SLOT_BITS = (3, 4, 5, 6), 18
 #: Bound of the training sample, in rows.
 MOST_LABELLED = 10000
-#: Slots that the regression may use, and its ridge.
-MOST_SLOTS, RIDGE = 2048, 1e-4
+#: Toxic texts that an n-gram needs, how far from chance it must be, and the ridge.
+LEAST_TEXTS, SURE, RIDGE = 3, 4.0, 1e-4
+
+#: Keys of n-grams in order, their slots, their weights, and the intercept.
+Model = tuple[np.ndarray, np.ndarray, np.ndarray, float]
 
 
 def gram_slots(text: str) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -46,20 +49,12 @@ def gram_slots(text: str) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     return codes, slots
 
 
-def mark_slots(text: str, marks: np.ndarray) -> np.ndarray:
-    """Sets marks at the slots of the text's n-grams; returns the slots with repeats, to clear them."""
-    slots = [x for _, x in gram_slots(text)[1]]
-    found = np.concatenate(slots) if slots else np.empty(0, np.uint32)
-    marks[found] = True
-    return found
-
-
-def gram_keys(text: str, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the text's distinct n-grams in the slots that used marks, in order, and their slots."""
+def gram_keys(text: str, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the text's distinct n-grams, in order, and their slots; with a table of slots, of those in slots that it marks."""
     codes, slots = gram_slots(text)
     keys, places = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
     for width, slot in slots:
-        at = np.flatnonzero(used[slot])
+        at = np.arange(len(slot)) if used is None else np.flatnonzero(used[slot])
         key = np.full(len(at), width, np.uint64)
         for k in range(width):
             key = (key ^ codes[at + k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,39 +65,61 @@ def gram_keys(text: str, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.concatenate(places)[first]
 
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with a slot, by label, over one partition."""
-    marks, counts = np.zeros(1 << SLOT_BITS, bool), np.zeros((2, 1 << SLOT_BITS), np.int64)
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with an n-gram, over one batch after another."""
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found = mark_slots(text.as_py(), marks)
-            counts[label][np.flatnonzero(marks)] += 1
-            marks[found] = False
-    slots = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[1][slots]), pa.array(counts[0][slots])], ["slot", "yes", "no"])
+        keys, slots = (np.concatenate(x) for x in zip(*[gram_keys(t.as_py()) for t in batch.column(0)], strict=True)) if batch.num_rows else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+        found, first, times = np.unique(keys, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(slots[first].astype(np.int32)), pa.array(times)], ["key", "slot", "times"])
+
+
+def places_in(text: str, keys: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Places among the sorted keys of the text's n-grams, in order."""
+    found = gram_keys(text, used)[0]
+    at = np.searchsorted(keys, found)
+    at[at == len(keys)] = 0
+    return at[keys[at] == found] if len(keys) else at[:0]
 
 
-def _slot_sets(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marks(slots: np.ndarray) -> np.ndarray:
+    used = np.zeros(1 << SLOT_BITS, bool)
+    used[slots] = True
+    return used
+
+
+def _sets(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << SLOT_BITS, bool)
+        keys, slots = sent.value
+        used = _marks(slots)
         for batch in batches:
-            rows = []
-            for text in batch.column(0):
-                found = mark_slots(text.as_py(), marks)
-                rows.append(np.flatnonzero(marks[used]).astype(np.int32))
-                marks[found] = False
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]], ["slots", "label", "doc_id"])
+            rows = [places_in(text.as_py(), keys, used).astype(np.int32) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), *batch.columns[1:]], ["places", "label", "doc_id"])
 
     return sets
 
 
-def _seen_keys(used: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of each label with each key, over one partition."""
+        keys, slots = sent.value
+        used, n = _marks(slots), np.zeros((2, len(keys)), np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(gram_keys(text.as_py(), used)[0].view(np.int64))], ["key"])
+            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                n[label, places_in(text.as_py(), keys, used)] += 1
+        at = np.flatnonzero(n.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[1][at]), pa.array(n[0][at])], ["at", "yes", "no"])
+
+    return counts
+
 
-    return keys
+def from_chance(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.ndarray:
+    """Root of the log-likelihood ratio of a two by two table: how far from chance the texts with an n-gram are split."""
+    total = n_yes + n_no
+    g = np.zeros(len(yes))
+    for seen, row, column in ((yes, yes + no, n_yes), (no, yes + no, n_no), (n_yes - yes, total - yes - no, n_yes), (n_no - no, total - yes - no, n_no)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g += np.where(seen > 0, seen * np.log(seen * total / (row * column)), 0.0)
+    return np.sqrt(np.maximum(2 * g, 0))
 
 
 def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -127,56 +144,57 @@ def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labe
     return w, b
 
 
-def fit_toxicity(labelled: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
-    """(table of 2**18 weights, intercept, keys of the n-grams seen in slots with a weight, in order) from rows (doc_id, text, label 0 or 1), MOST_LABELLED at most.
+def fit_toxicity(labelled: DataFrame) -> Model:
+    """The model from rows (doc_id, text, label 0 or 1), MOST_LABELLED at most.
 
-    The regression runs over the `MOST_SLOTS` slots whose log-count ratios are furthest from
-    zero in units of their standard error. Rows with a null label are left out. With no rows or
-    a single label the table is zero and the intercept gives the smoothed share of label 1.
+    Rows with a null label are left out; a null text is an empty one. With no rows or a single
+    label there are no n-grams, and the intercept gives the smoothed share of label 1.
     """
     sample = stage(labelled.where("label is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label"), F.col("doc_id").cast("string").alias("doc_id")), "labelled-texts")
+    context = sample.sparkSession.sparkContext
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    yes, no = totals.get(1, 0), totals.get(0, 0)
-    if not yes or not no:
-        return np.zeros(1 << SLOT_BITS), float(np.log((yes + 1) / (no + 1))), np.empty(0, np.uint64)
-    # One row a slot at most: 2**18, whatever the input.
-    counts = sample.mapInArrow(_slot_counts, "slot long, yes long, no long").groupBy("slot").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).toPandas()
-    p, q = np.ones(1 << SLOT_BITS), np.ones(1 << SLOT_BITS)
-    p[counts["slot"]] += counts["yes"].to_numpy()
-    q[counts["slot"]] += counts["no"].to_numpy()
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    used = np.sort(np.argsort(-np.abs(ratio) / np.sqrt(1 / p + 1 / q), kind="stable")[:MOST_SLOTS])
+    n_yes, n_no = totals.get(1, 0), totals.get(0, 0)
+    nothing = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0)
+    if not n_yes or not n_no:
+        return *nothing, float(np.log((n_yes + 1) / (n_no + 1)))
+    # N-grams of the sample's toxic texts, so bounded as these are.
+    known = sample.where("label = 1").select("text").mapInArrow(_vocabulary, "key long, slot int, times long").groupBy("key").agg(F.first("slot").alias("slot"), F.sum("times").alias("times"))
+    known = known.where(F.col("times") >= LEAST_TEXTS).select("key", "slot").toArrow()
+    keys, slots = known.column("key").to_numpy().view(np.uint64), known.column("slot").to_numpy()
+    order = np.argsort(keys)
+    keys, slots = keys[order], slots[order]
+    table = sample.mapInArrow(_counts(context.broadcast((keys, slots))), "at long, yes long, no long").groupBy("at").agg(F.sum("yes"), F.sum("no")).toArrow()
+    yes, no = np.zeros(len(keys)), np.zeros(len(keys))
+    at = table.column(0).to_numpy()
+    yes[at], no[at] = table.column(1).to_numpy(), table.column(2).to_numpy()
+    sure = np.flatnonzero(from_chance(yes, no, n_yes, n_no) >= SURE)
+    if not len(sure):
+        return *nothing, float(np.log((n_yes + 1) / (n_no + 1)))
+    keys, slots = keys[sure], slots[sure]
+    ratio = np.log((yes[sure] + 1) / (n_yes + 2)) - np.log((no[sure] + 1) / (n_no + 2))
     # In order of ids, as sums in another order would differ in their last bits.
-    chosen = sample.mapInArrow(_slot_sets(used), "slots array<int>, label long, doc_id string").toArrow().sort_by("doc_id")
-    sets = chosen.column("slots").combine_chunks()
+    chosen = sample.mapInArrow(_sets(context.broadcast((keys, slots))), "places array<int>, label long, doc_id string").toArrow().sort_by("doc_id")
+    sets = chosen.column("places").combine_chunks()
     columns, sizes = np.asarray(sets.flatten()), np.diff(np.asarray(sets.offsets))
-    w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), columns, ratio[used][columns], np.asarray(chosen.column("label"), np.float64), len(used), RIDGE)
-    table = np.zeros(1 << SLOT_BITS)
-    table[used] = w * ratio[used]
-    # Distinct n-grams of the sample in MOST_SLOTS of the slots.
-    seen = sample.mapInArrow(_seen_keys(table != 0), "key long").distinct().toPandas()["key"].to_numpy(np.int64)
-    return table, b, np.sort(seen.view(np.uint64))
+    w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), columns, ratio[columns], np.asarray(chosen.column("label"), np.float64), len(keys), RIDGE)
+    return keys, slots, w * ratio, b
 
 
 def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, intercept, seen = model.value
-        used = table != 0
+        keys, slots, weights, intercept = model.value
+        used = _marks(slots)
         for batch in batches:
-            sums = np.full(batch.num_rows, intercept)
-            for k, text in enumerate(batch.column(batch.num_columns - 1)):
-                keys, slots = gram_keys(text.as_py() or "", used)
-                known = np.searchsorted(seen, keys, "right") > np.searchsorted(seen, keys)
-                sums[k] += table[np.unique(slots[known])].sum()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))))], [*batch.schema.names[:-1], "score"])
+            sums = np.array([intercept + weights[places_in(text.as_py() or "", keys, used)].sum() for text in batch.column(batch.num_columns - 1)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(sums, -500, 500))), pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float, np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns keep of docs and score, from 0 to 1; a null text scores as an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, docs[text_col].alias("_text"))
+    chosen = docs.select(*keep, docs[text_col].alias(fresh(docs, "_text")))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "score double"])
     return chosen.mapInArrow(_scorer(sent), schema)
 
@@ -186,7 +204,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def train_on_labels(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
+def train_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
     """fit_toxicity() on the documents with a label that aren't held out; a document with two labels counts once, as toxic if one says so."""
     known = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     known = least_hashed(known, MOST_LABELLED)
