@@ -349,18 +349,48 @@ def test_pii_collisions(spark):
 
 
 def test_media(docs, none, spark):
-    store = docs.select("doc_id", "text").mapInArrow(media._encode, "doc_id long, n_bytes long, digest string, media binary")
-    for r in store.collect():
-        data = next((t or "" for k, t, _ in ROWS if k == r["doc_id"])).encode()
+    store = docs.select("text").mapInArrow(media._encode, "n_bytes long, digest string, media binary").collect()
+    texts = {hashlib.sha256(media.to_payload((t or "").encode())).hexdigest(): (t or "").encode() for _, t, _ in ROWS}
+    assert len(store) == len(ROWS)
+    for r in store:
         samples = media.from_media(bytes(r["media"]))
-        assert samples == media.to_payload(data) and len(samples) % 576 == 0 and hashlib.sha256(samples).hexdigest() == r["digest"]
-    items = media.parse_page("<p>one<br>two</p><figure><img src='sha256:ab' alt='x'><figcaption>a &amp; b</figcaption></figure><script>no</script>three")
-    assert [(i["position"], i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [(0, "text", "one", None, None), (1, "text", "two", None, None), (2, "media", None, "ab", "a & b"), (3, "text", "three", None, None)]
+        assert samples == media.to_payload(texts[r["digest"]]) and len(samples) % 576 == 0 and r["n_bytes"] == len(texts[r["digest"]])
     assert media.sequences(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"))).count() == 0
-    found = media.op9_media_sequences(spark, SF)
-    assert found.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and found.where("payload_sha256 is null or position <> 1").count() == 0
-
-
+    lacking = spark.createDataFrame([(1, "<img src='sha256:ff'>")], "page_id long, html string")
+    found = media.resolve_references(media.sequences(lacking), spark.createDataFrame([], "digest string, n_bytes long, media binary")).collect()
+    assert len(found) == 1 and found[0]["digest"] == "ff" and found[0]["payload_sha256"] is None
+
+
+@pytest.mark.parametrize(
+    "html, items",
+    [
+        ("<p>one<br>two</p><figure><img src='sha256:ab' alt='x'><figcaption>a &amp; b</figcaption></figure><script>no</script>three", [("one", None, None), ("two", None, None), (None, "ab", "a & b"), ("three", None, None)]),
+        ("<figure><figcaption>first</figcaption><img src='sha256:ab'></figure>", [(None, "ab", "first")]),
+        ("<figure><figcaption>alone</figcaption></figure>x", [("alone", None, None), ("x", None, None)]),
+        ("<figcaption>loose</figcaption>", [("loose", None, None)]),
+        ("<figure><img src='ab'><figcaption>open <b>end", [(None, "ab", "open end")]),
+        ("<title>never closed<p>text</p><template>and more", [("never closed", None, None), ("text", None, None), ("and more", None, None)]),
+        ("<template><p>no</p><img src='x'></template>yes<img src='y' alt='z'>", [("yes", None, None), (None, "y", "z")]),
+        ("", []),
+    ],
+)
+def test_pages(html, items):
+    found = media.parse_page(html)
+    assert [(i["text"], i["digest"], i["caption"]) for i in found] == items and [i["position"] for i in found] == list(range(len(items)))
+
+
+def test_all_pages_keep_their_words(spark):
+    """Brute force: what is left of each real page without hidden elements, comments and tags has the words of its items, in order."""
+    from html import unescape
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    items = {r["doc_id"]: r["items"] for r in media.sequences(pages).collect()}
+    rows = pages.select("page_id", "html").collect()
+    assert len(items) == len(rows) == 250
+    for k, html in rows:
+        shown = re.sub(r"(?s)<!--.*?-->|<(script|style|title|template)\b.*?</\1>", " ", html)
+        plain = lambda x: re.sub(r"\s", "", x)
+        assert plain(unescape(re.sub(r"<[^>]*>", " ", shown))) == plain("".join(i["text"] for i in items[k]))
 
 
 def test_toxicity(spark, docs, none):
