@@ -19,15 +19,19 @@ from pyspark.sql.window import Window
 HUBER_ROUNDS, HUBER_AT = 5, 1.345
 
 
-def gram(rows: DataFrame, columns: list[Column], weight: Column | None = None, group: Column | None = None) -> dict[int, np.ndarray]:
-    """Sums of weight * a * b over rows for all pairs of (1, *columns), by group (long; 0 without one). No rows give no matrix."""
-    width = len(columns) + 1
+def gram(rows: DataFrame, columns: list[Column], weight: Column | None = None, group: Column | None = None, expand: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[int, np.ndarray]:
+    """Sums of weight * a * b over rows for all pairs of (1, *columns), by group (long; 0 without one). No rows give no matrix.
+
+    expand: makes further columns of these, all of them known, inside the tasks.
+    """
+    width = (len(columns) if expand is None else expand(np.zeros((1, len(columns)))).shape[1]) + 1
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             groups, weights = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False) for c in batch.columns[2:])])
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]])
+            x = np.column_stack([np.ones(batch.num_rows), x if expand is None else expand(x)])
             for g in np.unique(groups).tolist():
                 own = groups == g
                 sums[g] = sums.get(g, 0.0) + x[own].T @ (x[own] * weights[own, None])
@@ -87,6 +91,11 @@ class Ridge:
         """Features with nulls replaced by the median, cut at the bounds; of: where a feature is taken from."""
         return [F.least(F.greatest(F.coalesce(of(f).cast("double"), F.lit(m)), F.lit(a)), F.lit(b)) for f, a, m, b in zip(self.features, self.low, self.mid, self.high, strict=True)]
 
+    def at(self, **values: float) -> float:
+        """The prediction for one row on the driver; features that aren't named have their median."""
+        x = np.array([values.get(f, m) for f, m in zip(self.features, self.mid, strict=True)])
+        return float(self.intercept + (np.clip(x, self.low, self.high) - self.mean) / self.scale @ self.weights)
+
     def predict(self, of: Callable[[str], Column] = F.col) -> Column:
         total = F.lit(self.intercept)
         for x, m, s, w in zip(self.prepared(of), self.mean, self.scale, self.weights, strict=True):
@@ -152,19 +161,34 @@ def order_grid(rows: DataFrame, lags: list[str], target: str, cells: Column, fol
         keep = [*range(order + 1), len(lags) + 1]
         part = {k: m[np.ix_(keep, keep)] for k, m in sums.items()}
         for ridge in ridges:
-            errors = []
-            for fold in range(1, folds + 1):
-                before = [part[k] for k in range(fold) if k in part]
-                if before and fold in part:
-                    mean, scale, w, b = solve(sum(before), ridge)
-                    errors.append(error(part[fold], w / scale, b - float(mean @ (w / scale))))
+            errors = fold_errors(part, folds, ridge)
             if errors:
                 out.append((order, ridge, float(np.mean(errors))))
     return out
 
 
-def cosine_features(columns: list[Column], count: int, width: float, seed: int) -> list[Column]:
-    """Random Fourier features of standardised columns: sqrt(2 / count) * cos(x W + phase), W normal with variance 2 * width."""
+def cosine_expand(width: int, count: int, spread: float, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Random Fourier features of `width` standardised columns and a target, which stays the last column: sqrt(2 / count) * cos(x W + phase), W normal with variance 2 * spread."""
     draw = np.random.default_rng(seed)
-    w, phase = draw.normal(0, np.sqrt(2 * width), (len(columns), count)), draw.uniform(0, 2 * np.pi, count)
-    return [F.lit(float(np.sqrt(2 / count))) * F.cos(sum((x * F.lit(float(k)) for x, k in zip(columns, w[:, j], strict=True)), F.lit(float(phase[j])))) for j in range(count)]
+    w, phase = draw.normal(0, np.sqrt(2 * spread), (width, count)), draw.uniform(0, 2 * np.pi, count)
+    return lambda x: np.column_stack([np.sqrt(2 / count) * np.cos(x[:, :width] @ w + phase), x[:, width:]])
+
+
+def fold_errors(sums: dict[int, np.ndarray], folds: int, ridge: float, back: Callable[[float], float] = float) -> list[float]:
+    """Validation errors from sums by cell: cell 0 is what every fold trains on, cell k what fold k validates and later folds train on."""
+    errors = []
+    for fold in range(1, folds + 1):
+        before = [sums[k] for k in range(fold) if k in sums]
+        if before and fold in sums:
+            mean, scale, w, b = solve(sum(before), ridge)
+            errors.append(back(error(sums[fold], w / scale, b - float(mean @ (w / scale)))))
+    return errors
+
+
+def pairwise_spread(points: DataFrame, columns: list[Column], key: Column, most: int = 1000) -> float:
+    """1 / (2 * median squared distance) over all pairs of the `most` rows with the least hashes of their key; distances of zero don't count, without others 0.5."""
+    sample = points.select(F.xxhash64(key).alias("h"), F.array(*columns).alias("v")).orderBy("h", "v").limit(most).withColumn("i", F.monotonically_increasing_id())
+    other = F.broadcast(sample.select(F.col("i").alias("j"), F.col("v").alias("w")))  # `most` rows
+    apart = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    found = sample.join(other, F.col("i") < F.col("j")).select(apart.alias("d")).where("d > 1e-12").agg(F.median("d")).first()[0]
+    return 0.5 if found is None else 1 / (2 * found)

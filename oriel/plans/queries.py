@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
 from oriel.operators.recursion import GAPS_SQL, fill_gaps
-from oriel.operators.regression import Ridge, cosine_features, error, fit_ridge, gram, order_grid, permutation_importance, solve
+from oriel.operators.regression import Ridge, fit_ridge, order_grid, permutation_importance
+from oriel.plans import forecast, searches
 from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
 from oriel.sources import read_table
@@ -85,16 +86,6 @@ def ar_order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "ar_order int, ridge double, rmse double")
 
 
-def cosine_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training and later errors of a ridge on 64 random cosine features."""
-    rows = lagged(spark, sf_dir).where("ntu is not null")
-    base = _factor_model(rows)
-    z = [(x - F.lit(float(m))) / F.lit(float(s)) for x, m, s in zip(base.prepared(), base.mean, base.scale, strict=True)]
-    sums = gram(rows, [*cosine_features(z, 64, 0.05, 11), F.col("ntu")], group=(F.col("t_idx") >= TRAIN_BEFORE).cast("long"))
-    mean, scale, w, b = solve(sums[0], 1.0)
-    return spark.createDataFrame([(("train", "later")[k], int(m[0, 0]), error(m, w / scale, b - float(mean @ (w / scale)))) for k, m in sorted(sums.items())], "part string, n long, rmse double")
-
-
-MODELS = {f.__name__: f for f in (huber_ridge, block_importance, ar_order_grid, cosine_ridge)}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS
-ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"}
+MODELS = {f.__name__: f for f in (huber_ridge, block_importance, ar_order_grid)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS | forecast.QUERIES | searches.QUERIES
+ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"} | forecast.ORACLES
