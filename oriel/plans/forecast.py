@@ -30,7 +30,7 @@ def _states(spark: SparkSession, sf_dir: str, **override) -> DataFrame:
 def physical_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The baseline of each slot and its forecasts one to six steps ahead."""
     rows = with_physical(regular_slots(read_table(spark, sf_dir, "events")))
-    return rows.select("series_id", "t_idx", *[F.round(c, 6).alias(c) for c in ("tau", "physical", *(f"ahead{h}" for h in HORIZONS))])
+    return rows.select("series_id", "t_idx", *[F.round(c, 7).alias(c) for c in ("tau", "physical", *(f"ahead{h}" for h in HORIZONS))])
 
 
 def state_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +141,15 @@ state AS (SELECT s.series_id, s.t_idx, {_BACK}, ln(1 + s.filt) AS log_filt, ln(1
 """
 
 
-def _rounded(names: list[str]) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" for c in names)
+def _rounded(names: list[str], digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in names)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (physical_forecast, state_features, scenario_states, horizon_ridges, horizon_backtest, model_gap_fill, forecast_fan, designated_forecasts, grade_ranges, scenario_sensitivity)
 }
 ORACLES = {
-    "physical_forecast": f"{PHYSICAL_SQL} SELECT series_id, t_idx, {_rounded(['tau', 'physical', *(f'ahead{h}' for h in HORIZONS)])} FROM physical",
+    "physical_forecast": f"{PHYSICAL_SQL} SELECT series_id, t_idx, {_rounded(["tau", "physical", *(f"ahead{h}" for h in HORIZONS)], 7)} FROM physical",
     "state_features": f"{_state_sql('s.rw')} SELECT series_id, t_idx, {_rounded(STATE_NAMES)}, available FROM state",
     "scenario_states": f"{_state_sql('(2 * s.rw)')} SELECT series_id, t_idx, {_rounded(['log_rw', 'log_rw_lag1', 'delta_log_rw'])} FROM state",
 }

@@ -38,13 +38,12 @@ def _grade(low: str = "10.0", medium: str = "20.0", short: str = "4", long: str
 
 SERIES_SQL: dict[str, str] = {
     "slots_regular": "SELECT t_idx, CAST(ts AS STRING) AS slot, op_day, n, ntu, filt, rw, ph, alum, flow, k FROM {s}",
-    "timeline_gate": f"SELECT CAST(count(*) AS BIGINT) AS slots, CAST(count(DISTINCT t_idx) AS BIGINT) AS distinct_slots, CAST(count(*) FILTER (WHERE step <> 1) AS BIGINT) AS bad_steps, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS empty_slots FROM (SELECT t_idx, n, t_idx - lag(t_idx) {W} AS step FROM {{s}}) x",
-    "field_profile": " UNION ALL ".join(f"SELECT '{c}' AS field, CAST(count(*) AS BIGINT) AS total, CAST(count(*) - count({c}) AS BIGINT) AS missing, round(1 - count({c}) / CAST(count(*) AS DOUBLE), 6) AS missing_rate, round(min({c}), 6) AS minimum, round(median({c}), 6) AS median_value, round(max({c}), 6) AS maximum FROM {{s}}" for c in ("ntu", "filt", "rw", "ph", "alum", "flow", "k")),
     "lag_features": f"SELECT t_idx, {_lags(('ntu', 'filt', 'rw', 'alum'), (0, 1, 2, 3, 6))} FROM {{s}}",
     "lead_targets": f"SELECT t_idx, {', '.join(f'lead(ntu, {h}) {W} AS ntu_h{h}' for h in range(1, 7))} FROM {{s}}",
     "diff_features": f"SELECT t_idx, round(ntu - lag(ntu) {W}, 6) AS d_ntu, round(ln(1 + filt) - lag(ln(1 + filt)) {W}, 6) AS d_log_filt, CASE WHEN alum IS NULL THEN 1 ELSE 0 END AS alum_missing FROM {{s}}",
     "cyclic_features": "SELECT t_idx, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos, round(sin(2 * pi() * dayofyear(ts) / 365.25), 6) AS year_sin, round(cos(2 * pi() * dayofyear(ts) / 365.25), 6) AS year_cos FROM {s}",
-    "poly_interactions": f"SELECT t_idx, round(x, 6) AS x, round(x * x, 4) AS x_squared, round(x * alum, 4) AS x_alum, round(ph * alum, 4) AS ph_alum FROM (SELECT t_idx, lag(rw, 1) {W} AS x, alum, ph FROM {{s}}) z",
+    # Products of millionths as whole numbers, so that both engines have the same to the last bit.
+    "poly_interactions": f"SELECT t_idx, x, CAST(xi * xi AS DOUBLE) / 1e12 AS x_squared, CAST(xi * ai AS DOUBLE) / 1e12 AS x_alum, CAST(pi * ai AS DOUBLE) / 1e12 AS ph_alum FROM (SELECT t_idx, x, CAST(round(x * 1000000) AS BIGINT) AS xi, CAST(round(alum * 1000000) AS BIGINT) AS ai, CAST(round(ph * 1000000) AS BIGINT) AS pi FROM (SELECT t_idx, lag(rw, 1) {W} AS x, alum, ph FROM {{s}}) z) y",
     "inverse_link": "SELECT t_idx, CASE WHEN ntu IS NOT NULL THEN round(greatest(0.0, exp(ln(1 + ntu) - 0.1) - 1), 5) END AS back FROM {s}",
     "winsor_standardise": """WITH p AS (SELECT percentile_cont(0.005) WITHIN GROUP (ORDER BY ntu) AS lo, percentile_cont(0.995) WITHIN GROUP (ORDER BY ntu) AS hi, median(ntu) AS mid FROM {s} WHERE t_idx < 240),
         c AS (SELECT t_idx, least(greatest(coalesce(ntu, mid), lo), hi) AS x FROM {s} CROSS JOIN p),
@@ -55,7 +54,6 @@ SERIES_SQL: dict[str, str] = {
             min(CASE WHEN filt IS NOT NULL THEN t_idx END) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM {s}),
         b AS (SELECT a.series_id, a.t_idx, a.p, a.q, x.filt AS before, y.filt AS after FROM a LEFT JOIN {s} x ON x.series_id = a.series_id AND x.t_idx = a.p LEFT JOIN {s} y ON y.series_id = a.series_id AND y.t_idx = a.q)
         SELECT t_idx, round(CASE WHEN before IS NULL THEN after WHEN after IS NULL OR p = q THEN before WHEN t_idx - p <= 3 THEN before + (after - before) * (t_idx - p) / (q - p) ELSE before + (after - before) * 3 / (q - p) END, 6) AS filled FROM b""",
-    "carry_back": f"SELECT t_idx, filt, max(CASE WHEN filt IS NOT NULL THEN t_idx END) {W} AS seen_at FROM {{s}}",
     "fold_roles": f"SELECT fold, CAST(sum(CASE WHEN ts < starts THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN ts >= starts AND ts < ends THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM {{s}} CROSS JOIN {FOLDS} GROUP BY fold",
     "state_available": "SELECT t_idx, CAST(count(filt) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) = 6 AS available FROM {s}",
     "seasonal_naive_metrics": f"SELECT {_metrics('y', 'p')} FROM (SELECT ntu AS y, lag(ntu, 12) {W} AS p FROM {{s}}) x WHERE y IS NOT NULL AND p IS NOT NULL",
@@ -65,9 +63,6 @@ SERIES_SQL: dict[str, str] = {
     "residual_acf": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c) " + " UNION ALL ".join(f"SELECT {k} AS lag_steps, round(sum(c * c{k}) / sum(c * c), 6) AS acf FROM l" for k in range(1, 13)),
     "ljung_box": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c), a AS (SELECT count(*) AS n, sum(c * c) AS v, {', '.join(f'sum(c * c{k}) AS s{k}' for k in range(1, 13))} FROM l), q AS (SELECT n * (n + 2.0) * ({' + '.join(f'(s{k} / v) * (s{k} / v) / (n - {k})' for k in range(1, 13))}) / 2 AS h FROM a) SELECT round(2 * h, 5) AS q12, round(exp(-h) * (1 + h + h * h / 2 + h * h * h / 6 + h * h * h * h / 24 + h * h * h * h * h / 120), 9) AS p_value FROM q",
     "crosscorr_peak": f"WITH d AS (SELECT series_id, t_idx, rw - lag(rw) {W} AS x, filt - lag(filt) {W} AS y FROM {{s}}), l AS (SELECT y, {', '.join(f'lag(x, {k}) {W} AS x{k}' for k in range(0, 7))} FROM d), c AS (" + " UNION ALL ".join(f"SELECT {k} AS steps, corr(x{k}, y) AS r FROM l WHERE x{k} IS NOT NULL AND y IS NOT NULL" for k in range(0, 7)) + ") SELECT steps, round(r, 6) AS r, row_number() OVER (ORDER BY round(abs(r), 9) DESC, steps) = 1 AS peak FROM c",
-    "spearman_matrix": " UNION ALL ".join(f"SELECT '{c}' AS factor, round(corr(rx, ry), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM (SELECT rank() OVER (PARTITION BY series_id ORDER BY {c}) + (count(*) OVER (PARTITION BY series_id, {c}) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY series_id ORDER BY ntu) + (count(*) OVER (PARTITION BY series_id, ntu) - 1) / 2.0 AS ry FROM {{s}} WHERE {c} IS NOT NULL AND ntu IS NOT NULL) x" for c in ("filt", "rw", "ph", "alum", "flow", "k")),
-    "ks_two_sample": "WITH v AS (SELECT ntu AS x, CASE WHEN t_idx < 240 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS a FROM {s} WHERE ntu IS NOT NULL), n AS (SELECT sum(a) AS na, sum(1 - a) AS nb FROM v), g AS (SELECT x, sum(a) AS ga, sum(1 - a) AS gb FROM v GROUP BY x), r AS (SELECT sum(ga) OVER (ORDER BY x) AS ca, sum(gb) OVER (ORDER BY x) AS cb FROM g) SELECT round(max(abs(ca / na - cb / nb)), 6) AS d_statistic FROM r CROSS JOIN n",
-    "psi_drift": "WITH e AS (" + " UNION ALL ".join(f"SELECT {k} AS j, round(percentile_cont({k / 10}) WITHIN GROUP (ORDER BY ntu), 9) AS edge FROM {{s}} WHERE t_idx < 240" for k in range(1, 10)) + "), b AS (SELECT t_idx, (SELECT count(DISTINCT edge) FROM e) AS edges, ntu, (SELECT 0) AS z FROM {s} WHERE ntu IS NOT NULL), m AS (SELECT b.t_idx, count(DISTINCT CASE WHEN e.edge <= round(b.ntu, 9) THEN e.edge END) AS bin FROM b CROSS JOIN e GROUP BY b.t_idx), c AS (SELECT bin, sum(CASE WHEN t_idx < 240 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS a, sum(CASE WHEN t_idx >= 240 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS b FROM m GROUP BY bin), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM c) SELECT CASE WHEN max(na) >= 20 AND max(nb) >= 20 AND count(*) >= 2 THEN round(sum((greatest(b / nb, 0.000001) - greatest(a / na, 0.000001)) * ln(greatest(b / nb, 0.000001) / greatest(a / na, 0.000001))), 6) END AS psi FROM c CROSS JOIN n",
     "describe_windows": "SELECT CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END AS part, CAST(count(ntu) AS BIGINT) AS n, round(avg(ntu), 6) AS mean_value, round(stddev_samp(ntu), 6) AS sd, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY ntu), 6) AS p5, round(median(ntu), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ntu), 6) AS p95, round(min(ntu), 6) AS minimum, round(max(ntu), 6) AS maximum FROM {s} GROUP BY CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END",
     "mode_degeneracy": "WITH v AS (SELECT n AS x, count(*) AS c FROM {s} GROUP BY n), m AS (SELECT median(n) AS mid FROM {s}), d AS (SELECT 1.4826 * median(abs(n - mid)) AS robust_scale FROM {s} CROSS JOIN m) SELECT CAST(count(*) AS BIGINT) AS distinct_values, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS mode_share, max(round(robust_scale, 6)) AS robust_scale, max(c) / CAST(sum(c) AS DOUBLE) >= 0.9 OR count(*) = 1 AS degenerate FROM v CROSS JOIN d",
     "pivot_min_matrix": "SELECT hour(ts) AS slot_hour, " + ", ".join(f"round(min(CASE WHEN (t_idx / 12) - floor(t_idx / 48) * 4 >= {d} AND (t_idx / 12) - floor(t_idx / 48) * 4 < {d + 1} THEN ntu END), 6) AS d{d}" for d in range(4)) + " FROM {s} GROUP BY hour(ts)",
@@ -80,12 +75,10 @@ SERIES_SQL: dict[str, str] = {
     "topk_factors": "SELECT hour(ts) AS factor, round(avg(ntu), 6) AS importance, CAST(row_number() OVER (ORDER BY round(avg(ntu), 6) DESC, hour(ts)) AS BIGINT) AS importance_rank FROM {s} GROUP BY hour(ts) ORDER BY importance DESC, factor LIMIT 8",
     "union_tagged": "SELECT 'day' AS model, CAST(op_day AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY op_day UNION ALL SELECT 'hour' AS model, CAST(hour(ts) AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY hour(ts)",
     "ridge_1d": "WITH v AS (SELECT rw AS x, ntu AS y FROM {s} WHERE rw IS NOT NULL AND ntu IS NOT NULL AND t_idx < 240), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, CAST(count(*) AS DOUBLE) AS n, covar_pop(x, y) AS sxy FROM v) SELECT l AS ridge, round(n * sxy / sx / (n + l), 6) AS coefficient, round(my, 6) AS intercept FROM m CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1 AS DOUBLE)), (CAST(10 AS DOUBLE)), (CAST(100 AS DOUBLE))) AS g(l)",
-    "ridge_gram": f"WITH f AS (SELECT {_lags(('rw', 'alum', 'ph'), (0, 1))}, ntu AS y FROM {{s}}) SELECT CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(sum({a} * {b}), 4) AS g_{a}_{b}" for a, b in (("rw_lag0", "rw_lag0"), ("rw_lag0", "rw_lag1"), ("rw_lag0", "alum_lag0"), ("rw_lag1", "ph_lag1"), ("alum_lag1", "y"), ("ph_lag0", "y"))) + " FROM f WHERE rw_lag0 IS NOT NULL AND rw_lag1 IS NOT NULL AND alum_lag0 IS NOT NULL AND alum_lag1 IS NOT NULL AND ph_lag0 IS NOT NULL AND ph_lag1 IS NOT NULL AND y IS NOT NULL",
+    "ridge_gram": f"WITH f AS (SELECT {_lags(('rw', 'alum', 'ph'), (0, 1))}, ntu AS y FROM {{s}}) SELECT CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(CAST(sum(CAST(CAST(round({a} * 1000000) AS BIGINT) * CAST(round({b} * 1000000) AS BIGINT) AS DECIMAL(38, 0))) AS DOUBLE) / 1e12, 3) AS g_{a}_{b}" for a, b in (("rw_lag0", "rw_lag0"), ("rw_lag0", "rw_lag1"), ("rw_lag0", "alum_lag0"), ("rw_lag1", "ph_lag1"), ("alum_lag1", "y"), ("ph_lag0", "y"))) + " FROM f WHERE rw_lag0 IS NOT NULL AND rw_lag1 IS NOT NULL AND alum_lag0 IS NOT NULL AND alum_lag1 IS NOT NULL AND ph_lag0 IS NOT NULL AND ph_lag1 IS NOT NULL AND y IS NOT NULL",
     "observed_or_predicted": f"SELECT op_day, round(max(coalesce(filt, p)), 6) AS value, CASE WHEN avg(CASE WHEN filt IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) = 0 THEN 'observed' WHEN avg(CASE WHEN filt IS NULL THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) = 1 THEN 'predicted' ELSE 'mixed' END AS source FROM (SELECT op_day, filt, lag(ntu) {W} AS p FROM {{s}}) x GROUP BY op_day",
     "odd_hour_interp": f"SELECT t_idx, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round(exp((ln(1 + a) + ln(1 + b)) / 2) - 1, 5) END AS odd_hour FROM (SELECT t_idx, ntu AS a, lead(ntu) {W} AS b FROM {{s}}) x",
     "scenario_elasticity": f"SELECT t_idx, factor, round(0.4 * rw * (factor - 1), 6) AS delta, CASE WHEN base > 0 AND factor <> 1 THEN round(0.4 * rw * (factor - 1) / base / (factor - 1), 6) END AS elasticity FROM (SELECT t_idx, rw, 5 + 0.4 * rw + 0.2 * alum AS base FROM {{s}} WHERE rw IS NOT NULL AND alum IS NOT NULL) x CROSS JOIN (VALUES (CAST(0.9 AS DOUBLE)), (CAST(1.1 AS DOUBLE))) AS g(factor)",
     "histogram_40": "WITH p AS (SELECT min(ntu) AS lo, percentile_cont(0.99) WITHIN GROUP (ORDER BY ntu) AS hi FROM {s}), v AS (SELECT CAST(least(floor(round((ntu - lo) / (hi - lo) * 40, 6)), 39) AS BIGINT) AS bin FROM {s} CROSS JOIN p WHERE ntu <= hi) SELECT bin, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY bin",
     "kernel_table": "SELECT CAST(tau AS BIGINT) AS tau, CAST(k AS BIGINT) AS lag_steps, round(exp(-2.0 / tau * k) / sum(exp(-2.0 / tau * k)) OVER (PARTITION BY tau), 6) AS weight FROM {taus} CROSS JOIN {taps} WHERE k < ceil(ln(0.05) / (-2.0 / tau))",
-    "fir_convolve": "WITH w AS (SELECT k, exp(-0.25 * k) / sum(exp(-0.25 * k)) OVER () AS weight FROM {taps} WHERE k < 12), m AS (SELECT median(rw) AS mid FROM {s}), c AS (SELECT series_id, t_idx, coalesce(rw, mid) AS x FROM {s} CROSS JOIN m) SELECT a.t_idx, round(sum(w.weight * b.x), 6) AS physical FROM c a CROSS JOIN w JOIN c b ON b.series_id = a.series_id AND b.t_idx = greatest(a.t_idx - w.k, 0) GROUP BY a.t_idx",
-    "tau_search": "WITH w AS (SELECT tau, k, exp(-2.0 / tau * k) / sum(exp(-2.0 / tau * k)) OVER (PARTITION BY tau) AS weight FROM {taus} CROSS JOIN {taps} WHERE k < ceil(ln(0.05) / (-2.0 / tau))), m AS (SELECT median(rw) AS mid FROM {s}), c AS (SELECT series_id, t_idx, coalesce(rw, mid) AS x, ntu FROM {s} CROSS JOIN m), p AS (SELECT w.tau, a.t_idx, max(a.ntu) AS y, sum(w.weight * b.x) AS x FROM c a CROSS JOIN w JOIN c b ON b.series_id = a.series_id AND b.t_idx = greatest(a.t_idx - w.k, 0) WHERE a.ntu IS NOT NULL GROUP BY w.tau, a.t_idx), f AS (SELECT tau, avg(x) AS mx, avg(y) AS my, count(*) * covar_pop(x, y) / (count(*) * var_pop(x) + 0.1) AS slope FROM p WHERE t_idx < 240 GROUP BY tau) SELECT CAST(p.tau AS BIGINT) AS tau, round(sqrt(avg((y - my - slope * (x - mx)) * (y - my - slope * (x - mx)))), 5) AS rmse FROM p JOIN f ON f.tau = p.tau WHERE t_idx >= 240 GROUP BY p.tau",
 }
