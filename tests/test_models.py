@@ -62,8 +62,6 @@ def test_ar_order_grid(spark):
         assert np.isclose(found[order, ridge], np.mean(errors))
 
 
-def test_cosine_ridge(spark):
-    found = {r["part"]: r for r in series.cosine_ridge(spark, SF).collect()}
     assert 0 < found["train"]["rmse"] < 100 and found["later"]["n"] > 0
 
 
