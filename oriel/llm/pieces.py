@@ -10,7 +10,9 @@ The forward state of a prefix depends on the model. For a unigram model it is th
 scores (Viterbi). For a merge model (BPE, as piece_bpe_32k.model is) best sums would not give
 the pieces of the model's own encoder. There the state of a prefix is the last piece of its
 encoding, which is unique: a piece may follow another if no merge that comes before either of
-them joins characters across their border. Both give what the sentencepiece library gives.
+them joins characters across their border. Both give what the sentencepiece library gives; but
+where two orders of the same unigram pieces have equal sums, the library's choice follows from
+the rounding of sums over the whole text before them, and may differ.
 
 Texts are encoded in Arrow batches where they lie: nothing is shuffled. A worker keeps the
 pieces of the words that it has met of late, `MOST_WORDS` or one batch at most.
