@@ -28,10 +28,15 @@ _local_default: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of this process."""
+    """spark.checkpoint.dir of the session; only where it is unset on a local master (tests), a folder of this process.
+
+    On a cluster no machine sees another's folders, so there the setting must be given.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not _local_default:
         _local_default.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _local_default[0]
