@@ -6,6 +6,8 @@ Floats are rounded to six decimals or fewer, as engines add up in different orde
 
 W = "OVER (PARTITION BY series_id ORDER BY t_idx)"
 LIMIT = "55.0"
+#: A mean of millionths as whole numbers: the same to the last bit in whatever order they are added.
+MEAN = "CAST(sum(CAST(round(ntu * 1000000) AS BIGINT)) AS DOUBLE) / nullif(count(ntu), 0) / 1000000"
 
 
 def _lags(names: tuple[str, ...], steps: tuple[int, ...]) -> str:
@@ -63,16 +65,16 @@ SERIES_SQL: dict[str, str] = {
     "residual_acf": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c) " + " UNION ALL ".join(f"SELECT {k} AS lag_steps, round(sum(c * c{k}) / sum(c * c), 6) AS acf FROM l" for k in range(1, 13)),
     "ljung_box": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c), a AS (SELECT count(*) AS n, sum(c * c) AS v, {', '.join(f'sum(c * c{k}) AS s{k}' for k in range(1, 13))} FROM l), q AS (SELECT n * (n + 2.0) * ({' + '.join(f'(s{k} / v) * (s{k} / v) / (n - {k})' for k in range(1, 13))}) / 2 AS h FROM a) SELECT round(2 * h, 5) AS q12, round(exp(-h) * (1 + h + h * h / 2 + h * h * h / 6 + h * h * h * h / 24 + h * h * h * h * h / 120), 9) AS p_value FROM q",
     "crosscorr_peak": f"WITH d AS (SELECT series_id, t_idx, rw - lag(rw) {W} AS x, filt - lag(filt) {W} AS y FROM {{s}}), l AS (SELECT y, {', '.join(f'lag(x, {k}) {W} AS x{k}' for k in range(0, 7))} FROM d), c AS (" + " UNION ALL ".join(f"SELECT {k} AS steps, corr(x{k}, y) AS r FROM l WHERE x{k} IS NOT NULL AND y IS NOT NULL" for k in range(0, 7)) + ") SELECT steps, round(r, 6) AS r, row_number() OVER (ORDER BY round(abs(r), 9) DESC, steps) = 1 AS peak FROM c",
-    "describe_windows": "SELECT CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END AS part, CAST(count(ntu) AS BIGINT) AS n, round(avg(ntu), 6) AS mean_value, round(stddev_samp(ntu), 6) AS sd, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY ntu), 6) AS p5, round(median(ntu), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ntu), 6) AS p95, round(min(ntu), 6) AS minimum, round(max(ntu), 6) AS maximum FROM {s} GROUP BY CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END",
+    "describe_windows": f"SELECT CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END AS part, CAST(count(ntu) AS BIGINT) AS n, {MEAN} AS mean_value, round(stddev_samp(ntu), 6) AS sd, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY ntu), 6) AS p5, round(median(ntu), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ntu), 6) AS p95, round(min(ntu), 6) AS minimum, round(max(ntu), 6) AS maximum FROM {{s}} GROUP BY CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END",
     "mode_degeneracy": "WITH v AS (SELECT n AS x, count(*) AS c FROM {s} GROUP BY n), m AS (SELECT median(n) AS mid FROM {s}), d AS (SELECT 1.4826 * median(abs(n - mid)) AS robust_scale FROM {s} CROSS JOIN m) SELECT CAST(count(*) AS BIGINT) AS distinct_values, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS mode_share, max(round(robust_scale, 6)) AS robust_scale, max(c) / CAST(sum(c) AS DOUBLE) >= 0.9 OR count(*) = 1 AS degenerate FROM v CROSS JOIN d",
     "pivot_min_matrix": "SELECT hour(ts) AS slot_hour, " + ", ".join(f"round(min(CASE WHEN (t_idx / 12) - floor(t_idx / 48) * 4 >= {d} AND (t_idx / 12) - floor(t_idx / 48) * 4 < {d + 1} THEN ntu END), 6) AS d{d}" for d in range(4)) + " FROM {s} GROUP BY hour(ts)",
-    "daily_mean": "SELECT CAST(ts AS DATE) AS day, round(avg(ntu), 5) AS mean_ntu, CAST(count(ntu) AS BIGINT) AS n FROM {s} GROUP BY CAST(ts AS DATE)",
+    "daily_mean": f"SELECT CAST(ts AS DATE) AS day, {MEAN} AS mean_ntu, CAST(count(ntu) AS BIGINT) AS n FROM {{s}} GROUP BY CAST(ts AS DATE)",
     "daily_risk": f"WITH {DAYS} SELECT op_day, CAST(valid_points AS BIGINT) AS valid_points, round(max_ntu, 6) AS max_ntu, round(amplitude, 6) AS amplitude, CAST(hours AS BIGINT) AS longest_hours, round(exceedance, 6) AS exceedance_load FROM days",
     "risk_grades": f"WITH {DAYS} SELECT op_day, {_grade()} AS grade, round(amplitude, 6) AS amplitude, CAST(hours AS BIGINT) AS longest_hours FROM days",
     "grade_summary": f"WITH {DAYS}, g AS (SELECT {_grade()} AS grade FROM days) SELECT d.grade, CAST(count(g.grade) AS BIGINT) AS days, round(count(g.grade) / CAST(sum(count(g.grade)) OVER () AS DOUBLE), 6) AS proportion FROM (VALUES ('SAFE'), ('LOW'), ('MEDIUM'), ('HIGH'), ('INSUFFICIENT')) AS d(grade) LEFT JOIN g ON g.grade = d.grade GROUP BY d.grade",
     "risk_robustness_81": f"WITH {DAYS}, a AS (SELECT * FROM (VALUES (8.0), (10.0), (12.0)) AS a(low)), b AS (SELECT * FROM (VALUES (18.0), (20.0), (22.0)) AS b(medium)), c AS (SELECT * FROM (VALUES (2), (4), (6)) AS c(brief)), d AS (SELECT * FROM (VALUES (6), (8), (10)) AS d(lasting)) SELECT CAST(low AS DOUBLE) AS low, CAST(medium AS DOUBLE) AS medium, brief, lasting, round(avg(CASE WHEN {_grade()} = {_grade('low', 'medium', 'brief', 'lasting')} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS unchanged FROM days CROSS JOIN a CROSS JOIN b CROSS JOIN c CROSS JOIN d GROUP BY low, medium, brief, lasting",
-    "argmin_grid": "WITH g AS (SELECT hour(ts) AS h, dayofyear(ts) % 2 AS odd, round(avg(ntu), 6) AS score FROM {s} GROUP BY hour(ts), dayofyear(ts) % 2) SELECT h, odd, score FROM g ORDER BY score, h, odd LIMIT 1",
-    "topk_factors": "SELECT hour(ts) AS factor, round(avg(ntu), 6) AS importance, CAST(row_number() OVER (ORDER BY round(avg(ntu), 6) DESC, hour(ts)) AS BIGINT) AS importance_rank FROM {s} GROUP BY hour(ts) ORDER BY importance DESC, factor LIMIT 8",
+    "argmin_grid": f"WITH g AS (SELECT hour(ts) AS h, dayofyear(ts) % 2 AS odd, {MEAN} AS score FROM {{s}} GROUP BY hour(ts), dayofyear(ts) % 2) SELECT h, odd, score FROM g ORDER BY score, h, odd LIMIT 1",
+    "topk_factors": f"SELECT hour(ts) AS factor, {MEAN} AS importance, CAST(row_number() OVER (ORDER BY {MEAN} DESC, hour(ts)) AS BIGINT) AS importance_rank FROM {{s}} GROUP BY hour(ts) ORDER BY importance DESC, factor LIMIT 8",
     "union_tagged": "SELECT 'day' AS model, CAST(op_day AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY op_day UNION ALL SELECT 'hour' AS model, CAST(hour(ts) AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY hour(ts)",
     "ridge_1d": "WITH v AS (SELECT rw AS x, ntu AS y FROM {s} WHERE rw IS NOT NULL AND ntu IS NOT NULL AND t_idx < 240), m AS (SELECT avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, CAST(count(*) AS DOUBLE) AS n, covar_pop(x, y) AS sxy FROM v) SELECT l AS ridge, round(n * sxy / sx / (n + l), 6) AS coefficient, round(my, 6) AS intercept FROM m CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1 AS DOUBLE)), (CAST(10 AS DOUBLE)), (CAST(100 AS DOUBLE))) AS g(l)",
     "ridge_gram": f"WITH f AS (SELECT {_lags(('rw', 'alum', 'ph'), (0, 1))}, ntu AS y FROM {{s}}) SELECT CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"round(CAST(sum(CAST(CAST(round({a} * 1000000) AS BIGINT) * CAST(round({b} * 1000000) AS BIGINT) AS DECIMAL(38, 0))) AS DOUBLE) / 1e12, 3) AS g_{a}_{b}" for a, b in (("rw_lag0", "rw_lag0"), ("rw_lag0", "rw_lag1"), ("rw_lag0", "alum_lag0"), ("rw_lag1", "ph_lag1"), ("alum_lag1", "y"), ("ph_lag0", "y"))) + " FROM f WHERE rw_lag0 IS NOT NULL AND rw_lag1 IS NOT NULL AND alum_lag0 IS NOT NULL AND alum_lag1 IS NOT NULL AND ph_lag0 IS NOT NULL AND ph_lag1 IS NOT NULL AND y IS NOT NULL",
