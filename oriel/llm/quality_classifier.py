@@ -8,9 +8,7 @@ statistics and whole-stage code alone, no model object on the executors.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassificationModel, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +28,15 @@ PENALTY = 0.002
 Rule = tuple[tuple[str, bool, float], ...]
 
 
-def tree_rules(description: str, names: list[str]) -> list[Rule]:
-    """The paths to all nodes below the root, from a tree's printed form (one comparison a line, indented by depth)."""
-    found, path = [], []
-    for line in description.splitlines():
-        if m := re.match(r"( *)(?:If|Else) \(feature (\d+) (<=|>) ([-\d.Ee+]+)\)", line):
-            depth = len(m[1])
-            path = [p for p in path if p[0] < depth] + [(depth, (names[int(m[2])], m[3] == "<=", float(m[4])))]
-            found.append(tuple(step for _, step in path))
+def tree_rules(tree: DecisionTreeClassificationModel, names: list[str]) -> list[Rule]:
+    """The paths to all nodes below the root of a tree, from its nodes."""
+    found, waiting = [], [(tree._call_java("rootNode"), ())]
+    while waiting:
+        node, path = waiting.pop()
+        found += [path] if path else []
+        if node.subtreeDepth():
+            name, bound = names[node.split().featureIndex()], node.split().threshold()
+            waiting += [(node.leftChild(), (*path, (name, True, bound))), (node.rightChild(), (*path, (name, False, bound)))]
     return found
 
 
@@ -67,7 +66,7 @@ def fit_rules(labelled: DataFrame, features: list[str], label: str) -> tuple[lis
         return [], 0.0 if not counts else 4.0 if 1 in counts else -4.0
     rows = labelled.select(array_to_vector(F.array(*[F.col(f).cast("double") for f in features])).alias("features"), F.col(label).cast("double").alias("label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5, subsamplingRate=0.5, featureSubsetStrategy="sqrt", maxBins=64).fit(rows)
-    rules = sorted({tidy(r) for tree in forest.trees for r in tree_rules(tree.toDebugString, features)})
+    rules = sorted({tidy(r) for tree in forest.trees for r in tree_rules(tree, features)})
     if not rules:
         return [], 4.0 if counts[1] > counts[0] else -4.0
     matrix = labelled.select(array_to_vector(F.array(*[holds(r).cast("double") for r in rules])).alias("features"), F.col(label).cast("double").alias("label"))

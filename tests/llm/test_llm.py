@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 from compare import same
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from oriel.llm import line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, registry, sharding, simhash, statistics, toxicity
@@ -433,8 +435,9 @@ def test_toxicity(spark, docs, none):
 
 
 def test_rules(spark):
-    found = quality_classifier.tree_rules(" If (feature 0 <= 0.5)\n  If (feature 1 <= 2.0)\n   Predict: 0.0\n  Else (feature 1 > 2.0)\n   Predict: 1.0\n Else (feature 0 > 0.5)\n  Predict: 1.0", ["a", "b"])
-    assert found == [(("a", True, 0.5),), (("a", True, 0.5), ("b", True, 2.0)), (("a", True, 0.5), ("b", False, 2.0)), (("a", False, 0.5),)]
+    grid = spark.createDataFrame([(Vectors.dense(a, b), float(a > 4 and b > 2)) for a in range(10) for b in range(10)], ["features", "label"])
+    found = quality_classifier.tree_rules(DecisionTreeClassifier(maxDepth=3, seed=1).fit(grid), ["a", "b"])
+    assert set(found) == {(("a", True, 4.5),), (("a", False, 4.5),), (("a", False, 4.5), ("b", True, 2.5)), (("a", False, 4.5), ("b", False, 2.5))} and len(found) == 4
     rows = spark.createDataFrame([(float(k % 10), 1.0, int(k % 10 > 4)) for k in range(200)], "a double, b double, label int")
     score = quality_classifier.compile_rules(*quality_classifier.fit_rules(rows, ["a", "b"], "label"))
     assert rows.where((score >= 0.5).cast("int") != F.col("label")).count() == 0
