@@ -46,11 +46,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs only the tasks that run, and a second
-    reader of the table doesn't compute it again. The files go when the driver's JVM ends.
+    reader of the table doesn't compute it again. The files go when the driver's JVM ends, or
+    by release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/oriel-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables as stage() gave them, once nothing that will still run reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
