@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oriel.llm import collocations, line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
+from oriel.llm import clustering, collocations, line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_media_sequences": media.op9_media_sequences,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_clusters": clustering.op11_clusters,
     "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_mix_sources": mixing.OP2_SQL,
+    "op11_clusters": clustering.OP11_SQL,
     "op13_collocations": collocations.OP13_SQL,
 }
