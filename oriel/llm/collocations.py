@@ -3,7 +3,7 @@
 A phrase of k words is named by the pair of names of its first and its last k - 1 words, so a
 name's two parents are all that cuts and subsumption need, and no phrase is ever compared as text.
 
-- Words: a name is the hash of language and word. Names are tried with one seed after another
+- Words: a name is a hash of language and word. Names are tried with one seed after another
   until no two words of the corpus share one, so they stand for the words exactly.
 - Pairs: adjacent names are counted; frequent pairs get an id from the table of all of them.
 - Three and four words: windows of four words whose first two pairs are frequent are counted
@@ -18,6 +18,7 @@ are exact. Where there are many more frequent names than bits it passes more, no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,16 +44,19 @@ def pieces_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return pieces.select("lang", words.alias("words")).where(F.size("words") > 0)
 
 
-def word_seed(words: DataFrame) -> int:
-    """The first seed under which no two rows (lang, word) have the same name; each try is one pass over the distinct words."""
-    seed = 0
-    while not words.groupBy(_named("word", seed).alias("name")).count().where("count > 1").isEmpty():
+def word_names(words: DataFrame) -> Callable[[str | Column], Column]:
+    """How words (of the column lang) are named: a hash of as many bits as the number of words asks for, with the first seed under which no two rows (lang, word) share one.
+
+    Each try is one pass over the distinct words; with four bits more than twice the number's, one in 16 fails.
+    """
+    mask, seed = (1 << min(63, 2 * words.count().bit_length() + 4)) - 1, 0
+    while not words.groupBy(_named("word", seed, mask).alias("name")).count().where("count > 1").isEmpty():
         seed += 1
-    return seed
+    return lambda word: _named(word, seed, mask)
 
 
-def _named(word: str | Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "lang", word)
+def _named(word: str | Column, seed: int, mask: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", word).bitwiseAND(F.lit(mask))
 
 
 def frequent_filter(names: DataFrame, *keys: str) -> tuple[DataFrame, int]:
@@ -63,13 +67,13 @@ def frequent_filter(names: DataFrame, *keys: str) -> tuple[DataFrame, int]:
     return marks, size
 
 
-def maybe_frequent(rows: DataFrame, marks: tuple[DataFrame, int], *keys: str) -> DataFrame:
-    """The rows whose keys may be those of a frequent name: all that are, and few others."""
+def maybe_frequent(rows: DataFrame, marks: tuple[DataFrame, int], *keys: str, mark: str | None = None) -> DataFrame:
+    """The rows whose keys may be those of a frequent name: all that are, and few others; mark: all rows, with a column that says it."""
     table, size = marks
-    bit = F.pmod(F.xxhash64(*keys), F.lit(size))
     own = F.broadcast(table.select(F.col("at").alias("_at"), F.col("bits").alias("_bits")))  # MOST_BITS / 64 rows at most
     is_set = F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1") == 1
-    return rows.withColumn("_bit", bit).join(own, (F.shiftright("_bit", 6) == F.col("_at")) & is_set).drop("_bit", "_at", "_bits")
+    both = rows.withColumn("_bit", F.pmod(F.xxhash64(*keys), F.lit(size))).join(own, F.shiftright("_bit", 6) == F.col("_at"), "left" if mark else "inner")
+    return (both.withColumn(mark, F.coalesce(is_set, F.lit(False))) if mark else both.where(is_set)).drop("_bit", "_at", "_bits")
 
 
 def _counted(rows: DataFrame, left: str, right: str, least: int, label: str, count: Column | None = None) -> DataFrame:
@@ -89,11 +93,11 @@ def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     left and right are names of words for pairs, else ids of the level below.
     """
     words = stage(pieces.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
-    seed = word_seed(words)
-    frequent = words.where(F.col("f") >= least).select("lang", "word", "f", _named("word", seed).alias("id"))
+    name = word_names(words)
+    frequent = words.where(F.col("f") >= least).select("lang", "word", "f", name("word").alias("id"))
     word_marks = frequent_filter(frequent, "id")
 
-    named = pieces.where(F.size("words") > 1).select(F.transform("words", lambda w: F.xxhash64(F.lit(seed), "lang", w)).alias("names"))
+    named = pieces.where(F.size("words") > 1).select(F.transform("words", name).alias("names"))
     at = named.select("names", F.posexplode("names").alias("pos", "w1")).withColumn("w2", F.get("names", F.col("pos") + 1)).where("w2 is not null")
     both = reduce(lambda rows, c: maybe_frequent(rows, word_marks, c), ("w1", "w2"), at.select("w1", "w2"))
     pairs = _counted(both, "w1", "w2", least, "pairs")
@@ -101,13 +105,16 @@ def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     pair_marks = frequent_filter(pairs, "left", "right")
     wide = at.select("w1", "w2", F.get("names", F.col("pos") + 2).alias("w3"), F.get("names", F.col("pos") + 3).alias("w4")).where("w3 is not null")
     wide = maybe_frequent(maybe_frequent(wide, pair_marks, "w1", "w2"), pair_marks, "w2", "w3")
+    # A last pair that isn't frequent says nothing: windows with it are one.
+    wide = maybe_frequent(wide, pair_marks, "w3", "w4", mark="goes_on").withColumn("w4", F.when(F.col("goes_on"), F.col("w4")))
     windows = wide.groupBy("w1", "w2", "w3", "w4").agg(F.count("*").alias("c"))
     linked = _join_name(_join_name(windows, pairs, "w1", "w2", "p1"), pairs, "w2", "w3", "p2")
     linked = _join_name(linked.select("p1", "p2", "w3", "w4", "c"), pairs, "w3", "w4", "p3", "left")
     links = stage(linked.groupBy("p1", "p2", "p3").agg(F.sum("c").alias("c")), "links")
 
     triples = _counted(links, "p1", "p2", least, "triples", F.col("c"))
-    on = links.where("p3 is not null")
+    marks = frequent_filter(triples, "left", "right")
+    on = maybe_frequent(maybe_frequent(links.where("p3 is not null"), marks, "p1", "p2"), marks, "p2", "p3")
     fours = _counted(_join_name(_join_name(on, triples, "p1", "p2", "t1"), triples, "p2", "p3", "t2"), "t1", "t2", least, "fours", F.col("c"))
     return words, frequent, [pairs, triples, fours], [words, pairs, links, triples, fours]
 
