@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oriel.llm import clustering, collocations, line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
+from oriel.llm import clustering, collocations, line_dedup, media, mixing, pieces, pii, quality_classifier, quality_rules, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_media_sequences": media.op9_media_sequences,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_clusters": clustering.op11_clusters,
+    "op12_token_counts": token_counts.op12_token_counts,
     "op13_collocations": collocations.op13_collocations,
 }
 
