@@ -7,54 +7,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from oriel.operators.regression import Ridge, fit_ridge, permutation_importance
+from oriel.operators.grids import PLACES, Grid, Share, parts
+from oriel.operators.local_fit import Fit
+from oriel.operators.passes import quantiles as select_quantiles
+from oriel.operators.regression import Ridge, permutation_importance
 
 #: Share of folds that must agree on a direction, and ranks that can be selected.
 AGREE, RANKS = 0.75, 6
 
 
-def quantiles(rows: DataFrame, names: list[str], at: list[float]) -> dict[str, list[float]]:
-    """Exact quantiles of several columns in one pass."""
-    found = rows.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in at])).alias(f"_{k}") for k, c in enumerate(names)]).first()
-    return {c: list(found[k] or [0.0] * len(at)) for k, c in enumerate(names)}
-
-
 def effect(model: Ridge, features: list[str], low: float, high: float) -> float:
     """Change of expm1 of the prediction when all features of a factor go from low to high, the others at their training medians."""
     return float(np.expm1(model.at(**dict.fromkeys(features, high))) - np.expm1(model.at(**dict.fromkeys(features, low))))
 
 
-def rank_correlations(rows: DataFrame, names: list[str], target: str) -> dict[str, float]:
-    """Spearman's rho of each column with the target over rows where both are known, by series pooled; one pass over the unpivoted rows."""
-    long = rows.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in names]))).where("x is not null")
-    average = lambda c: F.rank().over(Window.partitionBy("factor").orderBy(c)) + (F.count("*").over(Window.partitionBy("factor", c)) - 1) / 2
-    found = long.select("factor", average("x").alias("rx"), average("y").alias("ry")).groupBy("factor").agg(F.corr("rx", "ry").alias("rho")).collect()
-    return {r["factor"]: r["rho"] for r in found if r["rho"] is not None}
+def quartiles(grid: Grid, shares: list[Share], columns: int) -> dict[tuple[int, int], list[float]]:
+    """First and third quartile of each column of each share's training rows, by (share, column)."""
+    each = lambda x: ((s * PLACES + j, f[:, j]) for s, _, f, _, _ in parts(x, shares) for j in range(columns))
+    return {divmod(k, PLACES): q for k, q in select_quantiles(grid.rows, grid.columns, each, (0.25, 0.75)).items()}
+
+
+def rank_correlations(rows: DataFrame, names: list[str], target: str, folds: list[Column]) -> dict[tuple[int, str], float]:
+    """Spearman's rho of each column with the target over the rows of each fold where both are known, by (fold, column); one pass over the unpivoted rows.
+
+    Ranks are made of counts of distinct values, so that rows themselves are never sorted together.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for c in names])
+    member = F.explode(F.filter(F.array(*[F.when(f, k) for k, f in enumerate(folds)]), lambda k: k.isNotNull())).alias("fold")
+    long = rows.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), pairs.alias("pairs"), member).select("y", "fold", F.inline("pairs")).where("x is not null")
+
+    def ranked(column: str) -> DataFrame:
+        counts = long.groupBy("fold", "factor", column).agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("fold", "factor").orderBy(column)) - F.col("n")
+        return counts.select("fold", "factor", column, (before + (F.col("n") + 1) / 2).alias(f"r{column}"))
+
+    both = long.join(ranked("x"), ["fold", "factor", "x"]).join(ranked("y"), ["fold", "factor", "y"])
+    found = both.groupBy("fold", "factor").agg(F.corr("rx", "ry").alias("rho")).collect()  # one row a fold and factor
+    return {(r["fold"], r["factor"]): r["rho"] for r in found if r["rho"] is not None}
+
 
+def factor_table(rows: DataFrame, grid: Grid, shares: list[Share], models: dict[int, Fit], factors: dict[str, list[str]], features: list[str], target: str, folds: list[Column], test: Column, logs: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (factor, importance, importance_rank, effect, direction, rho, fold_signs, rho_signs, agreement, consistent, selected).
 
-def factor_table(spark: SparkSession, rows: DataFrame, factors: dict[str, list[str]], target: str, folds: list[Column], train: Column, test: Column, ridge: float) -> DataFrame:
-    """Rows (factor, importance, importance_rank, effect, direction, rho, fold_signs, agreement, consistent, selected).
+    target: the target on its own scale; the models learn its log1p.
 
-    target: a column of logarithms. importance: growth of the test error when the factor's blocks
-    change places; effect: from the first to the third quartile; a fold agrees if its effect has
-    the sign of its rank correlation and isn't zero. Ranks go by importance, then name.
+    shares and models, by number, are those of the folds, whose training rows `folds` name, and last
+    those of the model itself. The grid's columns are the features, then the factors as they are.
+    importance: growth of the test error, on the target's own scale, when the factor's blocks
+    change places; effect: from the first to the third quartile (their logarithms for `logs`); a
+    fold agrees if its effect has the sign of its rank correlation and isn't zero. Ranks go by
+    importance, then name.
     """
-    names, features = list(factors), [f for fs in factors.values() for f in fs]
-    known, signs = rows.where(F.col(target).isNotNull()), {c: [] for c in factors}
-
-    def told(part: DataFrame) -> tuple[Ridge, dict[str, float], dict[str, float]]:
-        model, q = fit_ridge(part, features, target, ridge, robust=True), quantiles(part, names, [0.25, 0.75])
-        return model, {c: effect(model, factors[c], *q[c]) for c in names}, rank_correlations(part, names, target)
-
-    for fold in folds:
-        _, effects, rhos = told(known.where(fold))
-        for c in names:
-            signs[c].append((int(np.sign(effects[c])), int(np.sign(rhos.get(c, 0.0)))))
-    model, effects, rhos = told(known.where(train))
-    grown = {r["factor"]: r["importance"] for r in permutation_importance(rows.where(test), model, target, factors).collect()}
-    agreed = {c: float(np.mean([a == b != 0 for a, b in signs[c]])) for c in names}
-    table = [(c, float(grown[c] or 0.0), effects[c], ("flat", "positive", "negative")[int(np.sign(effects[c]))], rhos.get(c), ",".join(str(a) for a, _ in signs[c]), agreed[c], agreed[c] >= AGREE) for c in names]
-    out = spark.createDataFrame(table, "factor string, importance double, effect double, direction string, rho double, fold_signs string, agreement double, consistent boolean")
+    names, last = list(factors), len(shares) - 1
+    spans = quartiles(grid, [Share(s.fold, lambda x: x[:, len(features) :]) for s in shares], len(names))
+    rhos = rank_correlations(rows, names, target, folds)
+    effects = {}
+    for s, fit in models.items():
+        for j, c in enumerate(names):
+            low, high = (np.log1p(q) if c in logs else q for q in spans[s, j])
+            effects[s, c] = effect(Ridge.of(features, fit), factors[c], low, high)
+    sign = lambda v: int(np.sign(v))
+    signs = {c: [(sign(effects[s, c]), sign(rhos.get((s, c), 0.0))) for s in range(last) if s in models] for c in names}
+    back = lambda p: F.greatest(F.lit(0.0), F.expm1(p))
+    grown = {r["factor"]: r["importance"] for r in permutation_importance(rows.where(test), Ridge.of(features, models[last]), target, factors, back=back).collect()}
+    agreed = {c: float(np.mean([a == b != 0 for a, b in signs[c]])) if signs[c] else 0.0 for c in names}
+    table = [(c, float(grown[c] or 0.0), effects[last, c], ("flat", "positive", "negative")[sign(effects[last, c])], rhos.get((last, c)), ",".join(str(a) for a, _ in signs[c]), ",".join(str(b) for _, b in signs[c]), agreed[c], agreed[c] >= AGREE) for c in names]
+    out = rows.sparkSession.createDataFrame(table, "factor string, importance double, effect double, direction string, rho double, fold_signs string, rho_signs string, agreement double, consistent boolean")
     ranked = out.withColumn("importance_rank", F.row_number().over(Window.orderBy(F.desc("importance"), "factor")))  # one row a factor
     return ranked.withColumn("selected", (F.col("importance_rank") <= RANKS) & (F.col("importance") > 0) & F.col("consistent"))
 
@@ -69,15 +87,15 @@ def parameter_table(spark: SparkSession, model: Ridge, sources: dict[str, list[s
 
 
 def partial_curves(parameters: DataFrame, spans: DataFrame, points: int = 25) -> DataFrame:
-    """Rows (factor, value, conditional) from a parameter table and rows (factor, first, last): the prediction along an even grid.
+    """Rows (factor, value, conditional) from a parameter table and rows (factor, first, last, logs): the prediction along an even grid.
 
-    All features of the factor take the value together, the others their medians; the prediction
-    is at least 0. Both tables have one row a feature or factor.
+    All features of the factor take the value (logs: log1p of it) together, the others their
+    medians; the prediction is at least 0. Both tables have one row a feature or factor.
     """
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    grid = spans.select("factor", "first", "last", step.alias("_k")).withColumn("value", F.col("first") + (F.col("last") - F.col("first")) * F.col("_k") / (points - 1))
+    grid = spans.select("factor", "first", "last", "logs", step.alias("_k")).withColumn("value", F.col("first") + (F.col("last") - F.col("first")) * F.col("_k") / (points - 1))
     both = F.broadcast(parameters).crossJoin(grid)
-    x = F.when(F.col("source") == F.col("factor"), F.col("value")).otherwise(F.col("mid"))
+    x = F.when(F.col("source") == F.col("factor"), F.when(F.col("logs"), F.log1p("value")).otherwise(F.col("value"))).otherwise(F.col("mid"))
     term = F.when(F.col("feature") == "intercept", F.col("coefficient")).otherwise((F.least(F.greatest(x, F.col("low")), F.col("high")) - F.col("mean")) / F.col("scale") * F.col("coefficient"))
     summed = both.groupBy("factor", "_k", "value").agg(F.sum(term).alias("total"))
     return summed.select("factor", "value", F.greatest(F.lit(0.0), F.expm1("total")).alias("conditional"))

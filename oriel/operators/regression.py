@@ -1,77 +1,18 @@
-"""Ridge regression from distributed Gram matrices.
-
-Each partition adds up its products in numpy and sends one matrix; these are summed by Spark,
-and what reaches the driver has (features + 2) squared numbers a group, whatever the rows.
-"""
+"""A fitted model of named features as Spark columns, its fit over all rows, and what its features matter to it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rounds of reweighting, and the residual (in robust scales) from which a row weighs less.
-HUBER_ROUNDS, HUBER_AT = 5, 1.345
-
-
-def gram(rows: DataFrame, columns: list[Column], weight: Column | None = None, group: Column | None = None, expand: Callable[[np.ndarray], np.ndarray] | None = None) -> dict[int, np.ndarray]:
-    """Sums of weight * a * b over rows for all pairs of (1, *columns), by group (long; 0 without one). No rows give no matrix.
-
-    expand: makes further columns of these, all of them known, inside the tasks.
-    """
-    width = (len(columns) if expand is None else expand(np.zeros((1, len(columns)))).shape[1]) + 1
-
-    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            groups, weights = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]])
-            x = np.column_stack([np.ones(batch.num_rows), x if expand is None else expand(x)])
-            for g in np.unique(groups).tolist():
-                own = groups == g
-                sums[g] = sums.get(g, 0.0) + x[own].T @ (x[own] * weights[own, None])
-        size = width * width
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(sums), size), pa.int64()), pa.array(list(range(size)) * len(sums), pa.int64()), pa.array(np.concatenate([m.ravel() for m in sums.values()]) if sums else [], pa.float64())], ["g", "place", "part"])
-
-    chosen = rows.select((F.lit(0) if group is None else group).cast("long").alias("g"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w"), *[c.cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
-    out: dict[int, np.ndarray] = {}
-    for g, place, total in chosen.mapInArrow(products, "g long, place long, part double").groupBy("g", "place").agg(F.sum("part")).collect():
-        out.setdefault(g, np.zeros((width, width)))[divmod(place, width)] = total
-    return out
-
-
-def solve(sums: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, scale, weights of standardised features, intercept) from the Gram matrix of (1, features, target).
-
-    Standard deviations are of the whole population; one under 1e-10 counts as 1; the intercept isn't penalised.
-    """
-    n, mean = sums[0, 0], sums[0, 1:-1] / sums[0, 0]
-    spread = sums[1:-1, 1:-1] / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(spread), 0))
-    scale[scale < 1e-10] = 1.0
-    return mean, scale, *_normal(sums, mean, scale, ridge)
-
-
-def _normal(sums: np.ndarray, mean: np.ndarray, scale: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Weights and intercept over (x - mean) / scale, from a Gram matrix of raw (1, x, y)."""
-    p = len(mean)
-    turn = np.zeros((p + 1, p + 1))  # (1, z) = turn @ (1, x)
-    turn[0, 0] = 1
-    turn[1:, 0], turn[1:, 1:] = -mean / scale, np.diag(1 / scale)
-    left = turn @ sums[:-1, :-1] @ turn.T + ridge * np.diag([0.0] + [1.0] * p)
-    found = np.linalg.solve(left, turn @ sums[:-1, -1])
-    return found[1:], float(found[0])
-
-
-def error(sums: np.ndarray, weights: np.ndarray, intercept: float) -> float:
-    """Root mean square error of intercept + weights * x over the rows of a Gram matrix of (1, x, y)."""
-    v = np.r_[intercept, weights, -1.0]
-    return float(np.sqrt(max(0.0, v @ sums @ v) / sums[0, 0]))
+from oriel.operators.grids import Grid, Share, raw
+from oriel.operators.local_fit import Fit
+from oriel.session import release, stage
 
 
 @dataclass
@@ -87,6 +28,10 @@ class Ridge:
     weights: np.ndarray
     intercept: float
 
+    @staticmethod
+    def of(features: list[str], fit: Fit) -> Ridge:
+        return Ridge(features, fit.low.tolist(), fit.mid.tolist(), fit.high.tolist(), fit.mean, fit.scale, fit.weights, fit.intercept)
+
     def prepared(self, of: Callable[[str], Column] = F.col) -> list[Column]:
         """Features with nulls replaced by the median, cut at the bounds; of: where a feature is taken from."""
         return [F.least(F.greatest(F.coalesce(of(f).cast("double"), F.lit(m)), F.lit(a)), F.lit(b)) for f, a, m, b in zip(self.features, self.low, self.mid, self.high, strict=True)]
@@ -104,37 +49,29 @@ class Ridge:
 
 
 def fit_ridge(rows: DataFrame, features: list[str], target: str, ridge: float, robust: bool = False) -> Ridge:
-    """Ridge on cut, filled and standardised features; robust: HUBER_ROUNDS rounds of reweighting.
+    """Ridge on cut, filled and standardised features; robust: rounds of reweighting (HUBER_ROUNDS with the first fit).
 
     Bounds are the 0.5 and 99.5 percentiles of the known values, before filling; a feature
     without values counts as 0. Rows without a target are left out; no rows raise ValueError.
     The robust scale is 1.4826 times the median distance of residuals from their median, at
-    least 1e-8; a residual is compared as it is, not from the median.
+    least 1e-8; a residual is compared as it is, not from the median. What the passes read is
+    staged once, so rows are computed once.
     """
-    known = rows.where(F.col(target).isNotNull())
-    bounds = known.agg(*[F.percentile(F.col(f).cast("double"), F.array(F.lit(0.005), F.lit(0.5), F.lit(0.995))).alias(f"_{k}") for k, f in enumerate(features)]).first()
-    low, mid, high = (list(x) for x in zip(*[b or [0.0] * 3 for b in bounds], strict=True))
-    model = Ridge(features, low, mid, high, np.zeros(len(features)), np.ones(len(features)), np.zeros(len(features)), 0.0)
-    columns = [*model.prepared(), F.col(target)]
-    found = gram(known, columns)
+    known = stage(rows.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in [*features, target]]), "fit")
+    grid = Grid(known, F.lit(0), F.col(target), F.col(target), [F.col(f) for f in features])
+    found = grid.fit([Share(1, raw)], (ridge,), robust)
+    release(known)
     if not found:
         raise ValueError("no rows with a target")
-    model.mean, model.scale, model.weights, model.intercept = solve(found[0], ridge)
-    for _ in range(HUBER_ROUNDS - 1 if robust else 0):
-        off = F.col(target) - model.predict()
-        middle = known.agg(F.median(off)).first()[0]
-        scale = max(1.4826 * known.agg(F.median(F.abs(off - F.lit(middle)))).first()[0], 1e-8)
-        score = F.abs(off) / F.lit(scale)
-        weight = F.when(score <= HUBER_AT, F.lit(1.0)).otherwise(F.lit(HUBER_AT) / score)
-        model.weights, model.intercept = _normal(gram(known, columns, weight)[0], model.mean, model.scale, ridge)
-    return model
-
-
-def permutation_importance(rows: DataFrame, model: Ridge, target: str, groups: dict[str, list[str]], block: int = 12) -> DataFrame:
+    return Ridge.of(features, found[0, 0])
+
+
+def permutation_importance(rows: DataFrame, model: Ridge, target: str, groups: dict[str, list[str]], block: int = 12, back: Callable[[Column], Column] = lambda p: p) -> DataFrame:
     """Rows (factor, importance): by how much the error grows when a factor's features come from another block.
 
     Whole blocks of t_idx change places by a hash of their number, all features of a factor
-    together. One join serves all factors. A last block that isn't full is left out.
+    together. One join serves all factors. A last block that isn't full is left out. back:
+    leads from predictions to the scale of the target.
     """
     placed = rows.withColumn("_block", F.floor(F.col("t_idx") / block)).withColumn("_at", F.col("t_idx") % block)
     full = placed.groupBy("series_id", "_block").agg(F.count("*").alias("_n")).where(F.col("_n") == block).drop("_n")
@@ -143,52 +80,6 @@ def permutation_importance(rows: DataFrame, model: Ridge, target: str, groups: d
     swap = ranked.select("series_id", "_block", "_k").join(ranked.select("series_id", F.col("_j").alias("_k"), F.col("_block").alias("_from")), ["series_id", "_k"]).drop("_k")
     source = placed.select("series_id", F.col("_block").alias("_from"), "_at", *[F.col(f).alias(f"_{f}") for f in model.features])
     both = placed.join(swap, ["series_id", "_block"]).join(source, ["series_id", "_from", "_at"]).where(F.col(target).isNotNull())
-    rmse = lambda p: F.sqrt(F.avg((F.col(target) - p) * (F.col(target) - p)))
+    rmse = lambda p: F.sqrt(F.avg((F.col(target) - back(p)) * (F.col(target) - back(p))))
     moved = [F.struct(F.lit(name).alias("factor"), (rmse(model.predict(lambda f, own=own: F.col(f"_{f}" if f in own else f))) - rmse(model.predict())).alias("importance")) for name, own in groups.items()]
     return both.agg(F.array(*moved).alias("all")).select(F.inline("all"))
-
-
-def order_grid(rows: DataFrame, lags: list[str], target: str, cells: Column, folds: int, orders: tuple[int, ...], ridges: tuple[float, ...]) -> list[tuple[int, float, float]]:
-    """(order, ridge, mean error over the folds) from one pass over the rows.
-
-    cells: 0 for what every fold trains on, k for what fold k validates and later folds train on.
-    The sums of each cell are kept apart, so a fold's training sums are those of the cells before.
-    """
-    complete = rows.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*lags, target])))
-    sums = gram(complete, [F.col(c) for c in [*lags, target]], group=cells)
-    out = []
-    for order in orders:
-        keep = [*range(order + 1), len(lags) + 1]
-        part = {k: m[np.ix_(keep, keep)] for k, m in sums.items()}
-        for ridge in ridges:
-            errors = fold_errors(part, folds, ridge)
-            if errors:
-                out.append((order, ridge, float(np.mean(errors))))
-    return out
-
-
-def cosine_expand(width: int, count: int, spread: float, seed: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Random Fourier features of `width` standardised columns and a target, which stays the last column: sqrt(2 / count) * cos(x W + phase), W normal with variance 2 * spread."""
-    draw = np.random.default_rng(seed)
-    w, phase = draw.normal(0, np.sqrt(2 * spread), (width, count)), draw.uniform(0, 2 * np.pi, count)
-    return lambda x: np.column_stack([np.sqrt(2 / count) * np.cos(x[:, :width] @ w + phase), x[:, width:]])
-
-
-def fold_errors(sums: dict[int, np.ndarray], folds: int, ridge: float, back: Callable[[float], float] = float) -> list[float]:
-    """Validation errors from sums by cell: cell 0 is what every fold trains on, cell k what fold k validates and later folds train on."""
-    errors = []
-    for fold in range(1, folds + 1):
-        before = [sums[k] for k in range(fold) if k in sums]
-        if before and fold in sums:
-            mean, scale, w, b = solve(sum(before), ridge)
-            errors.append(back(error(sums[fold], w / scale, b - float(mean @ (w / scale)))))
-    return errors
-
-
-def pairwise_spread(points: DataFrame, columns: list[Column], key: Column, most: int = 1000) -> float:
-    """1 / (2 * median squared distance) over all pairs of the `most` rows with the least hashes of their key; distances of zero don't count, without others 0.5."""
-    sample = points.select(F.xxhash64(key).alias("h"), F.array(*columns).alias("v")).orderBy("h", "v").limit(most).withColumn("i", F.monotonically_increasing_id())
-    other = F.broadcast(sample.select(F.col("i").alias("j"), F.col("v").alias("w")))  # `most` rows
-    apart = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    found = sample.join(other, F.col("i") < F.col("j")).select(apart.alias("d")).where("d > 1e-12").agg(F.median("d")).first()[0]
-    return 0.5 if found is None else 1 / (2 * found)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
 from oriel.operators.recursion import GAPS_SQL, fill_gaps
-from oriel.operators.regression import Ridge, fit_ridge, order_grid, permutation_importance
+from oriel.operators.regression import Ridge, fit_ridge, permutation_importance
 from oriel.plans import forecast, frames, searches
 from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
@@ -79,13 +79,6 @@ def block_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_importance(rows.where(F.col("t_idx") >= TRAIN_BEFORE), _factor_model(rows), "ntu", FACTORS)
 
 
-def ar_order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean validation error by order and ridge over four folds of three days."""
-    cell = F.greatest(F.lit(0), F.least(F.lit(4), F.floor((F.col("t_idx") - 180) / 36) + 1))
-    found = order_grid(lagged(spark, sf_dir, ("ntu",), 12), [f"ntu_{k}" for k in range(1, 13)], "ntu", cell, 4, (3, 6, 9, 12), (0.01, 0.1, 1.0, 10.0, 100.0))
-    return spark.createDataFrame(found, "ar_order int, ridge double, rmse double")
-
-
-MODELS = {f.__name__: f for f in (huber_ridge, block_importance, ar_order_grid)}
+MODELS = {f.__name__: f for f in (huber_ridge, block_importance)}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS | frames.QUERIES | forecast.QUERIES | searches.QUERIES
 ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"} | forecast.ORACLES | {name: _series_oracle(text) for name, text in frames.SQL.items()}

@@ -208,65 +208,12 @@ def test_frames_of_two_series(spark, monkeypatch, name):
     assert rows["both"] == sorted(rows["a"] + rows["b"])
 
 
-def brute_ridge(x, y, ridge):
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale < 1e-10] = 1
-    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    beta = np.linalg.solve(z.T @ z + ridge * np.diag([0] + [1] * x.shape[1]), z.T @ y)
-    return lambda v: beta[0] + (v - mean) / scale @ beta[1:]
-
-
-def test_delay_search(spark):
-    """Some of the 5,120 fits on the rows themselves."""
-    rows = searches._delay_design(spark, SF).toPandas().sort_values("t_idx")
-    got = searches.delay_search(spark, SF).toPandas()
-    assert len(got) == 1280 and got["best"].sum() == 1 and got.loc[got["best"], "rmse"].iloc[0] == got["rmse"].min()
-    t, y = rows["t_idx"].to_numpy(), rows["y"].to_numpy()
-    for delays, ridge in (((0, 0, 0, 0), 0.01), ((1, 2, 3, 0), 1.0), ((3, 3, 3, 3), 100.0)):
-        x = rows[searches._chosen(delays, 3)].to_numpy(float)
-        errors = [np.sqrt(np.mean((brute_ridge(x[t < a], y[t < a], ridge)(x[(t >= a) & (t < b)]) - y[(t >= a) & (t < b)]) ** 2)) for a, b in searches.FOLDS]
-        row = got[(got[[f"{c}_delay" for c in searches.DELAYED]] == delays).all(axis=1) & (got["ridge"] == ridge)]
-        assert np.isclose(row["rmse"].iloc[0], np.mean(errors), rtol=1e-6)
-    external = searches.arx_external(spark, SF).toPandas()
-    terms = searches.arx_parameters(spark, SF).toPandas()
-    best = got.loc[got["best"]].iloc[0]
-    names, order = list(terms["term"][1:]), int(terms["ar_order"].iloc[0])
-    delays = tuple(int(best[f"{c}_delay"]) for c in searches.DELAYED)
-    if names == searches._chosen(delays, order):
-        x, early = rows[names].to_numpy(float), t < searches.FOLDS[-1][1]
-        made = np.maximum(0, np.expm1(brute_ridge(x[early], y[early], float(terms["ridge"].iloc[0]))(x[~early])))
-        assert np.allclose(external.sort_values("t_idx")["made"], made)
-
-
 def test_partial_curves_replay_the_model(spark):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(*map(float, r), float(r @ [0.1, -0.2, 0.05])) for r in rng.normal(size=(200, 3))], "a double, a_lag1 double, b double, y double")
     model, sources = fit_ridge(rows, ["a", "a_lag1", "b"], "y", 1.0), {"a": ["a", "a_lag1"], "b": ["b"]}
     table = searches.parameter_table(spark, model, sources)
-    curves = partial_curves(table, spark.createDataFrame([("a", -1.0, 1.0), ("b", 0.0, 2.0)], "factor string, first double, last double")).toPandas()
+    curves = partial_curves(table, spark.createDataFrame([("a", -1.0, 1.0, False), ("b", 0.0, 2.0, True)], "factor string, first double, last double, logs boolean")).toPandas()
     assert len(curves) == 50
     for r in curves.itertuples():
-        assert np.isclose(r.conditional, max(0, np.expm1(model.at(**dict.fromkeys(sources[r.factor], r.value)))))
-
-
-def test_factor_ranking(spark):
-    got = searches.factor_ranking(spark, SF).toPandas().sort_values("importance_rank")
-    assert list(got["importance"]) == sorted(got["importance"], reverse=True) and set(got["factor"]) == set(searches.SERIES)
-    rows = searches.designed(spark, SF).where(F.col("t_idx") < searches.TRAIN_BEFORE).toPandas()
-    known = rows[rows["y"].notna()]
-    features = [f for fs in searches.FACTORS.values() for f in fs]
-    made, mids = brute_fit(known[features].to_numpy(float), known["y"].to_numpy(float), 10.0), known[features].median()
-    for r in got.itertuples():
-        ends = []
-        for q in (0.75, 0.25):
-            v = mids.copy()
-            v[searches.FACTORS[r.factor]] = known[r.factor].quantile(q)
-            ends.append(np.expm1(made(v.to_numpy(float)[None])[0]))
-        assert np.isclose(r.effect, ends[0] - ends[1], rtol=1e-5) and np.isclose(r.rho, known[r.factor].rank().corr(known.loc[known[r.factor].notna(), "y"].rank()))
-        assert r.selected == (r.importance_rank <= 6 and r.importance > 0 and r.agreement >= 0.75)
-
-
-def test_cosine_grid(spark):
-    """The grid's errors come from matrices; one cell by plain features of the rows."""
-    got = searches.cosine_grid(spark, SMALL).toPandas()
-    assert len(got) == 15 and got["best"].sum() == 1 and got.loc[got["best"], "rmse"].iloc[0] == got["rmse"].min() and (got["rmse"] > 0).all()
+        assert np.isclose(r.conditional, max(0, np.expm1(model.at(**dict.fromkeys(sources[r.factor], np.log1p(r.value) if r.factor == "b" else r.value)))))

@@ -45,23 +45,6 @@ def test_block_importance(spark, frame):
     assert set(found) == set(series.FACTORS) and all(np.isfinite(v) for v in found.values())
 
 
-def test_ar_order_grid(spark):
-    rows = series.lagged(spark, SF, ("ntu",), 12).toPandas().sort_values("t_idx")
-    lags = [f"ntu_{k}" for k in range(1, 13)]
-    rows = rows.dropna(subset=[*lags, "ntu"])
-    cell = np.clip((rows.t_idx - 180) // 36 + 1, 0, 4)
-    found = {(r["ar_order"], r["ridge"]): r["rmse"] for r in series.ar_order_grid(spark, SF).collect()}
-    assert len(found) == 20
-    for order, ridge in ((3, 0.01), (12, 100.0)):
-        errors = []
-        for k in range(1, 5):
-            a, b = rows[cell < k], rows[cell == k]
-            x, v = a[lags[:order]].to_numpy(), b[lags[:order]].to_numpy()
-            beta = fit((x - x.mean(0)) / x.std(0), a.ntu.to_numpy(), ridge, 1)
-            errors.append(np.sqrt(np.mean((b.ntu - beta[0] - (v - x.mean(0)) / x.std(0) @ beta[1:]) ** 2)))
-        assert np.isclose(found[order, ridge], np.mean(errors))
-
-
 def test_feature_without_values_and_no_rows(spark):
     rows = spark.createDataFrame([(float(k % 7), None, float(2 * (k % 7))) for k in range(50)], "a double, b double, y double")
     model = fit_ridge(rows, ["a", "b"], "y", 1e-9)
