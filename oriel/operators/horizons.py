@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oriel.operators.local_fit import Fit, fit
-from oriel.operators.state import HORIZONS, STATE_NAMES
+from oriel.operators.state import HORIZONS, ROLES, STATE_NAMES
 
 RIDGES = (0.01, 0.1, 1.0, 10.0, 100.0)
 #: Blocks of errors that paths take, and how many joint error vectors a series needs at least.
@@ -27,17 +27,23 @@ def state_array() -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in STATE_NAMES])
 
 
-def horizon_samples(states: DataFrame, target: str = "ntu", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Rows (series_id, t_idx, horizon, at, x, base, actual, persisted): one for each origin with known residuals and each horizon whose target is known.
+def horizon_origins(states: DataFrame, target: str = "ntu", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """Rows (series_id, t_idx, horizon, at, x, base, actual, persisted): one for each origin with known residuals and each horizon, whether or not its target is known.
 
-    at: the target's t_idx; x: the state vector; base: the logarithm (of one more) of the
-    physical forecast; persisted: the origin's own value. The model's target is log1p(actual) - base.
+    at: the target's t_idx, which may lie beyond the series; x: the state vector; base: the
+    logarithm (of one more) of the physical forecast; actual: the target, null if it isn't
+    known; persisted: the origin's own value. A model's target is log1p(actual) - base.
     """
     by = Window.partitionBy("series_id").orderBy("t_idx")
     ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead(target, h).over(by).alias("actual"), F.log1p(f"ahead{h}").alias("base")) for h in horizons])
     rows = states.select("series_id", "t_idx", "available", state_array().alias("x"), F.col(target).alias("persisted"), ahead.alias("_ahead"))
     rows = rows.where("available").select("series_id", "t_idx", "x", "persisted", F.inline("_ahead"))
-    return rows.where("actual is not null and base is not null").withColumn("at", F.col("t_idx") + F.col("horizon"))
+    return rows.where("base is not null").withColumn("at", F.col("t_idx") + F.col("horizon"))
+
+
+def horizon_samples(states: DataFrame, target: str = "ntu", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """The rows of horizon_origins() whose target is known: what models learn from and are judged by."""
+    return horizon_origins(states, target, horizons).where("actual is not null")
 
 
 def _choose(folds: tuple[tuple[int, int], ...], ridges: tuple[float, ...], ends: dict[str, int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -133,21 +139,34 @@ def _fill(rows: pd.DataFrame) -> pd.DataFrame:
             x[:6] = state
             y = max(0.0, float(np.expm1(r.base + model.predict(x[None])[0])))
         state = np.r_[np.nan if pd.isna(y) else np.log1p(y) - r.log_physical, state[:5]]
-        out.append(y)
-    return rows[["series_id", "t_idx"]].assign(filled=out)
+        out.append((y, state[0]))
+    return rows[["series_id", "t_idx"]].assign(filled=[y for y, _ in out], residual=[r for _, r in out])
 
 
-def fill_gaps_by_model(states: DataFrame, models: DataFrame, target: str = "ntu", model: str = "final") -> DataFrame:
-    """Rows (series_id, t_idx, filled): target, or where it is null the one-step forecast from the state filled so far.
+def fill_gaps_by_model(states: DataFrame, models: DataFrame, target: str = "ntu", model: str = "final", free: tuple[int, int] | None = None) -> DataFrame:
+    """Rows (series_id, t_idx, filled, residual): target, or where it is null the one-step forecast from the state filled so far; residual is that of filled.
 
-    The recursion needs the last six residuals: it starts anew where these are all observed, so a
-    series falls into stretches that run side by side. Without a forecast a gap stays null.
+    free: slots (first, after the last) that are forecast though they may be observed; what is
+    observed there isn't read. The recursion needs the last six residuals: it starts anew where
+    these are all observed, so a series falls into stretches that run side by side, of which the
+    free slots are one with the six after them. Without a forecast a gap stays null.
     """
     by = Window.partitionBy("series_id").orderBy("t_idx")
-    rows = states.select("series_id", "t_idx", F.col(target).alias("y"), F.log1p("physical").alias("log_physical"), F.lag(state_array(), 1).over(by).alias("x"), F.lag(F.log1p("ahead1"), 1).over(by).alias("base"), F.lag("available", 1, False).over(by).alias("_known"))
+    seen = F.col(target) if free is None else F.when((F.col("t_idx") < free[0]) | (F.col("t_idx") >= free[1]), F.col(target))
+    known = F.count(F.when(seen.isNotNull(), F.col("physical"))).over(by.rowsBetween(-6, -1)) == 6
+    rows = states.select("series_id", "t_idx", seen.alias("y"), F.log1p("physical").alias("log_physical"), F.lag(state_array(), 1).over(by).alias("x"), F.lag(F.log1p("ahead1"), 1).over(by).alias("base"), known.alias("_known"))
     rows = rows.withColumn("stretch", F.sum(F.col("_known").cast("long")).over(by)).drop("_known")
     own = models.where((F.col("model") == model) & (F.col("horizon") == 1)).select("series_id", "numbers")
-    return rows.join(own, "series_id", "left").groupBy("series_id", "stretch").applyInPandas(_fill, "series_id string, t_idx long, filled double")
+    filled = rows.join(own, "series_id", "left").groupBy("series_id", "stretch").applyInPandas(_fill, "series_id string, t_idx long, filled double, residual double")
+    return filled.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("filled", "residual")})
+
+
+def with_filled(states: DataFrame, filled: DataFrame) -> DataFrame:
+    """states with the residuals of fill_gaps_by_model(): their lags and what is available follow from these; and with the column filled."""
+    by = Window.partitionBy("series_id").orderBy("t_idx")
+    rows = states.drop("residual").join(filled.select("series_id", "t_idx", "filled", "residual"), ["series_id", "t_idx"])
+    lags = {f"residual_lag{k}": F.lag("residual", k).over(by) if k else F.col("residual") for k in range(6)}
+    return rows.withColumns(lags | {"available": F.count("residual").over(by.rowsBetween(-5, 0)) == 6})
 
 
 def _simulate(start: int, paths: int, chunks: int, origins: frozenset[int]) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
@@ -157,22 +176,22 @@ def _simulate(start: int, paths: int, chunks: int, origins: frozenset[int]) -> C
         models = {int(r.place): Fit.of(r.numbers) for r in side[side["kind"] == "model"].itertuples()}
         mine = np.arange(chunk, paths, chunks)
         times, xs, bases = rows["t_idx"].to_numpy(), [np.asarray(x, float) for x in rows["x"]], np.stack(rows["bases"]).astype(float)
-        logs, at0 = rows["log_physical"].to_numpy(), int(np.searchsorted(rows["t_idx"].to_numpy(), start - 1))
-        state, out = np.repeat(xs[at0][None, :6], len(mine), axis=0), []
-        for at in range(at0, len(rows)):
-            x = np.repeat(xs[at][None], len(mine), axis=0)
-            x[:, :6] = state
-            step = int(times[at]) - start + 1
+        logs, state, out = rows["log_physical"].to_numpy(), None, []
+        for at in range(len(rows)):
+            x, simulated = np.repeat(xs[at][None], len(mine), axis=0), int(times[at]) >= start - 1
+            if state is not None:
+                x[:, :6] = state
+            step = int(times[at]) - start + 6
             # Circular blocks of errors; where a block starts depends on the path and the block's number alone.
             first = (mine * 48271 + (step // BLOCK) * 69621 + 12345) * 16807 % 2147483647
             errors = pool[(first + step % BLOCK) % len(pool)]
-            made = {h: np.maximum(0.0, np.expm1(bases[at, h - 1] + m.predict(x) + errors[:, h - 1])) for h, m in models.items() if h == 1 or int(times[at]) in origins}
+            made = {h: np.maximum(0.0, np.expm1(bases[at, h - 1] + m.predict(x) + errors[:, h - 1])) for h, m in models.items() if (simulated if h == 1 else int(times[at]) in origins)}
             for h, values in made.items():
-                if int(times[at]) in origins or h == 1:
-                    out.append(pd.DataFrame({"path": mine, "t_idx": int(times[at]), "horizon": h, "y": values}))
-            if 1 not in made or at + 1 >= len(rows):
-                break
-            state = np.column_stack([np.log1p(made[1]) - logs[at + 1], state[:, :5]])
+                out.append(pd.DataFrame({"path": mine, "t_idx": int(times[at]), "horizon": h, "y": values}))
+            if simulated:
+                if 1 not in made or at + 1 >= len(rows):
+                    break
+                state = np.column_stack([np.log1p(made[1]) - logs[at + 1], x[:, :5]])
         found = pd.concat(out) if out else pd.DataFrame({"path": [], "t_idx": [], "horizon": [], "y": []})
         return found.assign(series_id=rows["series_id"].iloc[0])
 
@@ -182,11 +201,12 @@ def _simulate(start: int, paths: int, chunks: int, origins: frozenset[int]) -> C
 def simulate_paths(states: DataFrame, models: DataFrame, errors: DataFrame, start: int, end: int, paths: int = 500, origins: tuple[int, ...] = (), model: str = "final", chunks: int = 8) -> DataFrame:
     """Rows (series_id, path, t_idx, horizon, y): paths that go on from their own simulated residuals, from start to end.
 
-    Horizon 1 is the path itself: y is its value one step after t_idx. From the origins, the
-    other horizons are forecast directly from the path's state with the same errors. Paths are
-    dealt over chunks, which run side by side. Start needs known residuals before it.
+    Horizon 1 is the path itself: y is its value one step after t_idx. From the origins, which may
+    lie up to six slots before start, the other horizons are forecast directly from the path's
+    state with the same errors. Paths are dealt over chunks, which run side by side. Before start
+    the states' residuals count, so gaps among them are to be filled (with_filled()).
     """
-    rows = states.where((F.col("t_idx") >= start - 1) & (F.col("t_idx") <= end)).select("series_id", "t_idx", state_array().alias("x"), F.array(*[F.log1p(f"ahead{h}") for h in HORIZONS]).alias("bases"), F.log1p("physical").alias("log_physical"))
+    rows = states.where((F.col("t_idx") >= start - 6) & (F.col("t_idx") <= end)).select("series_id", "t_idx", state_array().alias("x"), F.array(*[F.log1p(f"ahead{h}") for h in HORIZONS]).alias("bases"), F.log1p("physical").alias("log_physical"))
     vectors = errors.select("series_id", F.lit("error").alias("kind"), F.col("t_idx").cast("long").alias("place"), F.col("errors").alias("numbers"))
     fits = models.where(F.col("model") == model).select("series_id", F.lit("model").alias("kind"), F.col("horizon").cast("long").alias("place"), "numbers")
     chunk = F.explode(F.array(*[F.lit(k) for k in range(chunks)])).alias("chunk")
@@ -229,3 +249,27 @@ def path_grades(days: DataFrame, limit: float = 55.0) -> DataFrame:
     name = lambda c: F.element_at(F.array(*[F.lit(g) for g in GRADES]), (c + 1).cast("int"))
     share = [F.coalesce(F.max(F.when(F.col("code") == k, F.col("n") / F.col("total"))), F.lit(0.0)).alias(g.lower()) for k, g in enumerate(GRADES)]
     return ranked.groupBy("series_id", "op_day").agg(*share, name(F.max_by("code", F.struct("n", -F.col("code")))).alias("modal"), name(at(0.025)).alias("grade_low"), name(at(0.975)).alias("grade_high"))
+
+
+def scenario_forecasts(states: DataFrame, models: DataFrame, origins: tuple[int, ...], scenarios: tuple[tuple[str, str, float], ...], roles: dict[str, str] = ROLES, model: str = "final") -> DataFrame:
+    """Rows (series_id, t_idx, horizon, scenario, base_value, scenario_value, delta, elasticity): for every origin, horizon and scenario one, whether or not a target is known.
+
+    scenarios: name, role (rw or alum) and the share by which its value at the origin changes.
+    Only the state vector changes; where the value isn't known nothing does. elasticity is null
+    for a base of 0.
+    """
+    at = states.where(F.col("t_idx").isin(*origins))
+    spots = {c: STATE_NAMES.index(c) for c in ("log_rw", "delta_log_rw", "alum")}
+    changed = []
+    for name, role, share in scenarios:
+        value = F.col(roles[role]).cast("double") * (1 + share)
+        new = {"alum": value} if role == "alum" else {"log_rw": F.log1p(value), "delta_log_rw": F.log1p(value) - F.col("log_rw_lag1")}
+        x = F.array(*[F.coalesce(new.get(c, F.col(c)).cast("double"), F.lit(float("nan"))) if c in spots else state_array()[k] for k, c in enumerate(STATE_NAMES)])
+        changed.append(F.struct(F.lit(name).alias("scenario"), F.lit(share).alias("share"), x.alias("changed")))
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.log1p(f"ahead{h}").alias("base")) for h in HORIZONS])
+    rows = at.select("series_id", "t_idx", state_array().alias("x"), ahead.alias("ahead"), F.inline(F.array(*changed))).select("*", F.inline("ahead"))
+    own = models.where(F.col("model") == model).select("series_id", "horizon", "numbers")
+    made = lambda x: F.greatest(F.lit(0.0), F.expm1(F.col("base") + predicted(x, "numbers")))
+    both = rows.join(own, ["series_id", "horizon"], "left").select("series_id", "t_idx", "horizon", "scenario", "share", made("x").alias("base_value"), made("changed").alias("scenario_value"))
+    delta = F.col("scenario_value") - F.col("base_value")
+    return both.select("series_id", "t_idx", "horizon", "scenario", "base_value", "scenario_value", delta.alias("delta"), F.when(F.col("base_value") > 0, delta / F.col("base_value") / F.col("share")).alias("elasticity"))

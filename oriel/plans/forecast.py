@@ -12,15 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
-from oriel.operators.horizons import backtest, fan, fill_gaps_by_model, gate_vectors, horizon_models, horizon_samples, joint_errors, path_grades, simulate_paths, with_prediction
+from oriel.operators.horizons import backtest, fan, fill_gaps_by_model, gate_vectors, horizon_models, horizon_samples, joint_errors, path_grades, scenario_forecasts, simulate_paths, with_filled
 from oriel.operators.state import HORIZONS, STATE_NAMES, with_physical, with_state
 from oriel.session import stage
 from oriel.sources import read_table
 
 #: Validation folds and ends of training, in slots.
 FOLDS = ((120, 150), (150, 180), (180, 210), (210, 240))
-ENDS, TEST_FROM = {"interim": 220, "final": 300}, 300
-LEAST_VECTORS, PATHS, ORIGINS = 20, 500, (312, 324, 336)
+ENDS = {"interim": 200, "final": 273}
+#: Three operating days that are forecast freely, and where observed values are tested against again.
+FREE, TEST_FROM = (273, 309), 309
+LEAST_VECTORS, PATHS = 20, 500
+#: The days' first slots, and the slots twelve hours before the days' first seven.
+ORIGINS = (273, 285, 297)
+DESIGNATED = tuple(start + k - 6 for start in ORIGINS for k in range(7))
+SCENARIOS = (("rw +25%", "rw", 0.25), ("rw +100%", "rw", 1.0), ("alum +10%", "alum", 0.1), ("alum -10%", "alum", -0.1))
 
 
 def _states(spark: SparkSession, sf_dir: str, **override) -> DataFrame:
@@ -60,34 +66,40 @@ def horizon_ridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("series_id", "horizon", "ridge", "rmse", F.slice("numbers", 5 * width + 1, width).alias("weights"), F.element_at("numbers", -1).alias("intercept"))
 
 
+def _filled(states: DataFrame, models: DataFrame) -> DataFrame:
+    """States with gaps and the free days filled by the model."""
+    return stage(with_filled(states, fill_gaps_by_model(states, models, free=FREE)), "filled")
+
+
 def horizon_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid, persistence and physical forecasts against what came, by horizon; gaps of the origin are filled by the model."""
-    states, samples, models, errors = _fitted(spark, sf_dir)
-    filled = fill_gaps_by_model(states, models)
-    rows = samples.drop("persisted").join(filled.withColumnRenamed("filled", "persisted"), ["series_id", "t_idx"])
+    """Hybrid, persistence and physical forecasts against what came, by horizon, from origins after the free days; residuals and values of these and of gaps are the model's."""
+    states, _, models, errors = _fitted(spark, sf_dir)
+    filled = _filled(states, models)
+    rows = horizon_samples(filled).drop("persisted").join(filled.select("series_id", "t_idx", F.col("filled").alias("persisted")), ["series_id", "t_idx"])
     return backtest(rows, models, errors, TEST_FROM)
 
 
 def model_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target with gaps filled by one-step forecasts from the filled state."""
+    """The target with gaps and three free days filled by one-step forecasts from the filled state."""
     states, _, models, _ = _fitted(spark, sf_dir)
-    return fill_gaps_by_model(states, models)
+    return fill_gaps_by_model(states, models, free=FREE).select("series_id", "t_idx", "filled")
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     states, _, models, errors = _fitted(spark, sf_dir)
-    return states, stage(simulate_paths(states, models, errors, TEST_FROM, 350, PATHS, ORIGINS), "paths")
+    origins = tuple(sorted({*ORIGINS, *DESIGNATED}))
+    return states, stage(simulate_paths(_filled(states, models), models, errors, FREE[0], 330, PATHS, origins), "paths")
 
 
 def forecast_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median and 95 % range of 500 paths, 1 to 12 hours after each of three origins."""
+    """Median and 95 % range of 500 paths, 1 to 12 hours after the first slot of each of three days."""
     return fan(_paths(spark, sf_dir)[1], ORIGINS)
 
 
 def designated_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve-hour forecasts from three origins beside the physical forecast, and what the residual model adds."""
+    """Twelve-hour forecasts of the first seven slots of three days beside the physical forecast, and what the residual model adds; no target is needed."""
     states, paths = _paths(spark, sf_dir)
-    q = paths.where(F.col("t_idx").isin(*ORIGINS) & (F.col("horizon") == 6)).groupBy("series_id", "t_idx").agg(F.percentile("y", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.count("*").alias("paths"))
+    q = paths.where(F.col("t_idx").isin(*DESIGNATED) & (F.col("horizon") == 6)).groupBy("series_id", "t_idx").agg(F.percentile("y", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.count("*").alias("paths"))
     both = q.join(states.select("series_id", "t_idx", F.col("ahead6").alias("hydraulic")), ["series_id", "t_idx"])
     return both.select("series_id", "t_idx", (F.col("t_idx") + 6).alias("at"), *[F.col("q")[k].alias(c) for k, c in enumerate(("low", "mid", "high"))], "hydraulic", (F.col("q")[1] - F.col("hydraulic")).alias("correction"), "paths")
 
@@ -100,17 +112,9 @@ def grade_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenario_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each scenario changes the hybrid forecasts from three origins, and the elasticity."""
-    _, samples, models, _ = _fitted(spark, sf_dir)
-    base = with_prediction(samples.where(F.col("t_idx").isin(*ORIGINS)), models, "final").select("series_id", "t_idx", "horizon", F.greatest(F.lit(0.0), F.expm1("log_made")).alias("base_value"))
-    out = None
-    for name, column, fraction in (("rw +25%", "rw", 0.25), ("rw +100%", "rw", 1.0), ("alum +10%", "alum", 0.1), ("alum -10%", "alum", -0.1)):
-        other = horizon_samples(_states(spark, sf_dir, **{column: F.col(column) * (1 + fraction)})).where(F.col("t_idx").isin(*ORIGINS))
-        made = with_prediction(other, models, "final").select("series_id", "t_idx", "horizon", F.greatest(F.lit(0.0), F.expm1("log_made")).alias("scenario_value"))
-        delta = F.col("scenario_value") - F.col("base_value")
-        one = base.join(made, ["series_id", "t_idx", "horizon"]).select("*", F.lit(name).alias("scenario"), delta.alias("delta"), F.when(F.col("base_value") > 0, delta / F.col("base_value") / fraction).alias("elasticity"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """How much each of four scenarios changes the hybrid forecasts from three origins, and the elasticity: 72 rows a series."""
+    states, _, models, _ = _fitted(spark, sf_dir)
+    return scenario_forecasts(_filled(states, models), models, ORIGINS, SCENARIOS)
 
 
 #: Taps and their sources joined row by row.

@@ -3,15 +3,16 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oriel.operators.calendar import regular_slots
 from oriel.operators.factors import partial_curves
-from oriel.operators.horizons import fan, fill_gaps_by_model, gate_vectors, horizon_samples, path_grades, simulate_paths
+from oriel.operators.horizons import fan, fill_gaps_by_model, gate_vectors, horizon_samples, path_grades, scenario_forecasts, simulate_paths, with_filled
 from oriel.operators.local_fit import Fit, fit
 from oriel.operators.regression import fit_ridge
 from oriel.operators.state import STATE_NAMES, with_physical, with_state
 from oriel.plans import forecast, frames, searches
-from oriel.plans.forecast import ENDS, FOLDS, ORIGINS, TEST_FROM
+from oriel.plans.forecast import ENDS, FOLDS, FREE, ORIGINS, TEST_FROM
 from oriel.sources import read_table
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -80,33 +81,60 @@ def model_of(models, horizon, kind="final"):
     return Fit.of(models.where((F.col("model") == kind) & (F.col("horizon") == horizon)).first()["numbers"])
 
 
-def test_gaps_are_filled_in_order(fitted):
-    """One loop over the whole series, where the operator walks stretches."""
-    (states_df, _, models, _), states = fitted
-    got = fill_gaps_by_model(states_df, models).toPandas().sort_values("t_idx")["filled"].to_numpy(float)
-    m, y, x = model_of(models, 1), states["ntu"].to_numpy(float).copy(), states[STATE_NAMES].to_numpy(float)
-    r, base = states["residual"].to_numpy(float).copy(), np.log1p(states["ahead1"].to_numpy(float))
+def brute_filled(states, models, free=None):
+    """Target, residuals and state vectors after one loop over the whole series, where the operator walks stretches."""
+    m, y, x = model_of(models, 1), states["ntu"].to_numpy(float).copy(), states[STATE_NAMES].to_numpy(float).copy()
+    if free:
+        y[free[0] : free[1]] = np.nan
+    physical, base = states["physical"].to_numpy(float), np.log1p(states["ahead1"].to_numpy(float))
+    r = np.log1p(y) - np.log1p(physical)
     for t in range(1, len(y)):
         if np.isnan(y[t]) and np.isfinite(base[t - 1]):
             v = x[t - 1].copy()
             v[:6] = [r[t - 1 - k] if t - 1 - k >= 0 else np.nan for k in range(6)]
             y[t] = max(0, np.expm1(base[t - 1] + m.predict(v[None])[0]))
-            r[t] = np.log1p(y[t]) - np.log1p(states.at[t, "physical"])
-    assert np.isnan(states["ntu"]).sum() > 5 and np.allclose(got, y, equal_nan=True)
+            r[t] = np.log1p(y[t]) - np.log1p(physical[t])
+    for k in range(6):
+        x[:, k] = np.r_[np.full(k, np.nan), r[: len(r) - k]]
+    return y, r, x
+
+
+@pytest.mark.parametrize("free", [None, FREE])
+def test_gaps_are_filled_in_order(fitted, free):
+    (states_df, _, models, _), states = fitted
+    y, r, _ = brute_filled(states, models, free)
+    got = fill_gaps_by_model(states_df, models, free=free).toPandas().sort_values("t_idx")
+    assert np.isnan(states["ntu"]).sum() > 5 and np.allclose(got["filled"].to_numpy(float), y, equal_nan=True) and np.allclose(got["residual"].to_numpy(float), r, equal_nan=True)
+
+
+def test_free_days_dont_read_what_is_observed(fitted):
+    """A month of blank targets: the same values, and all forecasts of these days, though no target is known."""
+    (states_df, _, models, errors), _ = fitted
+    inside = (F.col("t_idx") >= FREE[0]) & (F.col("t_idx") < FREE[1])
+    blank = states_df.withColumns({c: F.when(~inside, F.col(c)) for c in ("ntu", "residual")})
+    by = Window.partitionBy("series_id").orderBy("t_idx")
+    blank = blank.withColumns({f"residual_lag{k}": F.lag("residual", k).over(by) if k else F.col("residual") for k in range(6)}).withColumn("available", F.count("residual").over(by.rowsBetween(-5, 0)) == 6)
+    filled = [fill_gaps_by_model(s, models, free=FREE).toPandas().sort_values("t_idx") for s in (states_df, blank)]
+    assert np.allclose(*[f[["filled", "residual"]].to_numpy(float) for f in filled], equal_nan=True)
+    whole = with_filled(blank, fill_gaps_by_model(blank, models, free=FREE))
+    rows = scenario_forecasts(whole, models, ORIGINS, forecast.SCENARIOS).collect()
+    assert len(rows) == 72 and all(r["base_value"] is not None and r["scenario_value"] is not None for r in rows)
+    paths = simulate_paths(whole, models, errors, FREE[0], FREE[1], 4, forecast.DESIGNATED).where("horizon = 6").toPandas()
+    assert set(forecast.DESIGNATED) <= set(paths["t_idx"]) and len(set(forecast.DESIGNATED)) == 21
 
 
 def test_backtest(spark, fitted):
-    (states_df, samples, models, errors), states = fitted
+    (_, _, models, errors), states = fitted
     got = forecast.horizon_backtest(spark, SMALL).toPandas().set_index(["horizon_hours", "model"])
-    filled = fill_gaps_by_model(states_df, models).toPandas().set_index("t_idx")["filled"]
-    vectors, y, x = np.stack(errors.toPandas()["errors"]), states["ntu"].to_numpy(float), states[STATE_NAMES].to_numpy(float)
+    filled, r, x = brute_filled(states, models, FREE)
+    vectors, y = np.stack(errors.toPandas()["errors"]), states["ntu"].to_numpy(float)
     assert len(vectors) >= 20
     for h in range(1, 7):
-        keys = [t for t in range(TEST_FROM, len(y) - h) if states.at[t, "available"] and np.isfinite(y[t + h])]
+        keys = [t for t in range(TEST_FROM, len(y) - h) if np.isfinite(r[t - 5 : t + 1]).all() and np.isfinite(y[t + h])]
         m, actual = model_of(models, h), y[np.array(keys) + h]
         logs = np.log1p(states.loc[keys, f"ahead{h}"].to_numpy()) + m.predict(x[keys])
         low, high = (np.maximum(0, np.expm1(logs + np.quantile(vectors[:, h - 1], q))) for q in (0.025, 0.975))
-        made = {"hybrid": np.maximum(0, np.expm1(logs)), "persistence": filled.loc[keys].to_numpy(), "physical": states.loc[keys, f"ahead{h}"].to_numpy()}
+        made = {"hybrid": np.maximum(0, np.expm1(logs)), "persistence": filled[keys], "physical": states.loc[keys, f"ahead{h}"].to_numpy()}
         rmse = {k: np.sqrt(np.mean((v - actual) ** 2)) for k, v in made.items()}
         for k, v in made.items():
             row = got.loc[(2 * h, k)]
@@ -116,26 +144,35 @@ def test_backtest(spark, fitted):
 
 
 def test_paths(fitted):
-    """Each path by a loop of its own."""
+    """Each path by a loop of its own; before the start the filled residuals count."""
     (states_df, _, models, errors), states = fitted
-    got = simulate_paths(states_df, models, errors, TEST_FROM, 330, 20, (312,)).toPandas().set_index(["path", "t_idx", "horizon"])["y"]
+    start, origins = FREE[0], (FREE[0] - 4, FREE[0] + 12)
+    whole = with_filled(states_df, fill_gaps_by_model(states_df, models, free=FREE))
+    got = simulate_paths(whole, models, errors, start, 330, 20, origins).toPandas().set_index(["path", "t_idx", "horizon"])["y"]
     vectors = np.stack(errors.toPandas().sort_values("t_idx")["errors"])
-    x, logs = states[STATE_NAMES].to_numpy(float), np.log1p(states["physical"].to_numpy(float))
+    _, r, x = brute_filled(states, models, FREE)
+    logs, fits = np.log1p(states["physical"].to_numpy(float)), {h: model_of(models, h) for h in range(1, 7)}
     for path in (0, 7, 19):
-        state = x[TEST_FROM - 1, :6].copy()
-        for t in range(TEST_FROM - 1, 330):
-            step = t - TEST_FROM + 1
+        own = r.copy()
+        for t in range(start - 6, start + 14):
+            step = t - start + 6
             e = vectors[((path * 48271 + step // 12 * 69621 + 12345) * 16807 % 2147483647 + step % 12) % len(vectors)]
             v = x[t].copy()
-            v[:6] = state
-            make = lambda h: max(0, np.expm1(np.log1p(states.at[t, f"ahead{h}"]) + model_of(models, h).predict(v[None])[0] + e[h - 1])) if h == 1 or t == 312 else None  # noqa: B023, E731
-            if t < TEST_FROM + 14:
+            v[:6] = own[t - np.arange(6)]
+            make = lambda h: max(0, np.expm1(np.log1p(states.at[t, f"ahead{h}"]) + fits[h].predict(v[None])[0] + e[h - 1]))  # noqa: B023, E731
+            if t in origins:
+                assert all(np.isclose(got[path, t, h], make(h)) for h in range(1 if t >= start - 1 else 2, 7))
+            if t >= start - 1:
                 assert np.isclose(got[path, t, 1], make(1))
-            if t == 312:
-                assert all(np.isclose(got[path, t, h], make(h)) for h in range(1, 7))
-            if t >= TEST_FROM + 14:
-                break
-            state = np.r_[np.log1p(make(1)) - logs[t + 1], state[:5]]
+                own[t + 1] = np.log1p(make(1)) - logs[t + 1]
+            else:
+                assert (path, t, 1) not in got.index
+
+
+def test_designated_forecasts(spark):
+    got = forecast.designated_forecasts(spark, SMALL).toPandas()
+    assert sorted(got["at"]) == sorted(d + k for d in ORIGINS for k in range(7)) and (got["paths"] == 500).all()
+    assert ((got["low"] <= got["mid"]) & (got["mid"] <= got["high"])).all() and np.allclose(got["correction"], got["mid"] - got["hydraulic"])
 
 
 def test_fan_and_grades(spark):
@@ -165,7 +202,8 @@ def test_fan_and_grades(spark):
 def test_scenarios(spark, fitted):
     (_, _, models, _), states = fitted
     got = forecast.scenario_sensitivity(spark, SMALL).toPandas()
-    x = states[STATE_NAMES].to_numpy(float)
+    assert len(got) == 72 and set(got["t_idx"]) == set(ORIGINS)
+    x = brute_filled(states, models, FREE)[2]
     for r in got.itertuples():
         v, base = x[r.t_idx].copy(), np.log1p(states.at[r.t_idx, f"ahead{r.horizon}"])
         m = model_of(models, r.horizon)
@@ -176,8 +214,8 @@ def test_scenarios(spark, fitted):
             v[STATE_NAMES.index("delta_log_rw")] = v[STATE_NAMES.index("log_rw")] - v[STATE_NAMES.index("log_rw_lag1")]
         else:
             v[STATE_NAMES.index("alum")] *= 1 + fraction
-        assert np.isclose(r.base_value, own) and np.isclose(r.scenario_value, max(0, np.expm1(base + m.predict(v[None])[0]))) and np.isclose(r.elasticity, r.delta / own / fraction)
-    assert set(got["t_idx"]) <= set(ORIGINS)
+        made = max(0, np.expm1(base + m.predict(v[None])[0]))
+        assert np.isclose(r.base_value, own) and np.isclose(r.scenario_value, made) and (own == 0 or np.isclose(r.elasticity, (made - own) / own / fraction, atol=1e-7))
 
 
 def test_too_few_vectors_raise(spark):
