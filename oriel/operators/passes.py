@@ -105,6 +105,7 @@ def _coarse(codes: np.ndarray, counts: np.ndarray, level: int, most: int) -> tup
 
 def _histograms(rows: DataFrame, columns: list[Column], each: Each, spans: dict[int, list[tuple[int, int]]] | None, most: int) -> dict[int, tuple[np.ndarray, np.ndarray, int]]:
     """Codes, counts and level of each stream, or of each span of it that is asked for, under key * 64 + its number."""
+    most = max(most, 16)  # four more bits of a span always fit
     form, names = "key long, slot int, level int, codes array<long>, counts array<long>", ["key", "slot", "level", "codes", "counts"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 

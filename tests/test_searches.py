@@ -196,7 +196,7 @@ def test_evaluation_and_forecasts(spark, rows, factor):
     assert len(told) == 36 and np.allclose(told[["made", "low", "high"]], np.column_stack([back(last(at)), back(last(at) + low), back(last(at) + high)]))
 
 
-@pytest.mark.parametrize("most", [8, 4096])
+@pytest.mark.parametrize("most", [16, 4096])
 def test_exact_quantiles(spark, most):
     rng = np.random.default_rng(0)
     x = np.column_stack([rng.normal(0, 1, 3000), np.round(rng.normal(0, 1, 3000), 1), np.zeros(3000), rng.integers(-1, 2, 3000) * 1e-300, np.full(3000, np.nan)])
