@@ -11,7 +11,7 @@ name's two parents are all that cuts and subsumption need, and no phrase is ever
   adjacent ids of those. A phrase that is frequent has frequent parts, so nothing is lost.
 
 Windows are pre-aggregated in the tasks, and before they are shuffled a filter of fixed size drops
-most that can't be frequent: a table of bits of the frequent names' hashes (`MOST_BITS` of them,
+most that can't be frequent: a table of bits of the frequent names' hashes (2^26 of them,
 2^20 rows of 64, at most), which is broadcast. It never drops a frequent one; the joins after it
 are exact. Where there are many more frequent names than bits it passes more, not less.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oriel.llm.text import key_filter, maybe_among
 from oriel.session import release, stage
 from oriel.sources import read_table
 
@@ -32,7 +33,7 @@ from oriel.sources import read_table
 PIECE_END, SPLIT_WORD = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Least occurrences of a phrase; percent of them from which a longer phrase stands for it; phrases of a language that are returned.
 LEAST, SUBSUMED, MOST = 30, 80, 2000
-MOST_BITS, SALTS = 1 << 26, 64
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,23 +60,6 @@ def _named(word: str | Column, seed: int, mask: int) -> Column:
     return F.xxhash64(F.lit(seed), "lang", word).bitwiseAND(F.lit(mask))
 
 
-def frequent_filter(names: DataFrame, *keys: str) -> tuple[DataFrame, int]:
-    """Rows (at, bits) for maybe_frequent(), and the number of bits: 16 for each name, rounded up to a power of two, MOST_BITS at most."""
-    size = min(MOST_BITS, 1 << (16 * names.count() + 63).bit_length())
-    bit = names.select(F.pmod(F.xxhash64(*keys), F.lit(size)).alias("bit"))
-    marks = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
-    return marks, size
-
-
-def maybe_frequent(rows: DataFrame, marks: tuple[DataFrame, int], *keys: str, mark: str | None = None) -> DataFrame:
-    """The rows whose keys may be those of a frequent name: all that are, and few others; mark: all rows, with a column that says it."""
-    table, size = marks
-    own = F.broadcast(table.select(F.col("at").alias("_at"), F.col("bits").alias("_bits")))  # MOST_BITS / 64 rows at most
-    is_set = F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1") == 1
-    both = rows.withColumn("_bit", F.pmod(F.xxhash64(*keys), F.lit(size))).join(own, F.shiftright("_bit", 6) == F.col("_at"), "left" if mark else "inner")
-    return (both.withColumn(mark, F.coalesce(is_set, F.lit(False))) if mark else both.where(is_set)).drop("_bit", "_at", "_bits")
-
-
 def _counted(rows: DataFrame, left: str, right: str, least: int, label: str, count: Column | None = None) -> DataFrame:
     """Rows (id, left, right, f) of the frequent pairs, staged, so that their ids stay."""
     found = rows.groupBy(F.col(left).alias("left"), F.col(right).alias("right")).agg((F.count("*") if count is None else F.sum(count)).alias("f")).where(F.col("f") >= least)
@@ -95,26 +79,26 @@ def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     words = stage(pieces.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
     name = word_names(words)
     frequent = words.where(F.col("f") >= least).select("lang", "word", "f", name("word").alias("id"))
-    word_marks = frequent_filter(frequent, "id")
+    word_marks = key_filter(frequent, "id")
 
     named = pieces.where(F.size("words") > 1).select(F.transform("words", name).alias("names"))
     at = named.select("names", F.posexplode("names").alias("pos", "w1")).withColumn("w2", F.get("names", F.col("pos") + 1)).where("w2 is not null")
-    both = reduce(lambda rows, c: maybe_frequent(rows, word_marks, c), ("w1", "w2"), at.select("w1", "w2"))
+    both = reduce(lambda rows, c: maybe_among(rows, word_marks, c), ("w1", "w2"), at.select("w1", "w2"))
     pairs = _counted(both, "w1", "w2", least, "pairs")
 
-    pair_marks = frequent_filter(pairs, "left", "right")
+    pair_marks = key_filter(pairs, "left", "right")
     wide = at.select("w1", "w2", F.get("names", F.col("pos") + 2).alias("w3"), F.get("names", F.col("pos") + 3).alias("w4")).where("w3 is not null")
-    wide = maybe_frequent(maybe_frequent(wide, pair_marks, "w1", "w2"), pair_marks, "w2", "w3")
+    wide = maybe_among(maybe_among(wide, pair_marks, "w1", "w2"), pair_marks, "w2", "w3")
     # A last pair that isn't frequent says nothing: windows with it are one.
-    wide = maybe_frequent(wide, pair_marks, "w3", "w4", mark="goes_on").withColumn("w4", F.when(F.col("goes_on"), F.col("w4")))
+    wide = maybe_among(wide, pair_marks, "w3", "w4", mark="goes_on").withColumn("w4", F.when(F.col("goes_on"), F.col("w4")))
     windows = wide.groupBy("w1", "w2", "w3", "w4").agg(F.count("*").alias("c"))
     linked = _join_name(_join_name(windows, pairs, "w1", "w2", "p1"), pairs, "w2", "w3", "p2")
     linked = _join_name(linked.select("p1", "p2", "w3", "w4", "c"), pairs, "w3", "w4", "p3", "left")
     links = stage(linked.groupBy("p1", "p2", "p3").agg(F.sum("c").alias("c")), "links")
 
     triples = _counted(links, "p1", "p2", least, "triples", F.col("c"))
-    marks = frequent_filter(triples, "left", "right")
-    on = maybe_frequent(maybe_frequent(links.where("p3 is not null"), marks, "p1", "p2"), marks, "p2", "p3")
+    marks = key_filter(triples, "left", "right")
+    on = maybe_among(maybe_among(links.where("p3 is not null"), marks, "p1", "p2"), marks, "p2", "p3")
     fours = _counted(_join_name(_join_name(on, triples, "p1", "p2", "t1"), triples, "p2", "p3", "t2"), "t1", "t2", least, "fours", F.col("c"))
     return words, frequent, [pairs, triples, fours], [words, pairs, links, triples, fours]
 

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm.components import connected_components
-from oriel.llm.text import join_spread, row_hashes
+from oriel.llm.text import join_spread, key_filter, maybe_among, row_hashes
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -57,9 +58,9 @@ class Scheme:
     repeats: bool
     words: int
     most: int
-    #: With a similarity the fingerprints give candidates, and the sets of shingles decide.
+    #: With a similarity the fingerprints give candidates, and the sets of shingles decide. recall: the share of pairs of that similarity that become candidates at least, all filters counted.
     similarity: float | None = None
-    recall: float = 0.9
+    recall: float = 0.95
 
 
 CLOSE = Scheme(4, True, 1, 4)
@@ -92,8 +93,16 @@ def differing(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+#: Pairs of the similarity that the head's distance, or that of complete fingerprints, leaves out.
+FAR = 1 / 200
+
+
 def head_segments(n: int, similarity: float, recall: float) -> tuple[int, Segments]:
-    """(words of the head, segments) that find a pair of the similarity with at least that probability, for n fingerprints."""
+    """(words of the head, segments) that find a pair of the similarity with at least that probability, for n fingerprints.
+
+    What the segments find is judged twice more by distances, each of which loses a share FAR; so the segments' own share is higher.
+    """
+    recall = recall / (1 - FAR) ** 2
     p = differing(similarity)
     width, radius = (16, 1) if n < 1 << 20 else (21, 1) if n < 1 << 26 else (32, 2)
     hit = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(radius + 1))
@@ -103,9 +112,9 @@ def head_segments(n: int, similarity: float, recall: float) -> tuple[int, Segmen
 
 
 def head_reach(words: int, similarity: float) -> int:
-    """Bits of the head that a pair of the similarity differs in at most, but for one in 30."""
+    """Bits of the head that a pair of the similarity differs in at most, but for a share FAR."""
     p, bits = differing(similarity), 64 * words
-    return round(bits * p + 1.85 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + NormalDist().inv_cdf(1 - FAR) * math.sqrt(bits * p * (1 - p)))
 
 
 def count_bits(hashes: np.ndarray) -> np.ndarray:
@@ -331,7 +340,10 @@ def alike(links: DataFrame, distinct: DataFrame, named: DataFrame, scheme: Schem
     """
     nodes = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     owners = distinct.join(nodes, "fp", "left_semi").select("fp", "least.row", "least.row2")
-    texts = named.select("row", "row2", "_text").dropDuplicates(["row", "row2"]).join(owners, ["row", "row2"]).select("fp", "_text")
+    # Few rows own a linked fingerprint; a filter keeps the other texts from being shuffled.
+    owners = stage(owners, "owners")
+    near = maybe_among(named.select("row", "row2", "_text"), key_filter(owners, "row", "row2"), "row", "row2")
+    texts = near.join(owners, ["row", "row2"]).dropDuplicates(["fp"]).select("fp", "_text")
     sets = stage(texts.mapInArrow(_sets(scheme), "fp binary, grams array<bigint>"), "shingle-sets")
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("grams").alias(f"grams_{x}"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))

@@ -48,6 +48,27 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], count: str,
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
 
 
+#: Bits of a filter at most; 64 of them are a row.
+MOST_BITS = 1 << 26
+
+
+def key_filter(table: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """Rows (at, bits) for maybe_among(), and the number of bits: 16 for each row of table, rounded up to a power of two, MOST_BITS at most."""
+    size = min(MOST_BITS, 1 << (16 * table.count() + 63).bit_length())
+    bit = table.select(F.pmod(F.xxhash64(*keys), F.lit(size)).alias("bit"))
+    marks = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    return marks, size
+
+
+def maybe_among(rows: DataFrame, marks: tuple[DataFrame, int], *keys: str, mark: str | None = None) -> DataFrame:
+    """The rows whose keys may be among those of a filter: all that are, and few others; mark: all rows, with a column that says it."""
+    table, size = marks
+    own = F.broadcast(table.select(F.col("at").alias("_at"), F.col("bits").alias("_bits")))  # MOST_BITS / 64 rows at most
+    is_set = F.expr("shiftright(_bits, cast(_bit & 63 as int)) & 1") == 1
+    both = rows.withColumn("_bit", F.pmod(F.xxhash64(*keys), F.lit(size))).join(own, F.shiftright("_bit", 6) == F.col("_at"), "left" if mark else "inner")
+    return (both.withColumn(mark, F.coalesce(is_set, F.lit(False))) if mark else both.where(is_set)).drop("_bit", "_at", "_bits")
+
+
 def least_hashed(rows: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     """The `most` rows with the least hashes of their ids, in order of hash and id.
 

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from oriel.llm import collocations
+from oriel.llm import collocations, text
 
 ROWS = [(k, "Strong tea, strong tea and strong TEA! the big red dog\nthe big red dog ran.", "en", "x") for k in range(12)]
 ROWS += [(k, " ".join(f"w{(k * j) % 7}" for j in range(60)), None, "y") for k in range(12)]
@@ -15,9 +15,9 @@ COLUMNS = "doc_id long, text string, lang string, word string, id long, left lon
 
 def brute(rows, least, most):
     counts, words = Counter(), Counter()
-    for _, text, lang, _ in rows:
+    for _, body, lang, _ in rows:
         lang = "und" if lang is None else lang
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in body or "")
         for piece in re.split(r"[.,;:!?\n-\r]", low):
             ws = [w for w in re.split(r"[ \t]+", piece) if w]
             words[lang] += len(ws)
@@ -50,8 +50,8 @@ def test_shared_names_are_found(spark, monkeypatch):
 
 
 def test_filter_keeps_all_frequent_names(spark, monkeypatch):
-    monkeypatch.setattr(collocations, "MOST_BITS", 128)
+    monkeypatch.setattr(text, "MOST_BITS", 128)
     names = spark.range(300).selectExpr("id * 7 as a", "id as b")
     rows = spark.range(3000).selectExpr("id * 7 as a", "id as b")
-    kept = collocations.maybe_frequent(rows, collocations.frequent_filter(names, "a", "b"), "a", "b")
+    kept = text.maybe_among(rows, text.key_filter(names, "a", "b"), "a", "b")
     assert kept.columns == ["a", "b"] and kept.where("b < 300").count() == 300
