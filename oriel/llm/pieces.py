@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oriel.llm.text import aside
 from oriel.sources import read_table
 
 MARK = "▁"
@@ -247,11 +248,14 @@ def encode_texts(docs: DataFrame, keep: list[str], text_col: str = "text", model
 
     round_trip: decoding the ids gives the text again; only texts with U+2581 of their own lose
     it, as that character stands for a space. A null text is encoded as an empty one: no ids.
+    A kept column of one of these names is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
-    chosen = docs.select(*keep, docs[text_col].alias("_text"))
+    made = ["token_ids", "n_tokens", "round_trip"]
+    kept, back = aside(docs, keep, made)
+    chosen = docs.select(*kept, docs[text_col].alias("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "token_ids array<int>, n_tokens long, round_trip boolean"])
-    return chosen.mapInArrow(_encoder(sent), schema)
+    return chosen.mapInArrow(_encoder(sent), schema).select(*back, *made)
 
 
 def decode_ids(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
@@ -268,4 +272,5 @@ def decode_ids(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode_texts() of all documents; null and empty texts have no ids, repeated rows count each time."""
     return encode_texts(read_table(spark, sf_dir, "documents"), ["doc_id"])

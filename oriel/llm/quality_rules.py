@@ -117,14 +117,14 @@ def best_threshold(bins: list[tuple[int, int, int]]) -> float:
 
 
 def judge(statistics: DataFrame, labels: DataFrame) -> DataFrame:
-    """statistics with base_failed, anomaly and kept; labels: rows (doc_id, quality).
+    """statistics with base_failed, anomaly and kept, which replace columns of these names; labels: rows (doc_id, quality).
 
     Of at most MOST_LABELLED labelled rows that pass the two rules, those with quality 1 grow the
     trees and all of them span the splits. A row with two labels counts as bad if one says so. Without
     labelled rows the forest is empty, every anomaly is 0 and only the two rules decide.
     """
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ruled = statistics.withColumn("base_failed", base_failed())
+    ruled = statistics.drop("anomaly", "kept").withColumn("base_failed", base_failed())
     labelled = stage(ruled.where("not base_failed").join(known, "doc_id").select("doc_id", "quality", *FEATURES), "labelled-statistics")
     sample = least_hashed(labelled, MOST_LABELLED).select("quality", *FEATURES).toPandas()
     rows = sample[list(FEATURES)].to_numpy(np.float64)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oriel.llm.text import fresh
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -76,29 +77,29 @@ def shuffle_into_shards(rows: DataFrame, keys: list[str], shards: int, seed: int
     """rows with shard and slot: shard sizes at most one apart, slots gapless from 0, all orders alike likely.
 
     keys: columns that tell rows apart; rows equal in all of them may change places. The same
-    rows, shards and seed give the same result however the rows are partitioned. An empty table
-    gives no rows; fewer rows than shards leave the last shards empty.
+    rows, shards and seed give the same result however the rows are partitioned. Columns shard
+    and slot of rows are replaced, so keys may not name them; all others stay. An empty table gives no rows; fewer rows than shards leave the last shards empty.
     """
     def order(salt: int) -> Column:
         return F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in keys])
 
-    rows = stage(rows, "shard-rows")
+    rows = stage(rows.drop("shard", "slot"), "shard-rows")
+    first, second, block, part, start, rank, n, ends = (fresh(rows, c) for c in ("first", "second", "block", "part", "start", "rank", "n", "ends"))
     wanted = max(1, min(MOST_BLOCKS, math.ceil(rows.count() / ROWS_PER_BLOCK)))
     blocks = 1 << (wanted - 1).bit_length()
-    dealt = rows.withColumn("_first", order(1)).withColumn("block", F.pmod(order(2), F.lit(blocks)).cast("int"))
-    matrix = communication_matrix(dealt.groupBy("block").agg(F.count("*").alias("n")), blocks, shards, seed)
-    local = Window.partitionBy("block").orderBy("_first", *keys)
-    rank = F.row_number().over(local) - 1
-    ends = F.expr("transform(sequence(1, size(counts)), i -> aggregate(slice(counts, 1, i), 0L, (a, x) -> a + x))")
-    sent = dealt.join(matrix.select("block", ends.alias("ends")), "block").withColumn("_rank", rank).withColumn("shard", F.expr("cast(size(filter(ends, e -> e <= _rank)) as int)"))
-    sent = sent.withColumn("_second", order(3)).withColumn("_part", F.shiftright("_second", 64 - PARTS_BITS).cast("int"))
-    sent = stage(sent.drop("_first", "block", "ends", "_rank"), "shard-sent")
-    parts = sent.groupBy("shard", "_part").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("shard", "_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("shard", "_part").orderBy("_second", *keys)
-    placed = sent.join(starts, ["shard", "_part"]).withColumn("slot", (F.col("_start") + F.row_number().over(inside) - 1).cast("long"))
-    return placed.drop("_part", "_second", "_start")
+    dealt = rows.withColumn(first, order(1)).withColumn(block, F.pmod(order(2), F.lit(blocks)).cast("int"))
+    matrix = communication_matrix(dealt.groupBy(F.col(block).alias("block")).agg(F.count("*").alias("n")), blocks, shards, seed)
+    local = Window.partitionBy(block).orderBy(first, *keys)
+    upto = F.expr("transform(sequence(1, size(counts)), i -> aggregate(slice(counts, 1, i), 0L, (a, x) -> a + x))")
+    sent = dealt.join(matrix.select(F.col("block").alias(block), upto.alias(ends)), block).withColumn(rank, F.row_number().over(local) - 1).withColumn("shard", F.expr(f"cast(size(filter(`{ends}`, e -> e <= `{rank}`)) as int)"))
+    sent = sent.withColumn(second, order(3)).withColumn(part, F.shiftright(second, 64 - PARTS_BITS).cast("int"))
+    sent = stage(sent.drop(first, block, ends, rank), "shard-sent")
+    parts = sent.groupBy("shard", part).agg(F.count("*").alias(n))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("shard", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy("shard", part).orderBy(second, *keys)
+    placed = sent.join(starts, ["shard", part]).withColumn("slot", (F.col(start) + F.row_number().over(inside) - 1).cast("long"))
+    return placed.select(*rows.columns, "shard", "slot")
 
 
 def op5_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, keep: list[str], made: list[str]) -> tuple[list[Column], list[Column]]:
+    """Columns keep of docs under names of their own, and what gives them their names back; a kept column that an operator makes itself goes, as its own takes its place."""
+    names = {f"kept{k}": c for k, c in enumerate(keep) if c.lower() not in {m.lower() for m in made}}
+    return [docs[c].alias(n) for n, c in names.items()], [F.col(n).alias(c) for n, c in names.items()]
+
+
 def row_hashes(rows: DataFrame) -> tuple[DataFrame, str, str]:
     """rows with two more columns, hashes of all others that together tell different rows apart, and their names."""
     named, one, two = [F.col(f"`{c}`") for c in rows.columns], fresh(rows, "_row"), fresh(rows, "_row2")

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oriel.llm.text import aside
 from oriel.sources import read_table
 
 FILE, LIMIT = "word_bpe_49k.json", 2048
@@ -343,8 +344,8 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", path:
     """The columns keep of docs, and n_bytes (long, UTF-8), n_tokens (long), over_limit (more than limit).
 
     Special strings of the tokenizer within a text count as one token each, as its library takes
-    them; nothing is added, cut or padded. A null text counts as an empty one. keep must have
-    none of the new names; other columns of docs don't matter, whatever their names.
+    them; nothing is added, cut or padded. A null text counts as an empty one. A kept
+    column of one of these names is replaced; other columns of docs don't matter, whatever their names.
     """
     if path is None:
         import public_tokenizers
@@ -352,11 +353,11 @@ def count_tokens(docs: DataFrame, keep: list[str], text_col: str = "text", path:
         path = public_tokenizers.path(FILE)
     sent = docs.sparkSession.sparkContext.broadcast(compile_tokenizer(path))
     text = F.coalesce(docs[text_col], F.lit(""))
-    names = [f"kept{k}" for k in range(len(keep))]
-    chosen = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names, strict=True)], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    kept, back = aside(docs, keep, ["n_bytes", "n_tokens", "over_limit"])
+    chosen = docs.select(*kept, F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "n_tokens long"])
     counted = chosen.mapInArrow(_counter(sent), schema)
-    return counted.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return counted.select(*back, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriel.llm.text import fresh, least_hashed
+from oriel.llm.text import aside, least_hashed
 from oriel.session import stage
 from oriel.sources import read_table
 
@@ -192,11 +192,12 @@ def _scorer(model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns keep of docs and score, from 0 to 1; a null text scores as an empty one."""
+    """The columns keep of docs and score, from 0 to 1, which replaces a kept one of its name; a null text scores as an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*keep, docs[text_col].alias(fresh(docs, "_text")))
+    kept, back = aside(docs, keep, ["score"])
+    chosen = docs.select(*kept, docs[text_col].alias("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]), "score double"])
-    return chosen.mapInArrow(_scorer(sent), schema)
+    return chosen.mapInArrow(_scorer(sent), schema).select(*back, "score")
 
 
 def held_out() -> Column:
