@@ -43,6 +43,19 @@ def convolve(recent: str, tau: str, other: str, ahead: int = 0, last: str = "nul
     return F.expr(f"{total} * (1 - {q}) / (1 - pow({q}, {taps}))")
 
 
+def _recent(slots: DataFrame, train_before: int, roles: dict[str, str]) -> DataFrame:
+    """slots with the last TAPS source values, the last known one, and the medians that stand for gaps."""
+    early = lambda c: F.median(F.when(F.col("t_idx") < train_before, F.col(roles[c]).cast("double")))
+    mids = slots.groupBy("series_id").agg(early("level").alias("_level"), early("tw_flow").alias("_flow"), F.median(roles["filt"]).alias("_mid"))
+    by = Window.partitionBy("series_id").orderBy("t_idx")
+    recent = F.collect_list(F.struct(F.col(roles["filt"]).alias("v"))).over(by.rowsBetween(1 - TAPS, 0))
+    return slots.withColumns({"_recent": recent, "_last": F.last(roles["filt"], True).over(by)}).join(mids, "series_id")
+
+
+def _tau(base: Column, roles: dict[str, str]) -> Column:
+    return time_constant(base, F.col(roles["level"]), F.col(roles["tw_flow"]), F.col("_level"), F.col("_flow"))
+
+
 def with_physical(slots: DataFrame, tau: float = 8.0, train_before: int = 240, roles: dict[str, str] = ROLES) -> DataFrame:
     """slots with tau, physical (the baseline of the row) and ahead1 to ahead6 (its forecast, made at the row for that many steps later).
 
@@ -50,17 +63,25 @@ def with_physical(slots: DataFrame, tau: float = 8.0, train_before: int = 240, r
     over all of it fills a row without a value of its own. In a forecast the last known value
     stands for gaps and for what comes later; before the first known value it is null.
     """
-    early = lambda c: F.median(F.when(F.col("t_idx") < train_before, F.col(roles[c]).cast("double")))
-    mids = slots.groupBy("series_id").agg(early("level").alias("_level"), early("tw_flow").alias("_flow"), F.median(roles["filt"]).alias("_mid"))
-    by = Window.partitionBy("series_id").orderBy("t_idx")
-    recent = F.collect_list(F.struct(F.col(roles["filt"]).alias("v"))).over(by.rowsBetween(1 - TAPS, 0))
-    rows = slots.withColumns({"_recent": recent, "_last": F.last(roles["filt"], True).over(by)}).join(mids, "series_id")
-    rows = rows.withColumn("tau", time_constant(F.lit(tau), F.col(roles["level"]), F.col(roles["tw_flow"]), F.col("_level"), F.col("_flow")))
+    rows = _recent(slots, train_before, roles).withColumn("tau", _tau(F.lit(tau), roles))
     own = f"coalesce(`{roles['filt']}`, _mid)"
     out = {"physical": convolve("_recent", "tau", own)} | {f"ahead{h}": F.when(F.col("_last").isNotNull(), convolve("_recent", "tau", "_last", h, "_last")) for h in HORIZONS}
     return rows.withColumns(out).drop("_recent", "_last", "_level", "_flow", "_mid")
 
 
+def with_baselines(slots: DataFrame, taus: tuple[int, ...], train_before: int = 240, roles: dict[str, str] = ROLES) -> DataFrame:
+    """slots with physical_2, physical_4, ...: the baseline of each row for several time constants, over one window."""
+    rows = _recent(slots, train_before, roles).withColumns({f"_tau{t}": _tau(F.lit(float(t)), roles) for t in taus})
+    own = f"coalesce(`{roles['filt']}`, _mid)"
+    return rows.withColumns({f"physical_{t}": convolve("_recent", f"_tau{t}", own) for t in taus}).select(*slots.columns, *[f"physical_{t}" for t in taus])
+
+
+def kernel(tau: str, tap: str) -> Column:
+    """The weight of a tap in the kernel of a time constant, columns both; null beyond its last tap."""
+    taps, q = f"cast(ceil(round(ln(0.05D) * {tau} / -{STEP_HOURS}D, 9)) as int)", f"exp(-{STEP_HOURS}D / {tau})"
+    return F.expr(f"if({tap} < {taps}, pow({q}, {tap}) * (1 - {q}) / (1 - pow({q}, {taps})), null)")
+
+
 def with_state(rows: DataFrame, target: str = "ntu", roles: dict[str, str] = ROLES, override: dict[str, Column] | None = None) -> DataFrame:
     """rows of with_physical() with residual, the 24 columns of STATE_NAMES and available (the last six residuals are known).
 

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
+from oriel.operators.grids import Grid, Share, mean_errors
 from oriel.operators.horizons import backtest, fan, fill_gaps_by_model, gate_vectors, horizon_models, horizon_samples, joint_errors, path_grades, scenario_forecasts, simulate_paths, with_filled
-from oriel.operators.state import HORIZONS, STATE_NAMES, with_physical, with_state
+from oriel.operators.state import HORIZONS, STATE_NAMES, TAPS, kernel, with_baselines, with_physical, with_state
 from oriel.session import stage
 from oriel.sources import read_table
 
 #: Validation folds and ends of training, in slots.
 FOLDS = ((120, 150), (150, 180), (180, 210), (210, 240))
+TAUS = tuple(range(2, 25, 2))
 ENDS = {"interim": 200, "final": 273}
 #: Three operating days that are forecast freely, and where observed values are tested against again.
 FREE, TEST_FROM = (273, 309), 309
@@ -39,6 +42,33 @@ def physical_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "t_idx", *[F.round(c, 7).alias(c) for c in ("tau", "physical", *(f"ahead{h}" for h in HORIZONS))])
 
 
+def kernel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel of each slot, by its own time constant: weights of the taps, which add up to one."""
+    rows = with_physical(regular_slots(read_table(spark, sf_dir, "events"))).select("series_id", "t_idx", "tau", F.explode(F.sequence(F.lit(0), F.lit(TAPS - 1))).alias("lag_steps"))
+    return rows.withColumn("weight", F.round(kernel("tau", "lag_steps"), 6)).where("weight is not null").select("series_id", "t_idx", F.col("lag_steps").cast("long").alias("lag_steps"), "weight")
+
+
+def tau_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean validation error, over four folds, of a ridge (0.1) on the logarithm of the baseline of each of 12 time constants.
+
+    Every row's kernel follows its own level and flow. The target's logarithm is learnt, its own
+    error counts; of equal errors the smaller time constant is best.
+    """
+    rows = with_baselines(regular_slots(read_table(spark, sf_dir, "events")), TAUS, FOLDS[0][0])
+    cell = F.when(F.col("t_idx") < FOLDS[0][0], 0)
+    for k, (_, end) in enumerate(FOLDS):
+        cell = cell.when(F.col("t_idx") < end, k + 1)
+    grid = Grid(stage(rows, "baselines"), cell, F.log1p("ntu"), F.col("ntu"), [F.log1p(f"physical_{t}") for t in TAUS])
+    makes = {t: _only(k) for k, t in enumerate(TAUS)}
+    found = mean_errors([(t, Share(k, make)) for t, make in makes.items() for k in range(1, len(FOLDS) + 1)], (0.1,), grid)
+    best = min((e, t) for (t, _), e in found.items()) if found else None
+    return spark.createDataFrame([(t, round(e, 5), (e, t) == best) for (t, _), e in found.items()], "tau long, rmse double, best boolean")
+
+
+def _only(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda x: x[:, [k]]
+
+
 def state_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 columns of the state vector."""
     return _states(spark, sf_dir).select("series_id", "t_idx", *[F.round(c, 6).alias(c) for c in STATE_NAMES], "available")
@@ -149,10 +179,27 @@ def _rounded(names: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in names)
 
 
+#: Full baselines by joins, then each fold's fit from its moments.
+TAU_SQL = f"""WITH {SLOTS_SQL},
+mids AS (SELECT series_id, median(ph) FILTER (WHERE t_idx < {FOLDS[0][0]}) AS ml, median(flow) FILTER (WHERE t_idx < {FOLDS[0][0]}) AS mf, median(filt) AS mm FROM slots GROUP BY series_id),
+tau AS (SELECT s.series_id, t_idx, filt, ntu, mm, base, greatest(2.0, least(24.0, base * coalesce(ph / ml, 1.0) / coalesce(CASE WHEN flow > 0 THEN flow END / mf, 1.0))) AS tau FROM slots s JOIN mids m ON m.series_id = s.series_id CROSS JOIN range(2, 25, 2) AS g(base)),
+taps AS (SELECT *, unnest(range(CAST(ceil(round(ln(0.05) * tau / -2, 9)) AS BIGINT))) AS tap FROM tau),
+made AS (SELECT w.series_id, w.t_idx, w.base, max(w.ntu) AS ntu, ln(1 + sum(exp(-2 / w.tau * w.tap) * coalesce(b.filt, w.filt, w.mm)) / sum(exp(-2 / w.tau * w.tap))) AS x
+  FROM taps w JOIN slots b ON b.series_id = w.series_id AND b.t_idx = greatest(w.t_idx - w.tap, 0) GROUP BY w.series_id, w.t_idx, w.base),
+rows_of AS (SELECT base, t_idx, x, ntu, ln(1 + ntu) AS y FROM made WHERE ntu IS NOT NULL),
+folds AS (SELECT * FROM (VALUES {', '.join(f'({k}, {a}, {b})' for k, (a, b) in enumerate(FOLDS))}) AS f(fold, starts, ends)),
+bounds AS (SELECT base, fold, starts, ends, quantile_cont(x, 0.005) AS low, quantile_cont(x, 0.995) AS high FROM rows_of JOIN folds ON t_idx < starts GROUP BY ALL),
+cut AS (SELECT r.base, fold, starts, ends, t_idx, ntu, y, least(greatest(x, low), high) AS c FROM rows_of r JOIN bounds b ON b.base = r.base),
+fits AS (SELECT base, fold, avg(c) AS mc, CASE WHEN stddev_pop(c) < 1e-10 THEN 1.0 ELSE stddev_pop(c) END AS sc, avg(y) AS my, covar_pop(c, y) * count(*) / (CASE WHEN stddev_pop(c) < 1e-10 THEN 1.0 ELSE stddev_pop(c) END) / (count(*) * (CASE WHEN stddev_pop(c) < 1e-10 THEN 0 ELSE 1 END) + 0.1) AS w FROM cut WHERE t_idx < starts GROUP BY base, fold),
+errors AS (SELECT c.base, c.fold, sqrt(avg(pow(greatest(0, exp(my + w * (c - mc) / sc) - 1) - ntu, 2))) AS rmse FROM cut c JOIN fits f ON f.base = c.base AND f.fold = c.fold WHERE t_idx >= starts AND t_idx < ends GROUP BY c.base, c.fold),
+averaged AS (SELECT base, avg(rmse) AS rmse FROM errors GROUP BY base)
+SELECT CAST(base AS BIGINT) AS tau, round(rmse, 5) AS rmse, row_number() OVER (ORDER BY rmse, base) = 1 AS best FROM averaged"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (physical_forecast, state_features, scenario_states, horizon_ridges, horizon_backtest, model_gap_fill, forecast_fan, designated_forecasts, grade_ranges, scenario_sensitivity)
+    f.__name__: f for f in (physical_forecast, kernel_table, tau_search, state_features, scenario_states, horizon_ridges, horizon_backtest, model_gap_fill, forecast_fan, designated_forecasts, grade_ranges, scenario_sensitivity)
 }
 ORACLES = {
+    "kernel_table": f"{PHYSICAL_SQL} SELECT series_id, t_idx, tap AS lag_steps, round(w, 6) AS weight FROM weights",
+    "tau_search": TAU_SQL,
     "physical_forecast": f"{PHYSICAL_SQL} SELECT series_id, t_idx, {_rounded(["tau", "physical", *(f"ahead{h}" for h in HORIZONS)], 7)} FROM physical",
     "state_features": f"{_state_sql('s.rw')} SELECT series_id, t_idx, {_rounded(STATE_NAMES)}, available FROM state",
     "scenario_states": f"{_state_sql('(2 * s.rw)')} SELECT series_id, t_idx, {_rounded(['log_rw', 'log_rw_lag1', 'delta_log_rw'])} FROM state",

@@ -18,9 +18,8 @@ from oriel.sources import read_table
 FIELDS = ("ntu", "filt", "rw", "ph", "alum", "flow", "k")
 FACTORS = ("filt", "rw", "ph", "alum", "flow", "k")
 BY = ("series_id",)
-#: First slot that isn't trained on, and the starts and ends of the folds, as of the calendar.
+#: First slot that isn't trained on.
 TRAIN_BEFORE = 240
-FOLD_DAYS = ("2024-01-16", "2024-01-19", "2024-01-22", "2024-01-25", "2024-01-28")
 
 
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,34 +116,6 @@ def zero_head_convolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recent(_slots(spark, sf_dir), 12).withColumn("v", padded).select(*BY, "t_idx", F.round(_kernel("v", w / w.sum()), 6).alias("physical"))
 
 
-def tau_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean validation error over four folds of a one-feature ridge (0.1) on the baseline of each of 12 time constants.
-
-    Baselines come from one window; sums by time constant and fold cell give all fits.
-    """
-    slots = _recent(_slots(spark, sf_dir), 36).where("ntu is not null")
-    kernels = []
-    for tau in range(2, 25, 2):
-        w = np.exp(-2.0 / tau * np.arange(int(np.ceil(round(np.log(0.05) / (-2.0 / tau), 9)))))
-        kernels.append(F.struct(F.lit(tau).cast("long").alias("tau"), _kernel("v", w / w.sum()).alias("x")))
-    days = [F.to_timestamp_ntz(F.lit(f"{d} 00:00:00")) for d in FOLD_DAYS]
-    role = F.when(F.col("ts") < days[0], 0)
-    for k in range(4):
-        role = role.when(F.col("ts") < days[k + 1], k + 1)
-    rows = slots.select(*BY, role.alias("cell"), F.col("ntu").alias("y"), F.inline(F.array(*kernels))).where("cell is not null")
-    x, y = F.col("x"), F.col("y")
-    cells = rows.groupBy(*BY, "tau", "cell").agg(F.count("*").alias("n"), *[F.sum(v).alias(c) for c, v in (("sx", x), ("sy", y), ("sxx", x * x), ("sxy", x * y), ("syy", y * y))])
-    before = Window.partitionBy(*BY, "tau").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    t = cells.withColumns({f"t_{c}": F.sum(c).over(before) for c in ("n", "sx", "sy", "sxx", "sxy")}).where("cell > 0 and t_n > 1")
-    mx, my = F.col("t_sx") / F.col("t_n"), F.col("t_sy") / F.col("t_n")
-    spread = F.col("t_sxx") - F.col("t_n") * mx * mx
-    # Standardised by the population deviation, so the penalty is 0.1 against n.
-    slope = (F.col("t_sxy") - F.col("t_n") * mx * my) / (spread * (1 + 0.1 / F.col("t_n")))
-    a = my - slope * mx
-    off = F.col("syy") - 2 * a * F.col("sy") - 2 * slope * F.col("sxy") + F.col("n") * a * a + 2 * a * slope * F.col("sx") + slope * slope * F.col("sxx")
-    return t.groupBy(*BY, "tau").agg(F.round(F.avg(F.sqrt(F.greatest(off / F.col("n"), F.lit(0.0)))), 5).alias("rmse"))
-
-
 def skill_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seasonal naive against persistence: error over the deviation of the target, ratio of deviations, and 1 - (rmse / base) ** 2."""
     by = Window.partitionBy(*BY).orderBy("t_idx")
@@ -153,10 +124,9 @@ def skill_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*BY).agg(F.round(F.stddev_pop("p") / F.stddev_pop("y"), 6).alias("std_ratio"), F.round(rmse("p") / F.stddev_pop("y"), 6).alias("rmse_to_sigma"), F.round(1 - (rmse("p") / rmse("b")) ** 2, 6).alias("skill"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (timeline_gate, field_profile, carry_back, spearman_matrix, ks_two_sample, psi_drift, fir_convolve, zero_head_convolve, tau_search, skill_ratios)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (timeline_gate, field_profile, carry_back, spearman_matrix, ks_two_sample, psi_drift, fir_convolve, zero_head_convolve, skill_ratios)}
 
 _W = "OVER (PARTITION BY series_id ORDER BY t_idx)"
-_FOLDS = "(VALUES " + ", ".join(f"({k + 1}, TIMESTAMP '{FOLD_DAYS[k]} 00:00:00', TIMESTAMP '{FOLD_DAYS[k + 1]} 00:00:00')" for k in range(4)) + ") AS f(fold, starts, ends)"
 #: For DuckDB, after the slots: joins and unions where the queries above read arrays and windows.
 SQL = {
     "timeline_gate": "SELECT series_id, CAST(count(*) AS BIGINT) AS slots, CAST(count(DISTINCT ts) AS BIGINT) AS distinct_slots, CAST(count(*) FILTER (WHERE earlier IS NOT NULL AND ts - earlier <> INTERVAL '2 hours') AS BIGINT) AS bad_steps, strftime(min(ts) FILTER (WHERE earlier IS NOT NULL AND ts - earlier <> INTERVAL '2 hours'), '%Y-%m-%d %H:%M:%S') AS first_bad FROM (SELECT m.series_id, m.ts, (SELECT max(b.ts) FROM means b WHERE b.ts < m.ts) AS earlier FROM means m) x GROUP BY series_id",
@@ -167,6 +137,5 @@ SQL = {
     "psi_drift": "WITH e AS (" + " UNION ALL ".join(f"SELECT series_id, {k} AS j, round(percentile_cont({k / 10}) WITHIN GROUP (ORDER BY ntu), 9) AS edge FROM slots WHERE t_idx < 240 GROUP BY series_id" for k in range(11)) + "), u AS (SELECT DISTINCT series_id, edge FROM e), i AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY edge) AS place, count(*) OVER (PARTITION BY series_id) AS n_edges FROM u), b AS (SELECT s.series_id, s.t_idx, max(n_edges) AS n_edges, count(*) FILTER (WHERE place > 1 AND place < n_edges AND edge <= round(ntu, 9)) AS bin FROM slots s JOIN i ON i.series_id = s.series_id WHERE ntu IS NOT NULL GROUP BY s.series_id, s.t_idx), c AS (SELECT series_id, bin, max(n_edges) AS n_edges, CAST(count(*) FILTER (WHERE t_idx < 240) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE t_idx >= 240) AS DOUBLE) AS b FROM b GROUP BY series_id, bin), n AS (SELECT series_id, sum(a) AS na, sum(b) AS nb FROM c GROUP BY series_id) SELECT c.series_id, CASE WHEN max(na) >= 20 AND max(nb) >= 20 AND max(n_edges) >= 3 THEN round(sum((greatest(b / nb, 0.000001) - greatest(a / na, 0.000001)) * ln(greatest(b / nb, 0.000001) / greatest(a / na, 0.000001))), 6) END AS psi FROM c JOIN n ON n.series_id = c.series_id GROUP BY c.series_id",
     "fir_convolve": "WITH w AS (SELECT k, exp(-0.25 * k) / sum(exp(-0.25 * k)) OVER () AS weight FROM generate_series(0, 11) AS g(k)), m AS (SELECT series_id, median(rw) AS mid FROM slots GROUP BY series_id), c AS (SELECT s.series_id, t_idx, coalesce(rw, mid) AS x FROM slots s JOIN m ON m.series_id = s.series_id) SELECT a.series_id, a.t_idx, round(sum(w.weight * b.x), 6) AS physical FROM c a CROSS JOIN w JOIN c b ON b.series_id = a.series_id AND b.t_idx = greatest(a.t_idx - w.k, 0) GROUP BY a.series_id, a.t_idx",
     "zero_head_convolve": "WITH w AS (SELECT k, exp(-0.25 * k) / sum(exp(-0.25 * k)) OVER () AS weight FROM generate_series(0, 11) AS g(k)), m AS (SELECT series_id, median(rw) AS mid FROM slots GROUP BY series_id), c AS (SELECT s.series_id, t_idx, coalesce(rw, mid) AS x FROM slots s JOIN m ON m.series_id = s.series_id) SELECT a.series_id, a.t_idx, round(sum(w.weight * coalesce(b.x, 0)), 6) AS physical FROM c a CROSS JOIN w LEFT JOIN c b ON b.series_id = a.series_id AND b.t_idx = a.t_idx - w.k GROUP BY a.series_id, a.t_idx",
-    "tau_search": f"WITH w AS (SELECT tau, k, exp(-2.0 / tau * k) / sum(exp(-2.0 / tau * k)) OVER (PARTITION BY tau) AS weight FROM (SELECT unnest(range(2, 25, 2)) AS tau) CROSS JOIN generate_series(0, 39) AS g(k) WHERE k < ceil(round(ln(0.05) / (-2.0 / tau), 9))), m AS (SELECT series_id, median(rw) AS mid FROM slots GROUP BY series_id), c AS (SELECT s.series_id, s.ts, t_idx, coalesce(rw, mid) AS x, ntu FROM slots s JOIN m ON m.series_id = s.series_id), p AS (SELECT a.series_id, w.tau, a.t_idx, max(a.ts) AS ts, max(a.ntu) AS y, sum(w.weight * b.x) AS x FROM c a CROSS JOIN w JOIN c b ON b.series_id = a.series_id AND b.t_idx = greatest(a.t_idx - w.k, 0) WHERE a.ntu IS NOT NULL GROUP BY a.series_id, w.tau, a.t_idx), f AS (SELECT series_id, tau, fold, starts, ends, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) / (var_pop(x) * (1 + 0.1 / count(*))) AS slope FROM p CROSS JOIN {_FOLDS} WHERE ts < starts GROUP BY series_id, tau, fold, starts, ends), v AS (SELECT p.series_id, p.tau, fold, sqrt(avg((y - my - slope * (x - mx)) * (y - my - slope * (x - mx)))) AS rmse FROM p JOIN f ON f.tau = p.tau AND f.series_id = p.series_id WHERE ts >= starts AND ts < ends GROUP BY p.series_id, p.tau, fold) SELECT series_id, CAST(tau AS BIGINT) AS tau, round(avg(rmse), 5) AS rmse FROM v GROUP BY series_id, tau",
     "skill_ratios": f"WITH r AS (SELECT series_id, ntu AS y, lag(ntu, 12) {_W} AS p, lag(ntu) {_W} AS b FROM slots) SELECT series_id, round(sqrt(avg(p * p) - avg(p) * avg(p)) / sqrt(avg(y * y) - avg(y) * avg(y)), 6) AS std_ratio, round(sqrt(avg((p - y) * (p - y))) / sqrt(avg(y * y) - avg(y) * avg(y)), 6) AS rmse_to_sigma, round(1 - avg((p - y) * (p - y)) / avg((b - y) * (b - y)), 6) AS skill FROM r WHERE y IS NOT NULL AND p IS NOT NULL AND b IS NOT NULL GROUP BY series_id",
 }

@@ -82,5 +82,4 @@ SERIES_SQL: dict[str, str] = {
     "odd_hour_interp": f"SELECT t_idx, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN round(exp((ln(1 + a) + ln(1 + b)) / 2) - 1, 5) END AS odd_hour FROM (SELECT t_idx, ntu AS a, lead(ntu) {W} AS b FROM {{s}}) x",
     "scenario_elasticity": f"SELECT t_idx, factor, round(0.4 * rw * (factor - 1), 6) AS delta, CASE WHEN base > 0 AND factor <> 1 THEN round(0.4 * rw * (factor - 1) / base / (factor - 1), 6) END AS elasticity FROM (SELECT t_idx, rw, 5 + 0.4 * rw + 0.2 * alum AS base FROM {{s}} WHERE rw IS NOT NULL AND alum IS NOT NULL) x CROSS JOIN (VALUES (CAST(0.9 AS DOUBLE)), (CAST(1.1 AS DOUBLE))) AS g(factor)",
     "histogram_40": "WITH p AS (SELECT min(ntu) AS lo, percentile_cont(0.99) WITHIN GROUP (ORDER BY ntu) AS hi FROM {s}), v AS (SELECT CAST(least(floor(round((ntu - lo) / (hi - lo) * 40, 6)), 39) AS BIGINT) AS bin FROM {s} CROSS JOIN p WHERE ntu <= hi) SELECT bin, CAST(count(*) AS BIGINT) AS n FROM v GROUP BY bin",
-    "kernel_table": "SELECT CAST(tau AS BIGINT) AS tau, CAST(k AS BIGINT) AS lag_steps, round(exp(-2.0 / tau * k) / sum(exp(-2.0 / tau * k)) OVER (PARTITION BY tau), 6) AS weight FROM {taus} CROSS JOIN {taps} WHERE k < ceil(ln(0.05) / (-2.0 / tau))",
 }
