@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,3 +100,47 @@ def partial_curves(parameters: DataFrame, spans: DataFrame, points: int = 25) ->
     term = F.when(F.col("feature") == "intercept", F.col("coefficient")).otherwise((F.least(F.greatest(x, F.col("low")), F.col("high")) - F.col("mean")) / F.col("scale") * F.col("coefficient"))
     summed = both.groupBy("factor", "_k", "value").agg(F.sum(term).alias("total"))
     return summed.select("factor", "value", F.greatest(F.lit(0.0), F.expm1("total")).alias("conditional"))
+
+
+def weighted_rho(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Spearman's rho of the rows repeated by each column of weights (whole numbers); nan where a side is constant.
+
+    The rank of a value is what lies below it and half of what equals it, from sums over distinct values.
+    """
+
+    def ranks(v: np.ndarray) -> np.ndarray:
+        _, place = np.unique(v, return_inverse=True)
+        sums = np.zeros((place.max() + 1, weights.shape[1]))
+        np.add.at(sums, place, weights)
+        return (np.cumsum(sums, axis=0) - sums / 2)[place]
+
+    n = weights.sum(axis=0)
+    a, b = (r - (weights * r).sum(axis=0) / n for r in (ranks(x), ranks(y)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (weights * a * b).sum(axis=0) / np.sqrt((weights * a * a).sum(axis=0) * (weights * b * b).sum(axis=0))
+
+
+def block_intervals(rows: DataFrame, names: list[str], target: str, seed: int, repeats: int = 200, block: int = 12) -> DataFrame:
+    """Rows (series_id, factor, rho, low, high, blocks): Spearman's rho of each column with the target, and its 95 % range over draws of whole blocks.
+
+    Blocks are `block` consecutive rows on which both are known; a last one that isn't full takes
+    no part in the draws, and with under two blocks there is no range. A draw is a count for each
+    block, so no row is copied. A group is one series and factor: its slots, some thousands.
+    """
+    pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for k, c in enumerate(names)]))
+    long = rows.select("series_id", "t_idx", F.col(target).alias("y"), pairs).where("x is not null and y is not null")
+
+    def drawn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t_idx")
+        x, y, first = part["x"].to_numpy(), part["y"].to_numpy(), part.iloc[0]
+        blocks, ends = len(x) // block, [None, None]
+        if blocks >= 2:
+            rng = np.random.default_rng(seed + int(first["at"]))
+            counts = np.column_stack([np.bincount(rng.integers(0, blocks, blocks), minlength=blocks) for _ in range(repeats)])
+            n = blocks * block
+            found = weighted_rho(x[:n], y[:n], np.repeat(counts, block, axis=0).astype(float))
+            ends = np.quantile(found[~np.isnan(found)], [0.025, 0.975]).tolist() if not np.isnan(found).all() else ends
+        rho = float(weighted_rho(x, y, np.ones((len(x), 1)))[0])
+        return pd.DataFrame([(first["series_id"], first["factor"], None if np.isnan(rho) else rho, *ends, blocks)], columns=["series_id", "factor", "rho", "low", "high", "blocks"])
+
+    return long.groupBy("series_id", "factor").applyInPandas(drawn, "series_id string, factor string, rho double, low double, high double, blocks int")

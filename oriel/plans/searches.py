@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from oriel.operators.calendar import regular_slots
-from oriel.operators.factors import factor_table, parameter_table, partial_curves
+from oriel.operators.factors import block_intervals, factor_table, parameter_table, partial_curves
 from oriel.operators.grids import Grid, Score, Share, cosine_features, mean_errors, median_spread, parts, sampled
 from oriel.operators.local_fit import Fit
 from oriel.operators.passes import quantiles
@@ -93,6 +93,17 @@ def factor_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_table(rows, grid, PLAIN, models, FACTORS, FEATURES, "ntu", folds, F.col("t_idx") >= TRAIN_BEFORE, SKEWED)
 
 
+def factor_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation of each factor with the target before the external test, with its range over 200 draws of blocks of twelve rows."""
+    rows = designed(spark, sf_dir).where(F.col("t_idx") < TRAIN_BEFORE)
+    return block_intervals(rows, list(SERIES), "ntu", SEED)
+
+
+def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight factors that matter most, the least of them first, and whether they are selected."""
+    return factor_ranking(spark, sf_dir).where("importance_rank <= 8").orderBy(F.desc("importance_rank")).select("factor", "importance", "importance_rank", "selected")
+
+
 def _parameters(spark: SparkSession, model: Fit) -> DataFrame:
     return parameter_table(spark, Ridge.of(FEATURES, model), FACTORS | {"cycle": CYCLES})
 
@@ -289,4 +300,4 @@ def identifiable_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "factor string, delay int, peak int, correlation double, mode_share double, degenerate boolean, identifiable boolean")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ridge_search, factor_ranking, factor_parameters, partial_effects, cosine_grid, factor_evaluation, factor_forecasts, delay_search, delay_matrix, ar_order_grid, arx_parameters, arx_external, identifiable_delays)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ridge_search, factor_ranking, factor_intervals, top_factors, factor_parameters, partial_effects, cosine_grid, factor_evaluation, factor_forecasts, delay_search, delay_matrix, ar_order_grid, arx_parameters, arx_external, identifiable_delays)}

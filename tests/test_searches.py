@@ -196,6 +196,18 @@ def test_evaluation_and_forecasts(spark, rows, factor):
     assert len(told) == 36 and np.allclose(told[["made", "low", "high"]], np.column_stack([back(last(at)), back(last(at) + low), back(last(at) + high)]))
 
 
+def test_factor_intervals(spark, rows):
+    got = {r["factor"]: r for r in S.factor_intervals(spark, SF).collect()}
+    early = rows[rows["t_idx"] < 240]
+    for at, c in enumerate(S.SERIES):
+        own = early[early[c].notna() & early["ntu"].notna()][[c, "ntu"]].reset_index(drop=True)
+        rng, blocks, found = np.random.default_rng(S.SEED + at), len(own) // 12, []
+        for _ in range(200):
+            copied = own.iloc[np.concatenate([np.arange(12 * b, 12 * b + 12) for b in rng.integers(0, blocks, blocks)])]
+            found.append(copied[c].rank().corr(copied["ntu"].rank()))
+        assert np.allclose([got[c]["rho"], got[c]["low"], got[c]["high"]], [own[c].rank().corr(own["ntu"].rank()), *np.quantile(found, [0.025, 0.975])]) and got[c]["blocks"] == blocks
+
+
 @pytest.mark.parametrize("most", [16, 4096])
 def test_exact_quantiles(spark, most):
     rng = np.random.default_rng(0)
