@@ -59,12 +59,9 @@ SERIES_SQL: dict[str, str] = {
     "fold_roles": f"SELECT fold, CAST(sum(CASE WHEN ts < starts THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN ts >= starts AND ts < ends THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM {{s}} CROSS JOIN {FOLDS} GROUP BY fold",
     "state_available": "SELECT t_idx, CAST(count(filt) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) = 6 AS available FROM {s}",
     "seasonal_naive_metrics": f"SELECT {_metrics('y', 'p')} FROM (SELECT ntu AS y, lag(ntu, 12) {W} AS p FROM {{s}}) x WHERE y IS NOT NULL AND p IS NOT NULL",
-    "persistence_by_horizon": " UNION ALL ".join(f"SELECT {2 * h} AS horizon_hours, {_metrics('y', 'p')} FROM (SELECT lead(ntu, {h}) {W} AS y, ntu AS p FROM {{s}}) x WHERE y IS NOT NULL AND p IS NOT NULL" for h in range(1, 7)),
     "bias_decomposition": f"SELECT round(avg(e) * avg(e), 6) AS bias_squared, round(var_pop(e), 6) AS dispersion, round(avg(e * e), 6) AS mse, round(avg(e) * avg(e) / avg(e * e), 6) AS bias_share FROM (SELECT lag(ntu, 12) {W} - ntu AS e FROM {{s}}) x WHERE e IS NOT NULL",
     "interval_coverage": f"WITH e AS (SELECT t_idx, ntu, lag(ntu) {W} AS p FROM {{s}}), q AS (SELECT percentile_cont(0.025) WITHIN GROUP (ORDER BY ntu - p) AS lo, percentile_cont(0.975) WITHIN GROUP (ORDER BY ntu - p) AS hi FROM e WHERE t_idx < 240 AND ntu IS NOT NULL AND p IS NOT NULL) SELECT round(avg(CASE WHEN ntu - p BETWEEN lo AND hi THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS coverage, CAST(count(*) AS BIGINT) AS n FROM e CROSS JOIN q WHERE t_idx >= 240 AND ntu IS NOT NULL AND p IS NOT NULL",
-    "residual_acf": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c) " + " UNION ALL ".join(f"SELECT {k} AS lag_steps, round(sum(c * c{k}) / sum(c * c), 6) AS acf FROM l" for k in range(1, 13)),
     "ljung_box": f"WITH r AS (SELECT series_id, t_idx, ntu - lag(ntu) {W} AS e FROM {{s}}), c AS (SELECT series_id, t_idx, e - avg(e) OVER (PARTITION BY series_id) AS c FROM r WHERE e IS NOT NULL), l AS (SELECT c, {', '.join(f'lag(c, {k}) {W} AS c{k}' for k in range(1, 13))} FROM c), a AS (SELECT count(*) AS n, sum(c * c) AS v, {', '.join(f'sum(c * c{k}) AS s{k}' for k in range(1, 13))} FROM l), q AS (SELECT n * (n + 2.0) * ({' + '.join(f'(s{k} / v) * (s{k} / v) / (n - {k})' for k in range(1, 13))}) / 2 AS h FROM a) SELECT round(2 * h, 5) AS q12, round(exp(-h) * (1 + h + h * h / 2 + h * h * h / 6 + h * h * h * h / 24 + h * h * h * h * h / 120), 9) AS p_value FROM q",
-    "crosscorr_peak": f"WITH d AS (SELECT series_id, t_idx, rw - lag(rw) {W} AS x, filt - lag(filt) {W} AS y FROM {{s}}), l AS (SELECT y, {', '.join(f'lag(x, {k}) {W} AS x{k}' for k in range(0, 7))} FROM d), c AS (" + " UNION ALL ".join(f"SELECT {k} AS steps, corr(x{k}, y) AS r FROM l WHERE x{k} IS NOT NULL AND y IS NOT NULL" for k in range(0, 7)) + ") SELECT steps, round(r, 6) AS r, row_number() OVER (ORDER BY round(abs(r), 9) DESC, steps) = 1 AS peak FROM c",
     "describe_windows": f"SELECT CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END AS part, CAST(count(ntu) AS BIGINT) AS n, {MEAN} AS mean_value, round(stddev_samp(ntu), 6) AS sd, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY ntu), 6) AS p5, round(median(ntu), 6) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY ntu), 6) AS p95, round(min(ntu), 6) AS minimum, round(max(ntu), 6) AS maximum FROM {{s}} GROUP BY CASE WHEN t_idx < 240 THEN 'train' ELSE 'test' END",
     "mode_degeneracy": "WITH v AS (SELECT n AS x, count(*) AS c FROM {s} GROUP BY n), m AS (SELECT median(n) AS mid FROM {s}), d AS (SELECT 1.4826 * median(abs(n - mid)) AS robust_scale FROM {s} CROSS JOIN m) SELECT CAST(count(*) AS BIGINT) AS distinct_values, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS mode_share, max(round(robust_scale, 6)) AS robust_scale, max(c) / CAST(sum(c) AS DOUBLE) >= 0.9 OR count(*) = 1 AS degenerate FROM v CROSS JOIN d",
     "pivot_min_matrix": "SELECT hour(ts) AS slot_hour, " + ", ".join(f"round(min(CASE WHEN (t_idx / 12) - floor(t_idx / 48) * 4 >= {d} AND (t_idx / 12) - floor(t_idx / 48) * 4 < {d + 1} THEN ntu END), 6) AS d{d}" for d in range(4)) + " FROM {s} GROUP BY hour(ts)",
