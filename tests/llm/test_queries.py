@@ -39,6 +39,7 @@ def bare(spark, odd, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("bare"))
     for t in ("documents", "labels"):
         spark.read.parquet(f"{odd}/{t}.parquet").where("false").write.parquet(f"{path}/{t}.parquet")
+    spark.read.parquet(f"{SF}/embeddings.parquet").where("false").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
