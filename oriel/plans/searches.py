@@ -17,7 +17,7 @@ from oriel.operators.calendar import regular_slots
 from oriel.operators.factors import block_intervals, factor_table, parameter_table, partial_curves
 from oriel.operators.grids import Grid, Score, Share, cosine_features, mean_errors, median_spread, parts, sampled
 from oriel.operators.local_fit import Fit
-from oriel.operators.passes import quantiles
+from oriel.operators.passes import quantiles, sum_arrays
 from oriel.operators.regression import Ridge
 from oriel.session import stage
 from oriel.sources import read_table
@@ -300,4 +300,34 @@ def identifiable_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "factor string, delay int, peak int, correlation double, mode_share double, degenerate boolean, identifiable boolean")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ridge_search, factor_ranking, factor_intervals, top_factors, factor_parameters, partial_effects, cosine_grid, factor_evaluation, factor_forecasts, delay_search, delay_matrix, ar_order_grid, arx_parameters, arx_external, identifiable_delays)}
+#: The single fold of the short choices: slots before it train; and rows that a delay needs on either side.
+SHORT, LEAST_TRAIN, LEAST_JUDGED = (210, 240), 100, 20
+
+
+def _short_cell() -> Column:
+    return F.when(F.col("t_idx") < SHORT[0], 0).when(F.col("t_idx") < SHORT[1], 1)
+
+
+def short_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a single fold would choose: the factor model's ridge, and delays and ridge of the model with own lags 1 to 3; they may differ from the searches' choices.
+
+    Delays with too few complete rows to train or judge by don't take part.
+    """
+    rows = stage(designed(spark, sf_dir), "design")
+    grid = Grid(rows, _short_cell(), F.col("y"), F.col("ntu"), [F.col(c) for c in [*FEATURES, *SERIES]])
+    plain = [Share(1, _plain)]
+    judged = grid.scores(plain, grid.fit(plain, RIDGES, robust=True))
+    found = [("factors", *min((s.rmse, RIDGES[r], "", s.mae, s.r2) for (_, r), s in judged.items()))] if judged else []
+    grid = Grid(rows, _short_cell(), F.col("y"), F.col("ntu"), [F.col(c) for c in DELAY_COLUMNS], told_apart=256)
+    delays = list(product(range(STEPS), repeat=len(DELAYED)))
+    shares = [Share(1, _delay_terms(d, ORDERS[0]), filled=False) for d in delays]
+    trained = sum_arrays(grid.rows, grid.columns, lambda x: ((s, np.array([len(f)])) for s, _, f, _, _ in parts(x, shares)))
+    judged = grid.scores(shares, grid.fit(shares, RIDGES))
+    fine = [(s.rmse, sum(delays[k]), delays[k], RIDGES[r], s.mae, s.r2) for (k, r), s in judged.items() if trained[k][0] >= LEAST_TRAIN and s.n >= LEAST_JUDGED]
+    if fine:
+        rmse, _, d, ridge, mae, r2 = min(fine)
+        found.append(("delays", rmse, ridge, ",".join(map(str, d)), mae, r2))
+    return spark.createDataFrame([(q, d, ridge, e, mae, r2) for q, e, ridge, d, mae, r2 in found], "question string, delays string, ridge double, rmse double, mae double, r2 double")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ridge_search, factor_ranking, factor_intervals, top_factors, factor_parameters, partial_effects, cosine_grid, factor_evaluation, factor_forecasts, delay_search, delay_matrix, ar_order_grid, arx_parameters, arx_external, identifiable_delays, short_choices)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from oriel.operators.two_samples import counted_p, two_sample_distance
 from oriel.plans import queries as series
 from oriel.sources.records import record_profile, spread, with_record
+from oriel.sources.stored import in_month, read_days, store_by_day
 
 
 def test_cells(spark):
@@ -50,3 +51,13 @@ def test_distance_by_series(spark):
 def test_query_agrees_with_the_asymptotic_one(spark):
     a, b = (series.QUERIES[q](spark, "/root/testdata/sf0.001").first() for q in ("ks_counted", "ks_two_sample"))
     assert np.isclose(a["d_statistic"], b["d_statistic"], atol=1e-6) and abs(a["p"] - b["p_asymptotic"]) < 0.05
+
+
+def test_days_outside_the_range_are_not_read(spark, tmp_path):
+    slots = spark.createDataFrame([("s", k, f"2024-01-{k:02d}", float(k)) for k in range(1, 29)], "series_id string, t_idx long, op_day string, ntu double").withColumn("op_day", F.col("op_day").cast("date"))
+    path = store_by_day(slots, str(tmp_path / "days"))
+    read = read_days(spark, path, "2024-01-05", "2024-01-07")
+    assert [r["t_idx"] for r in read.orderBy("t_idx").collect()] == [5, 6, 7] and len(read.inputFiles()) >= 3
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(op_day" in plan and "PushedFilters: []" in plan
+    assert spark.read.parquet(path).where(in_month(F.col("op_day"), "2024-02")).count() == 0

@@ -196,6 +196,23 @@ def test_evaluation_and_forecasts(spark, rows, factor):
     assert len(told) == 36 and np.allclose(told[["made", "low", "high"]], np.column_stack([back(last(at)), back(last(at) + low), back(last(at) + high)]))
 
 
+def test_short_choices(spark, rows, factor):
+    x, y, actual, t, *_ = factor
+    a, b = S.SHORT
+    train, valid = t < a, (t >= a) & (t < b)
+    best = min((rmse(actual[valid], back(model(x[train], y[train], r, True)(x[valid]))), r) for r in S.RIDGES)
+    found = []
+    for d in product(range(4), repeat=4):
+        v, z, at = delay_design(rows, d, 3), rows["ntu"].to_numpy(), rows["t_idx"].to_numpy()
+        whole = ~np.isnan(v).any(axis=1) & ~np.isnan(z)
+        one, two = whole & (at < a), whole & (at >= a) & (at < b)
+        if one.sum() >= S.LEAST_TRAIN and two.sum() >= S.LEAST_JUDGED:
+            found += [(rmse(z[two], back(model(v[one], np.log1p(z[one]), r)(v[two]))), sum(d), d, r) for r in S.RIDGES]
+    got = {r["question"]: r for r in S.short_choices(spark, SF).collect()}
+    assert np.isclose(got["factors"]["rmse"], best[0]) and got["factors"]["ridge"] == best[1]
+    assert np.isclose(got["delays"]["rmse"], min(found)[0]) and got["delays"]["delays"] == ",".join(map(str, min(found)[2])) and got["delays"]["ridge"] == min(found)[3]
+
+
 def test_factor_intervals(spark, rows):
     got = {r["factor"]: r for r in S.factor_intervals(spark, SF).collect()}
     early = rows[rows["t_idx"] < 240]
