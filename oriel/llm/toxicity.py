@@ -16,6 +16,7 @@ of these it counts all n-grams.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -122,19 +123,36 @@ def from_chance(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int) -> np.nd
     return np.sqrt(np.maximum(2 * g, 0))
 
 
-def fit_logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic weights and intercept for a sparse matrix (rows, columns, values), by accelerated gradient steps.
+#: Places of the sparse matrix that a step of the fit takes at a time.
+AT_ONCE = 1 << 18
 
-    ridge weighs half the squared norm of the weights against the mean loss; the intercept is free.
+
+def fit_logistic(columns: np.ndarray, sizes: np.ndarray, ratio: np.ndarray, labels: np.ndarray, ridge: float, rounds: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic weights and intercept by accelerated gradient steps, for rows that hold ratio[c] at each of their columns c.
+
+    columns: those of all rows one after another; sizes: how many each row has. ridge weighs half
+    the squared norm of the weights against the mean loss; the intercept is free. Beside the
+    columns only AT_ONCE places at a time (a longer row at once) are held.
     """
-    n = len(labels)
-    product = lambda w: np.bincount(rows, values * w[columns], n)
-    reverse = lambda g: np.bincount(columns, values * g[rows], width)
-    direction = np.ones(width)
+    n, ends = len(labels), np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(AT_ONCE, ends[-1], AT_ONCE)), [n]]))
+    parts = [(a, b, columns[ends[a] : ends[b]]) for a, b in pairwise(cuts.tolist())]
+
+    def product(w: np.ndarray) -> np.ndarray:
+        held = ratio * w
+        return np.concatenate([np.bincount(np.repeat(np.arange(b - a), sizes[a:b]), held[c], b - a) for a, b, c in parts])
+
+    def reverse(g: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ratio))
+        for a, b, c in parts:
+            out += np.bincount(c, np.repeat(g[a:b], sizes[a:b]), len(ratio))
+        return ratio * out
+
+    direction = np.ones(len(ratio))
     for _ in range(20):  # the largest curvature
         direction = reverse(product(direction / np.linalg.norm(direction)))
     step = 1 / (np.linalg.norm(direction) / (4 * n) + ridge + 0.25)
-    w = ahead = np.zeros(width)
+    w = ahead = np.zeros(len(ratio))
     b = b_ahead = float(np.log((labels.sum() + 1) / (n - labels.sum() + 1)))
     for k in range(rounds):
         off = 1 / (1 + np.exp(-np.clip(product(ahead) + b_ahead, -500, 500))) - labels
@@ -167,6 +185,7 @@ def fit_toxicity(labelled: DataFrame) -> Model:
     yes, no = np.zeros(len(keys)), np.zeros(len(keys))
     at = table.column(0).to_numpy()
     yes[at], no[at] = table.column(1).to_numpy(), table.column(2).to_numpy()
+    del known, table, at, order  # the driver's memory is small
     sure = np.flatnonzero(from_chance(yes, no, n_yes, n_no) >= SURE)
     if not len(sure):
         return *nothing, float(np.log((n_yes + 1) / (n_no + 1)))
@@ -176,7 +195,7 @@ def fit_toxicity(labelled: DataFrame) -> Model:
     chosen = sample.mapInArrow(_sets(context.broadcast((keys, slots))), "places array<int>, label long, doc_id string").toArrow().sort_by("doc_id")
     sets = chosen.column("places").combine_chunks()
     columns, sizes = np.asarray(sets.flatten()), np.diff(np.asarray(sets.offsets))
-    w, b = fit_logistic(np.repeat(np.arange(len(sizes)), sizes), columns, ratio[columns], np.asarray(chosen.column("label"), np.float64), len(keys), RIDGE)
+    w, b = fit_logistic(columns, sizes, ratio, np.asarray(chosen.column("label"), np.float64), RIDGE)
     return keys, slots, w * ratio, b
 
 
