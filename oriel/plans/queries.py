@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from oriel.operators.calendar import SLOTS_SQL, regular_slots
 from oriel.operators.recursion import GAPS_SQL, fill_gaps
 from oriel.operators.regression import Ridge, fit_ridge, permutation_importance
-from oriel.plans import forecast, frames, lagged as steps, records, searches
+from oriel.plans import forecast, frames, lagged as steps, records, round_trips, searches
 from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
 from oriel.sources import read_table
@@ -80,5 +80,5 @@ def block_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MODELS = {f.__name__: f for f in (huber_ridge, block_importance)}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS | frames.QUERIES | forecast.QUERIES | searches.QUERIES | records.QUERIES | steps.QUERIES
-ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"} | forecast.ORACLES | records.ORACLES | {name: _series_oracle(text) for name, text in (frames.SQL | steps.SQL).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS | frames.QUERIES | forecast.QUERIES | searches.QUERIES | records.QUERIES | steps.QUERIES | round_trips.QUERIES
+ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"} | forecast.ORACLES | records.ORACLES | round_trips.ORACLES | {name: _series_oracle(text) for name, text in (frames.SQL | steps.SQL).items()}

@@ -42,6 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_default[0]
 
 
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/oriel-{label}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back.
 
@@ -50,10 +58,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     by release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/oriel-{label}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._staged_at = path
     return staged

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from oriel.operators.ordered import in_order
+from oriel.session import release
+
 #: Start of each of an operating day's twelve readings; hours before 7 belong to the next calendar day.
 SLOTS = tuple(f"{(7 + 2 * k) % 24:02d}00" for k in range(12))
 
@@ -19,13 +22,13 @@ def normalised(name: str) -> str:
     return " ".join(name.split()).upper()
 
 
-def scan_folder(spark: SparkSession, folder: str, files: int | None = None, pattern: str = "*.csv") -> DataFrame:
-    """All matching files under the folder as text columns, with source (the file's name); raises if there are not `files` of them.
+def scan_folder(spark: SparkSession, folder: str, files: int | None = None, pattern: str = "*.csv", source: str = "[^/]+$") -> DataFrame:
+    """All matching files under the folder as text columns, with source (the file's name, or what the expression finds in its path); raises if there are not `files` of them.
 
     Headers are normalised; columns without a name are dropped. Every file must have the first one's header.
     """
     raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("enforceSchema", False).csv(folder)
-    found = raw.withColumn("source", F.regexp_extract(F.input_file_name(), "[^/]+$", 0))
+    found = raw.withColumn("source", F.regexp_extract(F.input_file_name(), source, 0))
     if files is not None and (n := found.select("source").distinct().count()) != files:
         raise ValueError(f"{n} files under {folder}, {files} expected")
     kept = [c for c in raw.columns if not c.startswith("_c") and c.strip()]
@@ -81,10 +84,16 @@ def checked_time(df: DataFrame, column: str) -> DataFrame:
 
 
 def timeline_gate(df: DataFrame, rows: int, time: str = "ts", step_hours: int = 2) -> DataFrame:
-    """df, if it has that many rows with as many different times, all one step apart; else ValueError tells the first gap."""
-    before = F.lag(time, 1).over(Window.orderBy(time))
-    steps = df.select(time).withColumn("_step", (F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 3600)
-    found = steps.agg(F.count("*").alias("n"), F.count_distinct(time).alias("distinct"), F.min(F.when(F.col("_step") != step_hours, F.col(time))).alias("bad")).first()
+    """df, if it has that many rows with as many different times, all one step apart; else ValueError tells the first gap.
+
+    Times are sorted into ranges, so that no task sees them all.
+    """
+    ordered = in_order(df.select(F.col(time).alias("at")), "at", previous=("at",))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    step = (seconds("at") - seconds("previous_at")) / 3600
+    new = F.col("at").isNotNull() & (F.col("previous_at").isNull() | (step != 0))
+    found = ordered.agg(F.count("*").alias("n"), F.count_if(new).alias("distinct"), F.min(F.when(step != step_hours, F.col("at"))).alias("bad")).first()
+    release(ordered)
     if found["n"] != rows or found["distinct"] != rows or found["bad"] is not None:
         raise ValueError(f"{found['n']} rows, {found['distinct']} times, {rows} expected; first wrong step at {found['bad']}")
     return df
@@ -104,10 +113,20 @@ def provenance(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def semantic_digest(df: DataFrame, order: str, by: str = "source") -> DataFrame:
-    """Rows (by, records, digest): of each group's rows in order, as JSON with trimmed texts; other columns keep their order. A group is one file."""
+def semantic_digest(df: DataFrame, order: str, by: str = "source", bits: int = 16) -> DataFrame:
+    """Rows (by, records, digest): of each group's rows in order, as JSON with trimmed texts; other columns keep their order. A group is one file.
+
+    order is a whole number, as row_no. Digests form a tree of three levels: rows whose numbers
+    agree but for the last `bits` bits are one node, nodes likewise, and a group has one digest of
+    the nodes above. So a task holds some 2^bits digests at a time, and the result doesn't depend
+    on partitions. Rows with equal numbers go by their digests.
+    """
     own = [c for c in df.columns if c not in (by, order)]
     texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
-    row = F.to_json(F.struct(*[(F.trim(c) if c in texts else F.col(c)).alias(c) for c in own]), {"ignoreNullFields": "false"})
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), row.alias("v"))))
-    return df.groupBy(by).agg(F.count("*").alias("records"), F.sha2(F.array_join(F.transform(listed, lambda x: x["v"]), "\n"), 256).alias("digest"))
+    row = F.to_json(F.struct(*[(F.trim(c) if c in texts else F.col(f"`{c}`")).alias(c) for c in own]), {"ignoreNullFields": "false"})
+    nodes = df.select(F.col(by).alias("group"), F.col(order).cast("long").alias("place"), F.sha2(row, 256).alias("node"), F.lit(1).cast("long").alias("records"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]), "\n"), 256)
+    for level in range(3):
+        above = [F.shiftright("place", bits).alias("place")] if level < 2 else []
+        nodes = nodes.groupBy("group", *above).agg(F.sum("records").alias("records"), joined.alias("node"))
+    return nodes.select(F.col("group").alias(by), "records", F.col("node").alias("digest"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriel.session import shared_dir
+from oriel.session import fresh_folder
 
 
 def store_by_day(slots: DataFrame, path: str | None = None, day: str = "op_day") -> str:
     """Writes slots into one folder a day, in order of series and slot, and returns where; without a path, into the shared folder."""
-    path = path or f"{shared_dir(slots.sparkSession)}/oriel-days-{uuid.uuid4().hex}"
+    path = path or fresh_folder(slots.sparkSession, "days")
     # A day's rows go to one task; slots of a day are few, however many events made them.
     slots.repartition(day).sortWithinPartitions("series_id", "t_idx").write.partitionBy(day).option("compression", "zstd").parquet(path)
     return path
