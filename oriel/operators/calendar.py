@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Series of an event: all events are one, or users fall into four.
+ONE, FOUR = "'all'", "cast(user_id % 4 as string)"
 #: Measured series: name and the event type whose values it averages (None: all).
 SERIES = (("ntu", None), ("filt", "error"), ("rw", "view"), ("ph", "click"), ("alum", "purchase"), ("flow", "signup"))
 
 
-def slot_means(events: DataFrame, series: str = "'all'") -> DataFrame:
+def slot_means(events: DataFrame, series: str = ONE) -> DataFrame:
     """One row a series and non-empty slot: means by type, count, and the mean of props.k. One shuffle, combined map-side."""
     start = F.window("ts", "2 hours", "2 hours", "1 hour")["start"].alias("ts")
     means = [F.round(F.avg("value" if kind is None else F.when(F.col("event_type") == kind, F.col("value"))), 6).alias(name) for name, kind in SERIES]
@@ -17,7 +19,7 @@ def slot_means(events: DataFrame, series: str = "'all'") -> DataFrame:
     return keyed.groupBy("series_id", "ts").agg(*means, F.count("*").alias("n"), F.round(F.avg("k"), 6).alias("k"))
 
 
-def regular_slots(events: DataFrame, series: str = "'all'") -> DataFrame:
+def regular_slots(events: DataFrame, series: str = ONE) -> DataFrame:
     """slot_means() on a gap-free calendar of each series, with t_idx and op_day; empty slots have nulls and n 0."""
     means = slot_means(events, series)
     span = means.groupBy("series_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
@@ -38,3 +40,5 @@ slots AS (SELECT c.series_id, c.ts, (epoch(c.ts) - epoch(c.first)) / 7200 AS t_f
   FROM (SELECT series_id, min(ts) AS first, unnest(generate_series(min(ts), max(ts), INTERVAL '2 hours')) AS ts FROM means GROUP BY series_id) c
   LEFT JOIN means m ON m.series_id = c.series_id AND m.ts = c.ts)
 """
+#: The same with FOUR series.
+FOUR_SLOTS_SQL = SLOTS_SQL.replace("'all' AS series_id", "CAST(user_id % 4 AS VARCHAR) AS series_id")

@@ -5,7 +5,6 @@ Floats are rounded to six decimals or fewer, as engines add up in different orde
 """
 
 W = "OVER (PARTITION BY series_id ORDER BY t_idx)"
-LIMIT = "55.0"
 #: A mean of millionths as whole numbers: the same to the last bit in whatever order they are added.
 MEAN = "CAST(sum(CAST(round(ntu * 1000000) AS BIGINT)) AS DOUBLE) / nullif(count(ntu), 0) / 1000000"
 
@@ -23,21 +22,6 @@ def _metrics(actual: str, predicted: str) -> str:
 FOLDS = "(VALUES (1, TIMESTAMP '2024-01-16 00:00:00', TIMESTAMP '2024-01-19 00:00:00'), (2, TIMESTAMP '2024-01-19 00:00:00', TIMESTAMP '2024-01-22 00:00:00'), (3, TIMESTAMP '2024-01-22 00:00:00', TIMESTAMP '2024-01-25 00:00:00'), (4, TIMESTAMP '2024-01-25 00:00:00', TIMESTAMP '2024-01-28 00:00:00')) AS f(fold, starts, ends)"
 FOLDS = FOLDS.replace("TIMESTAMP '", "CAST('").replace("00:00:00'", "00:00:00' AS {ntz})")
 
-#: A day's amplitude, longest run over the limit in slots (nulls removed first), load and valid values.
-DAYS = f"""
-valid AS (SELECT series_id, op_day, t_idx, ntu, row_number() OVER (PARTITION BY series_id, op_day ORDER BY t_idx) AS i FROM {{s}} WHERE ntu IS NOT NULL),
-runs AS (SELECT *, i - row_number() OVER (PARTITION BY series_id, op_day, ntu > {LIMIT} ORDER BY t_idx) AS island, ntu > {LIMIT} AS above FROM valid),
-lengths AS (SELECT series_id, op_day, count(*) AS slots FROM runs WHERE above GROUP BY series_id, op_day, island),
-longest AS (SELECT series_id, op_day, max(slots) AS slots FROM lengths GROUP BY series_id, op_day),
-sums AS (SELECT series_id, op_day, count(*) AS valid_points, max(ntu) AS max_ntu, max(greatest(ntu - {LIMIT}, 0.0)) AS amplitude, sum(greatest(ntu - {LIMIT}, 0.0)) * 2 AS exceedance FROM valid GROUP BY series_id, op_day),
-days AS (SELECT sums.*, coalesce(slots, 0) * 2 AS hours FROM sums LEFT JOIN longest ON longest.series_id = sums.series_id AND longest.op_day = sums.op_day)
-"""
-
-
-def _grade(low: str = "10.0", medium: str = "20.0", short: str = "4", long: str = "8") -> str:
-    return f"CASE WHEN valid_points < 9 THEN 'INSUFFICIENT' WHEN amplitude <= 0 THEN 'SAFE' WHEN amplitude <= {low} AND hours <= {short} THEN 'LOW' WHEN amplitude <= {medium} AND hours <= {long} THEN 'MEDIUM' ELSE 'HIGH' END"
-
-
 SERIES_SQL: dict[str, str] = {
     "slots_regular": "SELECT t_idx, CAST(ts AS STRING) AS slot, op_day, n, ntu, filt, rw, ph, alum, flow, k FROM {s}",
     "lag_features": f"SELECT t_idx, {_lags(('ntu', 'filt', 'rw', 'alum'), (0, 1, 2, 3, 6))} FROM {{s}}",
@@ -51,11 +35,6 @@ SERIES_SQL: dict[str, str] = {
         c AS (SELECT t_idx, least(greatest(coalesce(ntu, mid), lo), hi) AS x FROM {s} CROSS JOIN p),
         m AS (SELECT avg(x) AS mean_x, CASE WHEN stddev_pop(x) < 1e-10 THEN 1 ELSE stddev_pop(x) END AS sd_x FROM c WHERE t_idx < 240)
         SELECT t_idx, round((x - mean_x) / sd_x, 6) AS z FROM c CROSS JOIN m""",
-    "impute_fill": """WITH a AS (SELECT series_id, t_idx, filt,
-            max(CASE WHEN filt IS NOT NULL THEN t_idx END) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p,
-            min(CASE WHEN filt IS NOT NULL THEN t_idx END) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM {s}),
-        b AS (SELECT a.series_id, a.t_idx, a.p, a.q, x.filt AS before, y.filt AS after FROM a LEFT JOIN {s} x ON x.series_id = a.series_id AND x.t_idx = a.p LEFT JOIN {s} y ON y.series_id = a.series_id AND y.t_idx = a.q)
-        SELECT t_idx, round(CASE WHEN before IS NULL THEN after WHEN after IS NULL OR p = q THEN before WHEN t_idx - p <= 3 THEN before + (after - before) * (t_idx - p) / (q - p) ELSE before + (after - before) * 3 / (q - p) END, 6) AS filled FROM b""",
     "fold_roles": f"SELECT fold, CAST(sum(CASE WHEN ts < starts THEN 1 ELSE 0 END) AS BIGINT) AS train, CAST(sum(CASE WHEN ts >= starts AND ts < ends THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM {{s}} CROSS JOIN {FOLDS} GROUP BY fold",
     "state_available": "SELECT t_idx, CAST(count(filt) OVER (PARTITION BY series_id ORDER BY t_idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) = 6 AS available FROM {s}",
     "seasonal_naive_metrics": f"SELECT {_metrics('y', 'p')} FROM (SELECT ntu AS y, lag(ntu, 12) {W} AS p FROM {{s}}) x WHERE y IS NOT NULL AND p IS NOT NULL",
@@ -66,10 +45,6 @@ SERIES_SQL: dict[str, str] = {
     "mode_degeneracy": "WITH v AS (SELECT n AS x, count(*) AS c FROM {s} GROUP BY n), m AS (SELECT median(n) AS mid FROM {s}), d AS (SELECT 1.4826 * median(abs(n - mid)) AS robust_scale FROM {s} CROSS JOIN m) SELECT CAST(count(*) AS BIGINT) AS distinct_values, round(max(c) / CAST(sum(c) AS DOUBLE), 6) AS mode_share, max(round(robust_scale, 6)) AS robust_scale, max(c) / CAST(sum(c) AS DOUBLE) >= 0.9 OR count(*) = 1 AS degenerate FROM v CROSS JOIN d",
     "pivot_min_matrix": "SELECT hour(ts) AS slot_hour, " + ", ".join(f"round(min(CASE WHEN (t_idx / 12) - floor(t_idx / 48) * 4 >= {d} AND (t_idx / 12) - floor(t_idx / 48) * 4 < {d + 1} THEN ntu END), 6) AS d{d}" for d in range(4)) + " FROM {s} GROUP BY hour(ts)",
     "daily_mean": f"SELECT CAST(ts AS DATE) AS day, {MEAN} AS mean_ntu, CAST(count(ntu) AS BIGINT) AS n FROM {{s}} GROUP BY CAST(ts AS DATE)",
-    "daily_risk": f"WITH {DAYS} SELECT op_day, CAST(valid_points AS BIGINT) AS valid_points, round(max_ntu, 6) AS max_ntu, round(amplitude, 6) AS amplitude, CAST(hours AS BIGINT) AS longest_hours, round(exceedance, 6) AS exceedance_load FROM days",
-    "risk_grades": f"WITH {DAYS} SELECT op_day, {_grade()} AS grade, round(amplitude, 6) AS amplitude, CAST(hours AS BIGINT) AS longest_hours FROM days",
-    "grade_summary": f"WITH {DAYS}, g AS (SELECT {_grade()} AS grade FROM days) SELECT d.grade, CAST(count(g.grade) AS BIGINT) AS days, round(count(g.grade) / CAST(sum(count(g.grade)) OVER () AS DOUBLE), 6) AS proportion FROM (VALUES ('SAFE'), ('LOW'), ('MEDIUM'), ('HIGH'), ('INSUFFICIENT')) AS d(grade) LEFT JOIN g ON g.grade = d.grade GROUP BY d.grade",
-    "risk_robustness_81": f"WITH {DAYS}, a AS (SELECT * FROM (VALUES (8.0), (10.0), (12.0)) AS a(low)), b AS (SELECT * FROM (VALUES (18.0), (20.0), (22.0)) AS b(medium)), c AS (SELECT * FROM (VALUES (2), (4), (6)) AS c(brief)), d AS (SELECT * FROM (VALUES (6), (8), (10)) AS d(lasting)) SELECT CAST(low AS DOUBLE) AS low, CAST(medium AS DOUBLE) AS medium, brief, lasting, round(avg(CASE WHEN {_grade()} = {_grade('low', 'medium', 'brief', 'lasting')} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS unchanged FROM days CROSS JOIN a CROSS JOIN b CROSS JOIN c CROSS JOIN d GROUP BY low, medium, brief, lasting",
     "argmin_grid": f"WITH g AS (SELECT hour(ts) AS h, dayofyear(ts) % 2 AS odd, {MEAN} AS score FROM {{s}} GROUP BY hour(ts), dayofyear(ts) % 2) SELECT h, odd, score FROM g ORDER BY score, h, odd LIMIT 1",
     "topk_factors": f"SELECT hour(ts) AS factor, {MEAN} AS importance, CAST(row_number() OVER (ORDER BY {MEAN} DESC, hour(ts)) AS BIGINT) AS importance_rank FROM {{s}} GROUP BY hour(ts) ORDER BY importance DESC, factor LIMIT 8",
     "union_tagged": "SELECT 'day' AS model, CAST(op_day AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY op_day UNION ALL SELECT 'hour' AS model, CAST(hour(ts) AS STRING) AS key, round(max(ntu), 6) AS value FROM {s} GROUP BY hour(ts)",
