@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,12 +122,13 @@ def weighted_rho(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarra
         return (weights * a * b).sum(axis=0) / np.sqrt((weights * a * a).sum(axis=0) * (weights * b * b).sum(axis=0))
 
 
-def block_intervals(rows: DataFrame, names: list[str], target: str, seed: int, repeats: int = 200, block: int = 12) -> DataFrame:
+def block_intervals(rows: DataFrame, names: list[str], target: str, seed: int, repeats: int = 200, block: int = 12, draws: Callable[[int, int], np.ndarray] | None = None) -> DataFrame:
     """Rows (series_id, factor, rho, low, high, blocks): Spearman's rho of each column with the target, and its 95 % range over draws of whole blocks.
 
     Blocks are `block` consecutive rows on which both are known; a last one that isn't full takes
     no part in the draws, and with under two blocks there is no range. A draw is a count for each
-    block, so no row is copied. A group is one series and factor: its slots, some thousands.
+    block, so no row is copied; draws(repeats, blocks) gives the drawn blocks, a row a draw, else
+    they come from the seed and the column's place. A group is one series and factor: its slots, some thousands.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(c).alias("factor"), F.col(c).cast("double").alias("x")) for k, c in enumerate(names)]))
     long = rows.select("series_id", "t_idx", F.col(target).alias("y"), pairs).where("x is not null and y is not null")
@@ -136,7 +139,8 @@ def block_intervals(rows: DataFrame, names: list[str], target: str, seed: int, r
         blocks, ends = len(x) // block, [None, None]
         if blocks >= 2:
             rng = np.random.default_rng(seed + int(first["at"]))
-            counts = np.column_stack([np.bincount(rng.integers(0, blocks, blocks), minlength=blocks) for _ in range(repeats)])
+            chosen = rng.integers(0, blocks, (repeats, blocks)) if draws is None else draws(repeats, blocks)
+            counts = np.column_stack([np.bincount(row, minlength=blocks) for row in chosen])
             n = blocks * block
             found = weighted_rho(x[:n], y[:n], np.repeat(counts, block, axis=0).astype(float))
             ends = np.quantile(found[~np.isnan(found)], [0.025, 0.975]).tolist() if not np.isnan(found).all() else ends

@@ -1,10 +1,10 @@
-"""Raw cells, resampling, simulated paths and model grids, as SQL that Spark and DuckDB read alike.
+"""Raw cells, digests and simulated paths, as SQL that Spark and DuckDB read alike.
 
 {s} stands for the slots, {e} for the events, {taps} for the numbers from 0 to 39. Draws come
 from an integer congruence of the draw's number, so both engines draw alike whatever the partitions.
 """
 
-from oriel.plans.series_sql import FOLDS, W, _metrics
+from oriel.plans.series_sql import W, _metrics
 
 CELL = "CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 = 0 THEN ' - ' WHEN event_id % 17 = 0 THEN '12..5' WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 'NaN' ELSE ' ' || CAST(value AS STRING) || ' ' END"
 
@@ -18,30 +18,6 @@ def _numbers(name: str, count: int) -> str:
     return f"{name} AS (SELECT a.k * 40 + b.k AS {name} FROM (SELECT k FROM {{taps}}) a CROSS JOIN (SELECT k FROM {{taps}}) b WHERE a.k * 40 + b.k < {count})"
 
 
-#: Sums over training (t) and validation (v) rows from which two-factor ridge fits follow.
-MOMENTS = {"n": "1.0", "s1": "x1", "s2": "x2", "sy": "y", "s11": "x1 * x1", "s22": "x2 * x2", "s12": "x1 * x2", "s1y": "x1 * y", "s2y": "x2 * y", "syy": "y * y"}
-_SUMS = ", ".join(f"sum(CASE WHEN {when} THEN CAST({what} AS DOUBLE) END) AS {role}_{name}" for role, when in (("t", "ts < starts"), ("v", "ts >= starts AND ts < ends")) for name, what in MOMENTS.items())
-_PICK = ", ".join("CASE " + " ".join(f"WHEN {d} = {k} THEN {x}_lag{k}" for k in range(4)) + f" END AS {out}" for d, x, out in (("d1", "rw", "x1"), ("d2", "alum", "x2")))
-_LAGS = ", ".join(f"lag({x}, {k}) {W} AS {x}_lag{k}" for x in ("rw", "alum") for k in range(4))
-
-DELAYS = f"""WITH l AS (SELECT ts, ntu AS y, {_LAGS} FROM {{s}}),
-x AS (SELECT ts, y, d1, d2, {_PICK} FROM l CROSS JOIN (SELECT k AS d1 FROM {{taps}} WHERE k < 4) a CROSS JOIN (SELECT k AS d2 FROM {{taps}} WHERE k < 4) b),
-m AS (SELECT d1, d2, fold, {_SUMS} FROM x CROSS JOIN {FOLDS} WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY d1, d2, fold),
-c AS (SELECT *, t_s1 / t_n AS m1, t_s2 / t_n AS m2, t_sy / t_n AS my, sqrt(greatest(t_s11 / t_n - (t_s1 / t_n) * (t_s1 / t_n), 1e-20)) AS c1, sqrt(greatest(t_s22 / t_n - (t_s2 / t_n) * (t_s2 / t_n), 1e-20)) AS c2 FROM m WHERE t_n > 1 AND v_n > 0),
-z AS (SELECT *, (t_s12 - t_n * m1 * m2) / c1 / c2 AS q12, (t_s1y - t_n * m1 * my) / c1 AS q1, (t_s2y - t_n * m2 * my) / c2 AS q2 FROM c),
-b AS (SELECT *, ((t_n + ridge) * q1 - q12 * q2) / ((t_n + ridge) * (t_n + ridge) - q12 * q12) / c1 AS g1, ((t_n + ridge) * q2 - q12 * q1) / ((t_n + ridge) * (t_n + ridge) - q12 * q12) / c2 AS g2
-      FROM z CROSS JOIN (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(1 AS DOUBLE)), (CAST(10 AS DOUBLE)), (CAST(100 AS DOUBLE))) AS g(ridge)),
-i AS (SELECT *, my - g1 * m1 - g2 * m2 AS a FROM b),
-r AS (SELECT d1, d2, ridge, avg(sqrt(greatest((v_syy - 2 * a * v_sy - 2 * g1 * v_s1y - 2 * g2 * v_s2y + v_n * a * a + 2 * a * g1 * v_s1 + 2 * a * g2 * v_s2 + g1 * g1 * v_s11 + g2 * g2 * v_s22 + 2 * g1 * g2 * v_s12) / v_n, 0))) AS rmse FROM i GROUP BY d1, d2, ridge)
-SELECT d1, d2, ridge, round(rmse, 5) AS rmse, row_number() OVER (ORDER BY round(rmse, 5), d1 + d2, d1, d2, ridge) = 1 AS best FROM r"""
-
-BOOTSTRAP = f"""WITH v AS (SELECT t_idx, CAST(floor(t_idx / 12) AS BIGINT) AS block, rw AS x, ntu AS y FROM {{s}} WHERE rw IS NOT NULL AND ntu IS NOT NULL),
-n AS (SELECT max(block) + 1 AS blocks FROM v), places AS (SELECT DISTINCT block AS place FROM v), {_numbers('rep', 200)},
-d AS (SELECT rep, place, {_draw('rep', 'place', 'blocks')} AS block FROM rep CROSS JOIN places CROSS JOIN n),
-r AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY x) + (count(*) OVER (PARTITION BY rep, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0 AS ry FROM d JOIN v ON v.block = d.block),
-c AS (SELECT rep, corr(rx, ry) AS rho FROM r GROUP BY rep)
-SELECT round(percentile_cont(0.025) WITHIN GROUP (ORDER BY rho), 6) AS rho_low, round(median(rho), 6) AS rho_mid, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY rho), 6) AS rho_high, CAST(count(*) AS BIGINT) AS reps FROM c"""
-
 #: 500 paths of a first-order residual (0.8) over 24 slots; errors in circular blocks of 12.
 PATHS = f"""WITH d AS (SELECT series_id, t_idx, ntu, ntu - lag(ntu) {W} AS e FROM {{s}}),
 pool AS (SELECT e - avg(e) OVER (PARTITION BY series_id) AS e, row_number() {W} - 1 AS i FROM d WHERE e IS NOT NULL),
@@ -58,8 +34,6 @@ MODEL_SQL: dict[str, str] = {
     "rebuilt_clock": "SELECT event_id, slot, op_day, CASE WHEN CAST(slot AS INT) < 700 THEN op_day + 1 ELSE op_day END AS calendar_day, raw <> slot AS repaired FROM (SELECT event_id, raw, lpad(CAST(CAST(TRY_CAST(raw AS DOUBLE) AS INT) AS STRING), 4, '0') AS slot, op_day FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN CAST(hour(ts) * 100 AS STRING) || '.0' ELSE CAST(hour(ts) * 100 AS STRING) END AS raw, CAST(ts - INTERVAL '7' HOUR AS DATE) AS op_day FROM {e}) a) b",
     "semantic_digest": "SELECT op_day, {digest} AS digest FROM (SELECT op_day, t_idx, CAST(t_idx AS STRING) || ':' || coalesce(CAST(CAST(round(ntu * 100) AS BIGINT) AS STRING), 'null') AS part FROM {s}) a GROUP BY op_day",
     "generalisation_gate": f"WITH v AS (SELECT t_idx, rw AS x, ntu AS y, lag(ntu, 12) {W} AS p FROM {{s}}), m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) * covar_pop(x, y) / (var_pop(x) * (count(*) + 1)) AS slope FROM v WHERE x IS NOT NULL AND y IS NOT NULL AND t_idx < 240), a AS (SELECT {_metrics('y', 'z')} FROM (SELECT y, my + slope * (x - mx) AS z FROM v CROSS JOIN m WHERE t_idx >= 240) q WHERE y IS NOT NULL AND z IS NOT NULL), b AS (SELECT {_metrics('y', 'p')} FROM v WHERE t_idx >= 240 AND y IS NOT NULL AND p IS NOT NULL) SELECT a.rmse, a.r2, a.n, b.rmse AS baseline_rmse, b.n AS baseline_n, a.r2 >= 0 AND a.rmse < b.rmse AS passes FROM a CROSS JOIN b",
-    "delay_grid": DELAYS,
-    "bootstrap_spearman": BOOTSTRAP,
     "path_fan": FAN,
     "path_votes": VOTES,
 }

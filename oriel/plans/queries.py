@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from oriel.operators.calendar import FOUR, FOUR_SLOTS_SQL, SLOTS_SQL, regular_slots
 from oriel.operators.recursion import GAPS_SQL, fill_gaps
 from oriel.operators.regression import Ridge, fit_ridge, permutation_importance
-from oriel.plans import forecast, frames, lagged as steps, records, risk, round_trips, searches
+from oriel.plans import delays, forecast, frames, lagged as steps, records, risk, round_trips, searches
 from oriel.plans.model_sql import MODEL_SQL
 from oriel.plans.series_sql import SERIES_SQL
 from oriel.sources import read_table
@@ -82,7 +82,7 @@ def block_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MODELS = {f.__name__: f for f in (huber_ridge, block_importance)}
 #: Queries by series; those of BY_FOUR also run on four series side by side, from the same log.
-BY_SERIES, BY_SERIES_SQL = frames.QUERIES | steps.QUERIES | risk.QUERIES, frames.SQL | steps.SQL | risk.SQL
-BY_FOUR = ("timeline_gate", "carry_back", "spearman_matrix", "psi_drift", "fir_convolve", "skill_ratios", "residual_acf", "crosscorr_peak", "risk_grades", "risk_robustness_81", "impute_fill")
+BY_SERIES, BY_SERIES_SQL = frames.QUERIES | steps.QUERIES | risk.QUERIES | delays.QUERIES, frames.SQL | steps.SQL | risk.SQL | delays.SQL
+BY_FOUR = ("timeline_gate", "carry_back", "spearman_matrix", "psi_drift", "fir_convolve", "skill_ratios", "residual_acf", "crosscorr_peak", "risk_grades", "risk_robustness_81", "impute_fill", "delay_grid", "bootstrap_spearman")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _series_query(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": gap_recursion} | MODELS | BY_SERIES | {f"{n}_by_four": partial(BY_SERIES[n], series=FOUR) for n in BY_FOUR} | forecast.QUERIES | searches.QUERIES | records.QUERIES | round_trips.QUERIES
 ORACLES: dict[str, str] = {name: _series_oracle(text) for name, text in (SERIES_SQL | MODEL_SQL).items()} | {"gap_recursion": f"WITH RECURSIVE {SLOTS_SQL}{GAPS_SQL}"} | forecast.ORACLES | records.ORACLES | round_trips.ORACLES | {name: _series_oracle(text) for name, text in BY_SERIES_SQL.items()} | {f"{n}_by_four": _series_oracle(BY_SERIES_SQL[n], FOUR_SLOTS_SQL) for n in BY_FOUR}

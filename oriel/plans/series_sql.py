@@ -19,8 +19,9 @@ def _metrics(actual: str, predicted: str) -> str:
         CASE WHEN max({actual}) > min({actual}) THEN round(1 - sum(({predicted} - {actual}) * ({predicted} - {actual})) / (var_pop({actual}) * count(*)), 6) END AS r2, CAST(count(*) AS BIGINT) AS n"""
 
 
-FOLDS = "(VALUES (1, TIMESTAMP '2024-01-16 00:00:00', TIMESTAMP '2024-01-19 00:00:00'), (2, TIMESTAMP '2024-01-19 00:00:00', TIMESTAMP '2024-01-22 00:00:00'), (3, TIMESTAMP '2024-01-22 00:00:00', TIMESTAMP '2024-01-25 00:00:00'), (4, TIMESTAMP '2024-01-25 00:00:00', TIMESTAMP '2024-01-28 00:00:00')) AS f(fold, starts, ends)"
-FOLDS = FOLDS.replace("TIMESTAMP '", "CAST('").replace("00:00:00'", "00:00:00' AS {ntz})")
+#: Starts and ends of the four validation folds.
+FOLD_DAYS = tuple((f"2024-01-{d} 00:00:00", f"2024-01-{d + 3} 00:00:00") for d in (16, 19, 22, 25))
+FOLDS = "(VALUES " + ", ".join(f"({k}, CAST('{a}' AS {{ntz}}), CAST('{b}' AS {{ntz}}))" for k, (a, b) in enumerate(FOLD_DAYS, 1)) + ") AS f(fold, starts, ends)"
 
 SERIES_SQL: dict[str, str] = {
     "slots_regular": "SELECT t_idx, CAST(ts AS STRING) AS slot, op_day, n, ntu, filt, rw, ph, alum, flow, k FROM {s}",
