@@ -35,8 +35,8 @@ def row_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invalid_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile of all fields with missing and invalid cells, from one pass over the records."""
-    return record_profile(_records(spark, sf_dir))
+    """Profile of all fields with missing and invalid cells, medians by counts."""
+    return record_profile(_records(spark, sf_dir), FIELDS)
 
 
 def ks_counted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def test_two_series_run_side_by_side(spark):
 def test_frames_of_two_series(spark, monkeypatch, name):
     events = read_table(spark, SMALL, "events")
     table = {"both": regular_slots(events, "if(event_id % 3 = 0, 'a', 'b')"), "a": regular_slots(events.where("event_id % 3 = 0"), "'a'"), "b": regular_slots(events.where("event_id % 3 != 0"), "'b'")}
-    monkeypatch.setattr(frames, "_slots", lambda spark, which: table[which])
+    monkeypatch.setattr(frames, "_slots", lambda spark, which, series: table[which])
     rows = {k: sorted(map(str, frames.QUERIES[name](spark, k).collect())) for k in table}
     assert rows["both"] == sorted(rows["a"] + rows["b"])
 

@@ -19,10 +19,10 @@ def test_cells(spark):
     made = with_record(rows, {"a": F.col("a"), "b": F.lit(None).cast("string")})
     found = spread(made, ["a", "b"], "id").orderBy("id").collect()
     assert [(r["a_raw"], r["a"], r["a_invalid"]) for r in found] == texts and all(r["b"] is None and r["b_invalid"] is False for r in found)
-    profile = {r["field"]: r for r in record_profile(made).collect()}
+    profile = {r["field"]: r for r in record_profile(made, ["a", "b"]).collect()}
     assert (profile["a"]["total"], profile["a"]["missing"], profile["a"]["invalid"], profile["a"]["minimum"]) == (8, 6, 3, -100.0)
     assert profile["b"]["median_value"] is None and profile["b"]["missing_rate"] == 1.0
-    assert record_profile(made.where("false")).count() == 0
+    assert record_profile(made.where("false"), ["a", "b"]).count() == 0
 
 
 @pytest.mark.parametrize("m, n", [(3, 4), (5, 5), (4, 7), (6, 3), (1, 9)])
@@ -61,3 +61,15 @@ def test_days_outside_the_range_are_not_read(spark, tmp_path):
     plan = read._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(op_day" in plan and "PushedFilters: []" in plan
     assert spark.read.parquet(path).where(in_month(F.col("op_day"), "2024-02")).count() == 0
+
+
+@pytest.mark.parametrize("most", [16, 4096])
+def test_medians_of_many_distinct_cells(spark, most):
+    """More distinct values than a round tells apart, an even count, a field without numbers."""
+    rows = spark.range(3000).selectExpr("cast((id * 7919) % 3001 / 7 as string) as a", "'-' as b", "if(id % 2 = 0, 'x', cast(id as string)) as c").repartition(5)
+    made = with_record(rows, {c: F.col(c) for c in "abc"})
+    found = {r["field"]: r for r in record_profile(made, list("abc"), most).collect()}
+    values = sorted((k * 7919) % 3001 / 7 for k in range(3000))
+    assert found["a"]["median_value"] == pytest.approx((values[1499] + values[1500]) / 2, abs=1e-6)
+    assert found["b"]["median_value"] is None and found["b"]["missing"] == 3000 and found["b"]["invalid"] == 0
+    assert found["c"]["median_value"] == 1500.0 and found["c"]["invalid"] == 1500
