@@ -16,6 +16,12 @@ in a small ball. So the number of segments is chosen for the wanted recall, the
 head) are indexed and compared leniently, then 1,024 bits in all, and the pairs that are left
 are decided by their sets of shingles. Only the texts of such pairs take part in that.
 
+Bits only estimate a similarity, and the search within a bucket drops what it has reached though
+a stricter check follows, so some links of `SIMILAR` are not found that way. `missed_links`
+finds the rest exactly: two sets of similarity t share a shingle among the first (1 - t) * n + 1
+of each, in any one order of all shingles (rare ones first). Only shingles that join different
+groups of the first search are looked at, so groups of near copies are not expanded into pairs.
+
 Equal fingerprints are one entry, so copies cost nothing. In one bucket, entries are linked by
 a search that drops what it has reached: a dense group of b near copies gives some b links, not
 b * b / 2 pairs. A bucket of more than `MOST_BUCKET` entries is dealt again by further segments
@@ -58,7 +64,7 @@ class Scheme:
     repeats: bool
     words: int
     most: int
-    #: With a similarity the fingerprints give candidates, and the sets of shingles decide. recall: the share of pairs of that similarity that become candidates at least, all filters counted.
+    #: With a similarity the fingerprints give candidates, the sets of shingles decide, and missed_links() finds what is left. recall: the share of pairs of that similarity that become candidates by fingerprints at least, all filters counted.
     similarity: float | None = None
     recall: float = 0.95
 
@@ -161,7 +167,16 @@ def shingle_hashes(data: bytes, scheme: Scheme) -> np.ndarray:
 
 def fingerprint(data: bytes, scheme: Scheme = CLOSE) -> np.ndarray:
     """Of a text's UTF-8 bytes, as unsigned words; zeros without words."""
-    hashes = shingle_hashes(data, scheme)
+    return print_of(shingle_hashes(data, scheme), scheme)
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed 64-bit name of a sorted set of shingles, as short as a shingle's own."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
+
+
+def print_of(hashes: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """fingerprint() of the shingles' hashes."""
     ones = np.zeros((scheme.words, 64), np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += count_bits(spread_bits(hashes[k : k + (1 << 16)], scheme.words))
@@ -186,10 +201,15 @@ def binaries(table: np.ndarray) -> pa.Array:
 def _fingerprints(scheme: Scheme, head: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            found = np.array([fingerprint(x.as_py() or b"", scheme) for x in texts], np.uint64).reshape(-1, scheme.words)
-            complete = [binaries(found)] if head < scheme.words else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binaries(found[:, :head]), *complete], [*batch.schema.names[:-1], "fp", *["complete"] * len(complete)])
+            found, named = np.zeros((batch.num_rows, scheme.words), np.uint64), np.zeros((2, batch.num_rows), np.int64)
+            for k, x in enumerate(batch.column(batch.num_columns - 1).cast(pa.binary())):
+                hashes = shingle_hashes(x.as_py() or b"", scheme)
+                found[k] = print_of(hashes, scheme)
+                if scheme.similarity is not None:
+                    named[:, k] = set_id(hashes), len(hashes)
+            more = {"complete": binaries(found)} if head < scheme.words else {}
+            more |= {"set": pa.array(named[0]), "size": pa.array(named[1])} if scheme.similarity is not None else {}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binaries(found[:, :head]), *more.values()], [*batch.schema.names[:-1], "fp", *more])
 
     return prints
 
@@ -336,7 +356,7 @@ def _sets(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def alike(links: DataFrame, distinct: DataFrame, named: DataFrame, scheme: Scheme) -> DataFrame:
     """The links (a, b) whose sets of shingles have the scheme's Jaccard similarity at least.
 
-    Of each linked fingerprint the least row's text is read, found in `named` by `row` and `row2`.
+    Of each linked fingerprint (or set, under the same column) the least row's text is read, found in `named` by `row` and `row2`.
     """
     nodes = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     owners = distinct.join(nodes, "fp", "left_semi").select("fp", "least.row", "least.row2")
@@ -344,13 +364,121 @@ def alike(links: DataFrame, distinct: DataFrame, named: DataFrame, scheme: Schem
     owners = stage(owners, "owners")
     near = maybe_among(named.select("row", "row2", "_text"), key_filter(owners, "row", "row2"), "row", "row2")
     texts = near.join(owners, ["row", "row2"]).dropDuplicates(["fp"]).select("fp", "_text")
-    sets = stage(texts.mapInArrow(_sets(scheme), "fp binary, grams array<bigint>"), "shingle-sets")
+    sets = stage(texts.mapInArrow(_sets(scheme), f"fp {distinct.schema['fp'].dataType.simpleString()}, grams array<bigint>"), "shingle-sets")
     side = lambda x: sets.select(F.col("fp").alias(x), F.col("grams").alias(f"grams_{x}"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     compared = links.join(side("a"), "a").join(side("b"), "b").withColumn("common", common)
     return compared.where(F.col("common") / (F.size("grams_a") + F.size("grams_b") - F.col("common")) >= scheme.similarity).select("a", "b")
 
 
+#: Texts from which common shingles are learned, and how many of them come last in the order at most. They change the work, never a result.
+ORDER_TEXTS, MOST_COMMON = 10_000, 1 << 17
+#: Searches by leaders where buckets hold many groups, and the partners an entry has on average from which they are made.
+LEADER_ROUNDS, MANY_PARTNERS = 3, 16
+
+
+def at_least(similarity: float, size: np.ndarray | int) -> np.ndarray:
+    """ceil(similarity * size), safe from rounding."""
+    return np.ceil(similarity * size - 1e-6).astype(np.int64)
+
+
+def _first_shingles(scheme: Scheme, common: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (token, set): of each text the shingles of which a similar set has one at least among its own; common ones come last in the order."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                tokens, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for x in batch.column(0).slice(at, 500).cast(pa.binary()):
+                    hashes = shingle_hashes(x.as_py() or b"", scheme)
+                    name = set_id(hashes)
+                    if not len(hashes) or name in seen:
+                        continue
+                    seen.add(name)
+                    if len(common):
+                        place = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                        hashes = hashes[np.lexsort((hashes, np.where(common[place] == hashes, counts[place], 0)))]
+                    hashes = hashes[: len(hashes) - at_least(scheme.similarity, len(hashes)) + 1]
+                    tokens.append(hashes.view(np.int64))
+                    names.append(np.full(len(hashes), name))
+                if len(seen) > 1 << 17:
+                    seen.clear()  # copies further on come again, which costs work alone
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(names))], ["token", "set"])
+
+    return first
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (token, set) in order, the distinct ones whose token another set has too."""
+    token, name, given = np.zeros(0, np.int64), np.zeros(0, np.int64), True
+    for batch in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        tokens, names = np.r_[token, own[0]], np.r_[name, own[1]]
+        if not len(tokens):
+            continue
+        new = np.r_[True, (tokens[1:] != tokens[:-1]) | (names[1:] != names[:-1])]
+        tokens, names = tokens[new], names[new]
+        same = tokens[1:] == tokens[:-1]
+        out = np.r_[False, same] | np.r_[same, False]
+        # The last row waits for the next one; it goes on in front of the next batch, given out or not.
+        was_given, given = given and len(token) > 0, bool(out[-1]) or (len(tokens) == 1 and given and len(token) > 0)
+        if was_given:
+            out[0] = False
+        token, name = tokens[-1:], names[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[out]), pa.array(names[out])], ["token", "set"])
+
+
+def common_shingles(named: DataFrame, rows: int, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two of some ORDER_TEXTS texts have, the MOST_COMMON most frequent ones at most: their hashes in order, and counts."""
+    some = named.where(F.pmod("row", F.lit(max(1, rows // ORDER_TEXTS))) == 0).dropDuplicates(["row", "row2"]).select("row", "_text")
+    grams = some.mapInArrow(_sets(scheme), "fp long, grams array<bigint>").select(F.explode("grams").alias("token"))
+    found = grams.groupBy("token").count().where("count > 1").orderBy(F.desc("count"), "token").limit(MOST_COMMON).toArrow()
+    hashes, counts = (found.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order]
+
+
+def missed_links(prints: DataFrame, named: DataFrame, links: DataFrame, rows: int, scheme: Scheme) -> DataFrame:
+    """links (a, b) of fingerprints, and more, so that all texts of the scheme's similarity are connected.
+
+    Shingles that sets of different groups share give pairs across groups. Where a shingle has
+    many groups, its sets are first compared with one of them, which joins what belongs together;
+    then all pairs across groups that are left are decided, but those that share too few of the
+    first shingles to be similar: of two similar sets, common ones lie among the first of both or
+    behind the first of the one whose first ones end earlier.
+    """
+    t = scheme.similarity
+    nodes = stage(prints.groupBy("set").agg(F.min("fp").alias("print"), F.min("size").alias("size"), F.min(F.struct("row", "row2")).alias("least")), "shingle-set-names")
+    filed = named.select("_text").mapInArrow(_first_shingles(scheme, *common_shingles(named, rows, scheme)), "token long, set long")
+    shared = stage(filed.repartition("token").sortWithinPartitions("token", "set").mapInArrow(_shared, "token long, set long"), "shared-shingles")
+    decided = nodes.select(F.col("set").alias("fp"), "least")
+    need = lambda size: F.ceil(F.lit(t) * size - 1e-6)
+    for k in range(LEADER_ROUNDS + 1):
+        groups = nodes.join(connected_components(links).withColumnRenamed("node", "print"), "print", "left").select("set", "size", F.coalesce("root", "print").alias("root"))
+        rooted = shared.join(groups, "set")
+        mixed = rooted.groupBy("token").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("n")).where("one < other")
+        crossing = stage(rooted.join(mixed.select("token", "n"), "token"), "crossing-shingles")
+        entries, partners = crossing.agg(F.count("*"), F.sum("n")).first()
+        if not entries:
+            return links
+        last = k == LEADER_ROUNDS or partners <= MANY_PARTNERS * entries
+        one = crossing.select("token", F.struct("set", "size", "root").alias("x"))
+        other = one.withColumnRenamed("x", "y") if last else one.groupBy("token").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.set")).alias("y"))
+        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        pairs = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & (small >= need(large)))
+        if last:
+            least = F.greatest(F.lit(1), F.ceil(F.lit(t / (1 + t)) * (small + large) - 1e-6) - need(large) + 1)
+            met = pairs.where("x.set < y.set").groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.count("*").alias("c"), F.min(least).alias("least")).where("c >= least").select("a", "b")
+        else:
+            met = pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
+        close = alike(stage(met, "pairs-across"), decided, named, scheme)
+        side = lambda x: nodes.select(F.col("set").alias(x), F.col("print").alias(f"print_{x}"))
+        links = stage(links.unionByName(close.join(side("a"), "a").join(side("b"), "b").selectExpr("print_a as a", "print_b as b").where("a != b")), "links-across")
+        if last:
+            return links
+
+
 def near_groups(docs: DataFrame, keys: list[str], text: Column, scheme: Scheme) -> DataFrame:
     """Rows (keys, fp, least): a row's fingerprint (its head) and the least struct of keys that links reach, null keys last.
 
@@ -359,7 +487,7 @@ def near_groups(docs: DataFrame, keys: list[str], text: Column, scheme: Scheme)
     rows = docs.count()
     words, segments = (scheme.words, ()) if scheme.similarity is None else head_segments(rows, scheme.similarity, scheme.recall)
     named = docs.select(*keys, text.alias("_text"))
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1]), "fp binary", *["complete binary"] * (words < scheme.words)])
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[:-1]), "fp binary", *["complete binary"] * (words < scheme.words), *["set long, size long"] * (scheme.similarity is not None)])
     # A table of its own: the fingerprints are read several times.
     prints = stage(named.mapInArrow(_fingerprints(scheme, words), shape), "fingerprints")
     own = F.struct(F.col(keys[0]).isNull().alias("_null"), *keys)
@@ -371,13 +499,14 @@ def near_groups(docs: DataFrame, keys: list[str], text: Column, scheme: Scheme)
         side = lambda x: distinct.select(F.col("fp").alias(x), F.col("complete").alias(f"complete_{x}"))
         pairs = links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "complete_a", "complete_b")
         close = pairs.mapInArrow(_complete(scheme.words), "a binary, b binary, bits long").where(F.col("bits") <= scheme.most).select("a", "b")
-        links = alike(stage(close, "close-pairs"), distinct, named, scheme)
+        links = stage(alike(stage(close, "close-pairs"), distinct, named, scheme), "alike-links")
+        links = missed_links(prints, named, links, rows, scheme)
     roots = connected_components(links).withColumnRenamed("node", "fp")
     linked = stage(distinct.join(roots, "fp").select("fp", "root", "least", "copies"), "linked-fingerprints")
     first = linked.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
     merged = join_spread(linked, first, ["root"], "n", linked.count()).select("fp", "first")
     reached = distinct.select("fp", "least", "copies").join(merged, "fp", "left").select("fp", "copies", F.coalesce("first", "least").alias("least"))
-    return join_spread(prints.drop("complete"), stage(reached, "named-fingerprints"), ["fp"], "copies", rows).drop("copies")
+    return join_spread(prints.drop("complete", "set", "size"), stage(reached, "named-fingerprints"), ["fp"], "copies", rows).drop("copies")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = CLOSE) -> DataFrame:
