@@ -6,9 +6,10 @@ name's two parents are all that cuts and subsumption need, and no phrase is ever
 - Words: a name is a hash of language and word. Names are tried with one seed after another
   until no two words of the corpus share one, so they stand for the words exactly.
 - Pairs: adjacent names are counted; frequent pairs get an id from the table of all of them.
-- Three and four words: windows of four words whose first two pairs are frequent are counted
-  once, and joined with the table of pairs; adjacent ids of pairs are named in turn, then
-  adjacent ids of those. A phrase that is frequent has frequent parts, so nothing is lost.
+- Three and four words: windows whose both parts pass the filter below are counted under the
+  names of their words; the frequent ones get an id from the ids of their two parts, pairs for
+  three words, threes for four. A phrase that is frequent has frequent parts, so nothing is
+  lost, and no window is joined with a table.
 
 Windows are pre-aggregated in the tasks, and before they are shuffled a filter of fixed size drops
 most that can't be frequent: a table of bits of the frequent names' hashes (2^26 of them,
@@ -60,15 +61,15 @@ def _named(word: str | Column, seed: int, mask: int) -> Column:
     return F.xxhash64(F.lit(seed), "lang", word).bitwiseAND(F.lit(mask))
 
 
-def _counted(rows: DataFrame, left: str, right: str, least: int, label: str, count: Column | None = None) -> DataFrame:
+def _counted(rows: DataFrame, left: str, right: str, least: int, label: str) -> DataFrame:
     """Rows (id, left, right, f) of the frequent pairs, staged, so that their ids stay."""
-    found = rows.groupBy(F.col(left).alias("left"), F.col(right).alias("right")).agg((F.count("*") if count is None else F.sum(count)).alias("f")).where(F.col("f") >= least)
+    found = rows.groupBy(F.col(left).alias("left"), F.col(right).alias("right")).agg(F.count("*").alias("f")).where(F.col("f") >= least)
     return stage(found.withColumn("id", F.monotonically_increasing_id()), label)
 
 
-def _join_name(rows: DataFrame, names: DataFrame, left: str, right: str, out: str, how: str = "inner") -> DataFrame:
+def _join_name(rows: DataFrame, names: DataFrame, left: str, right: str, out: str) -> DataFrame:
     own = names.select(F.col("left").alias(left), F.col("right").alias(right), F.col("id").alias(out))
-    return rows.join(own, [left, right], how)
+    return rows.join(own, [left, right])
 
 
 def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, list[DataFrame], list[DataFrame]]:
@@ -86,21 +87,23 @@ def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     both = reduce(lambda rows, c: maybe_among(rows, word_marks, c), ("w1", "w2"), at.select("w1", "w2"))
     pairs = _counted(both, "w1", "w2", least, "pairs")
 
+    # Longer windows are counted under the names of their words, and only the frequent ones are named by the level below.
+    at = at.withColumn("w3", F.get("names", F.col("pos") + 2)).where("w3 is not null")
     pair_marks = key_filter(pairs, "left", "right")
-    wide = at.select("w1", "w2", F.get("names", F.col("pos") + 2).alias("w3"), F.get("names", F.col("pos") + 3).alias("w4")).where("w3 is not null")
-    wide = maybe_among(maybe_among(wide, pair_marks, "w1", "w2"), pair_marks, "w2", "w3")
-    # A last pair that isn't frequent says nothing: windows with it are one.
-    wide = maybe_among(wide, pair_marks, "w3", "w4", mark="goes_on").withColumn("w4", F.when(F.col("goes_on"), F.col("w4")))
-    windows = wide.groupBy("w1", "w2", "w3", "w4").agg(F.count("*").alias("c"))
-    linked = _join_name(_join_name(windows, pairs, "w1", "w2", "p1"), pairs, "w2", "w3", "p2")
-    linked = _join_name(linked.select("p1", "p2", "w3", "w4", "c"), pairs, "w3", "w4", "p3", "left")
-    links = stage(linked.groupBy("p1", "p2", "p3").agg(F.sum("c").alias("c")), "links")
-
-    triples = _counted(links, "p1", "p2", least, "triples", F.col("c"))
-    marks = key_filter(triples, "left", "right")
-    on = maybe_among(maybe_among(links.where("p3 is not null"), marks, "p1", "p2"), marks, "p2", "p3")
-    fours = _counted(_join_name(_join_name(on, triples, "p1", "p2", "t1"), triples, "p2", "p3", "t2"), "t1", "t2", least, "fours", F.col("c"))
-    return words, frequent, [pairs, triples, fours], [words, pairs, links, triples, fours]
+    wide = maybe_among(maybe_among(at.select("w1", "w2", "w3"), pair_marks, "w1", "w2"), pair_marks, "w2", "w3")
+    threes = wide.groupBy("w1", "w2", "w3").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    named_threes = _join_name(_join_name(threes, pairs, "w1", "w2", "left"), pairs, "w2", "w3", "right")
+    triples = stage(named_threes.withColumn("id", F.monotonically_increasing_id()), "triples")
+
+    marks = key_filter(triples, "w1", "w2", "w3")
+    wide = at.select("w1", "w2", "w3", F.get("names", F.col("pos") + 3).alias("w4")).where("w4 is not null")
+    wide = maybe_among(maybe_among(wide, marks, "w1", "w2", "w3"), marks, "w2", "w3", "w4")
+    found = wide.groupBy("w1", "w2", "w3", "w4").agg(F.count("*").alias("f")).where(F.col("f") >= least)
+    first = triples.select("w1", "w2", "w3", F.col("id").alias("left"))
+    last = triples.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("w3").alias("w4"), F.col("id").alias("right"))
+    named_fours = found.join(first, ["w1", "w2", "w3"]).join(last, ["w2", "w3", "w4"])
+    fours = stage(named_fours.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f"), "fours")
+    return words, frequent, [pairs, triples.select("id", "left", "right", "f"), fours], [words, pairs, triples, fours]
 
 
 def _score(a: str, left: str, right: str) -> Column:
