@@ -454,6 +454,7 @@ def missed_links(prints: DataFrame, named: DataFrame, links: DataFrame, rows: in
     shared = stage(filed.repartition("token").sortWithinPartitions("token", "set").mapInArrow(_shared, "token long, set long"), "shared-shingles")
     decided = nodes.select(F.col("set").alias("fp"), "least")
     need = lambda size: F.ceil(F.lit(t) * size - 1e-6)
+    before = None
     for k in range(LEADER_ROUNDS + 1):
         groups = nodes.join(connected_components(links).withColumnRenamed("node", "print"), "print", "left").select("set", "size", F.coalesce("root", "print").alias("root"))
         rooted = shared.join(groups, "set")
@@ -462,7 +463,9 @@ def missed_links(prints: DataFrame, named: DataFrame, links: DataFrame, rows: in
         entries, partners = crossing.agg(F.count("*"), F.sum("n")).first()
         if not entries:
             return links
-        last = k == LEADER_ROUNDS or partners <= MANY_PARTNERS * entries
+        # Leaders go on only while they join groups.
+        last = k == LEADER_ROUNDS or partners <= MANY_PARTNERS * entries or (before is not None and partners > 0.9 * before)
+        before = partners
         one = crossing.select("token", F.struct("set", "size", "root").alias("x"))
         other = one.withColumnRenamed("x", "y") if last else one.groupBy("token").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.set")).alias("y"))
         small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
