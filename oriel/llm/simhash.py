@@ -40,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from oriel.llm.components import connected_components
 from oriel.llm.text import join_spread, key_filter, maybe_among, row_hashes
@@ -439,21 +440,51 @@ def common_shingles(named: DataFrame, rows: int, scheme: Scheme) -> tuple[np.nda
     return hashes.view(np.uint64)[order], counts[order]
 
 
+def _needed(similarity: float, size: Column) -> Column:
+    """at_least() as a column."""
+    return F.ceil(F.lit(similarity) * size - 1e-6)
+
+
+def _pairs_across(crossing: DataFrame, similarity: float) -> DataFrame:
+    """Rows (a, b) of sets of different groups: all similar ones, and few others; crossing: rows (token, set, size, root, n).
+
+    Of two similar sets take the one whose first shingles end earlier in their order. Those of
+    its first shingles that the other has are among the other's first ones too, so all of them
+    cross groups. So it shares none of its first shingles that don't cross, nor, at the rarest
+    one that both have, any rarer one: what is left (`most`) must suffice for the similarity. A
+    shingle that gives a pair must leave enough to one set at least, so only the rows of which
+    that can be are joined with all others. Then the first shingles of both are compared: what
+    is common lies among the first of both, or behind the first of the one whose end earlier.
+    """
+    need = lambda size: _needed(similarity, size)
+    own = Window.partitionBy("set")
+    place = F.row_number().over(own.orderBy("n", "token"))
+    ranked = crossing.withColumn("most", need(F.col("size")) + F.count("*").over(own) - place)
+    one = ranked.where(F.col("most") >= need(F.col("size"))).select("token", F.struct("set", "size", "root", "most").alias("x"))
+    other = ranked.select("token", F.struct("set", "size", "root", "most").alias("y"))
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    common = _needed(similarity / (1 + similarity), small + large)
+    once = (F.col("y.most") < common) | (F.col("x.set") < F.col("y.set"))
+    met = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & (small >= need(large)) & (F.col("x.most") >= common) & once)
+    pairs = stage(met.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"), F.greatest(F.lit(1), common - need(large) + 1).alias("least")).distinct(), "pairs-met")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    firsts = crossing.join(nodes, "set", "left_semi").groupBy("set").agg(F.collect_list("token").alias("tokens"))
+    side = lambda x: firsts.select(F.col("set").alias(x), F.col("tokens").alias(f"tokens_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("least")).select("a", "b")
+
+
 def missed_links(prints: DataFrame, named: DataFrame, links: DataFrame, rows: int, scheme: Scheme) -> DataFrame:
     """links (a, b) of fingerprints, and more, so that all texts of the scheme's similarity are connected.
 
     Shingles that sets of different groups share give pairs across groups. Where a shingle has
     many groups, its sets are first compared with one of them, which joins what belongs together;
-    then all pairs across groups that are left are decided, but those that share too few of the
-    first shingles to be similar: of two similar sets, common ones lie among the first of both or
-    behind the first of the one whose first ones end earlier.
+    then the pairs across groups that are left are decided, as _pairs_across() gives them.
     """
     t = scheme.similarity
     nodes = stage(prints.groupBy("set").agg(F.min("fp").alias("print"), F.min("size").alias("size"), F.min(F.struct("row", "row2")).alias("least")), "shingle-set-names")
     filed = named.select("_text").mapInArrow(_first_shingles(scheme, *common_shingles(named, rows, scheme)), "token long, set long")
     shared = stage(filed.repartition("token").sortWithinPartitions("token", "set").mapInArrow(_shared, "token long, set long"), "shared-shingles")
     decided = nodes.select(F.col("set").alias("fp"), "least")
-    need = lambda size: F.ceil(F.lit(t) * size - 1e-6)
     before = None
     for k in range(LEADER_ROUNDS + 1):
         groups = nodes.join(connected_components(links).withColumnRenamed("node", "print"), "print", "left").select("set", "size", F.coalesce("root", "print").alias("root"))
@@ -466,14 +497,13 @@ def missed_links(prints: DataFrame, named: DataFrame, links: DataFrame, rows: in
         # Leaders go on only while they join groups.
         last = k == LEADER_ROUNDS or partners <= MANY_PARTNERS * entries or (before is not None and partners > 0.9 * before)
         before = partners
-        one = crossing.select("token", F.struct("set", "size", "root").alias("x"))
-        other = one.withColumnRenamed("x", "y") if last else one.groupBy("token").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.set")).alias("y"))
-        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-        pairs = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & (small >= need(large)))
         if last:
-            least = F.greatest(F.lit(1), F.ceil(F.lit(t / (1 + t)) * (small + large) - 1e-6) - need(large) + 1)
-            met = pairs.where("x.set < y.set").groupBy(F.col("x.set").alias("a"), F.col("y.set").alias("b")).agg(F.count("*").alias("c"), F.min(least).alias("least")).where("c >= least").select("a", "b")
+            met = _pairs_across(crossing, t)
         else:
+            one = crossing.select("token", F.struct("set", "size", "root").alias("x"))
+            other = one.groupBy("token").agg(F.min_by("x", F.xxhash64(F.lit(k), "x.set")).alias("y"))
+            alike_sizes = F.least("x.size", "y.size") >= _needed(t, F.greatest("x.size", "y.size"))
+            pairs = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & alike_sizes)
             met = pairs.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct()
         close = alike(stage(met, "pairs-across"), decided, named, scheme)
         side = lambda x: nodes.select(F.col("set").alias(x), F.col("print").alias(f"print_{x}"))

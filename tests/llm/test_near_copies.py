@@ -58,3 +58,32 @@ def test_shared_rows_over_batches():
         found = [(r["token"], r["set"]) for b in simhash._shared(iter(batches)) for r in b.to_pylist()]
         sets = {t: {s for u, s in rows if u == t} for t, _ in rows}
         assert found == sorted((t, s) for t in sets for s in sets[t] if len(sets[t]) > 1)
+
+
+def test_pairs_across_groups_are_few_and_whole(spark, monkeypatch):
+    """Passage in 200 sets whose rarer first shingles are their own: 59,700 rows were joined for it, and none can be similar; pairs of other sizes must stay."""
+    rng, sets = np.random.default_rng(7), {}
+    for k in range(200):
+        sets[k] = {*range(k * 10, k * 10 + 6), *range(5000, 5034)}
+    for k in range(200, 500):
+        size = int(rng.integers(5, 60))
+        base = rng.choice(3000, size, replace=False) + 10_000 * (1 + k % 40)
+        sets[k] = {*base.tolist()}
+        if k > 200 and k % 3:
+            other = sorted(sets[k - 1])
+            sets[k] = {*other[int(rng.integers(0, 1 + len(other) // 5)) :], *base[: int(rng.integers(0, 1 + len(other) // 8))].tolist()}
+    first = {k: sorted(s)[: len(s) - int(simhash.at_least(0.8, len(s))) + 1] for k, s in sets.items()}
+    holders = {}
+    for k, tokens in first.items():
+        for x in tokens:
+            holders.setdefault(x, []).append(k)
+    rows = [(x, k, len(sets[k]), str(k), len(found)) for x, found in holders.items() if len(found) > 1 for k in found]
+    met, real = [], simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, label: met.append(real(df, label)) or met[-1])
+    crossing = spark.createDataFrame(rows, "token long, set long, size long, root string, n long")
+    found = {(r["a"], r["b"]) for r in simhash._pairs_across(crossing, 0.8).collect()}
+    common = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    wanted = {(a, b) for (a, b), c in common.items() if c / (len(sets[a]) + len(sets[b]) - c) >= 0.8}
+    assert wanted <= found and len(wanted) > 50
+    assert len({len(sets[a]) - len(sets[b]) for a, b in wanted}) > 5
+    assert met[0].where("a < 200").count() == 0
