@@ -30,8 +30,8 @@ from oriel.llm.text import key_filter, maybe_among
 from oriel.session import release, stage
 from oriel.sources import read_table
 
-#: Ends of pieces; words of a piece.
-PIECE_END, SPLIT_WORD = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
+#: Ends of pieces, besides the newline.
+PIECE_ENDS = ".,;:!?\x0b\x0c\r"
 #: Least occurrences of a phrase; percent of them from which a longer phrase stands for it; phrases of a language that are returned.
 LEAST, SUBSUMED, MOST = 30, 80, 2000
 SALTS = 64
@@ -40,10 +40,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def pieces_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows (lang, words): the pieces with a word, as arrays of lower-case words (A-Z alone are changed)."""
-    lowered = F.translate(docs[text_col], UPPER, LOWER)
-    pieces = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE_END)).alias("piece"))
-    words = F.filter(F.split("piece", SPLIT_WORD), lambda w: w != "")
-    return pieces.select("lang", words.alias("words")).where(F.size("words") > 0)
+    # One end and one space are left, so that texts are split without a regular expression.
+    plain = F.translate(docs[text_col], UPPER + PIECE_ENDS + "\t", LOWER + "\n" * len(PIECE_ENDS) + " ")
+    pieces = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), F.explode(F.split(plain, "\n")).alias("piece"))
+    # The filter looks at the piece, as one on its words would split it twice.
+    return pieces.where(F.trim("piece") != "").select("lang", F.array_remove(F.split("piece", " "), "").alias("words"))
 
 
 def word_names(words: DataFrame) -> Callable[[str | Column], Column]:
@@ -75,14 +76,16 @@ def _join_name(rows: DataFrame, names: DataFrame, left: str, right: str, out: st
 def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, list[DataFrame], list[DataFrame]]:
     """All words (lang, word, f), the frequent ones with their names, frequent phrases of 2, 3 and 4 words as (id, left, right, f), and tables to release.
 
-    left and right are names of words for pairs, else ids of the level below.
+    left and right are names of words for pairs, else ids of the level below. pieces is staged, and released once its words have names.
     """
     words = stage(pieces.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("f")), "words")
     name = word_names(words)
     frequent = words.where(F.col("f") >= least).select("lang", "word", "f", name("word").alias("id"))
     word_marks = key_filter(frequent, "id")
 
-    named = pieces.where(F.size("words") > 1).select(F.transform("words", name).alias("names"))
+    # Staged, as all levels read the names; the words themselves are no longer needed.
+    named = stage(pieces.where(F.size("words") > 1).select(F.transform("words", name).alias("names")), "names")
+    release(pieces)
     at = named.select("names", F.posexplode("names").alias("pos", "w1")).withColumn("w2", F.get("names", F.col("pos") + 1)).where("w2 is not null")
     both = reduce(lambda rows, c: maybe_among(rows, word_marks, c), ("w1", "w2"), at.select("w1", "w2"))
     pairs = _counted(both, "w1", "w2", least, "pairs")
@@ -103,7 +106,7 @@ def named_phrases(pieces: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     last = triples.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("w3").alias("w4"), F.col("id").alias("right"))
     named_fours = found.join(first, ["w1", "w2", "w3"]).join(last, ["w2", "w3", "w4"])
     fours = stage(named_fours.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f"), "fours")
-    return words, frequent, [pairs, triples.select("id", "left", "right", "f"), fours], [words, pairs, triples, fours]
+    return words, frequent, [pairs, triples.select("id", "left", "right", "f"), fours], [words, named, pairs, triples, fours]
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -150,7 +153,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataF
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)  # of SALTS * most rows a language
     sums = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = stage(ranked.join(sums, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
-    release(pieces, *spent)
+    release(*spent)
     return found
 
 

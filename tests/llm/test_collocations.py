@@ -55,3 +55,16 @@ def test_filter_keeps_all_frequent_names(spark, monkeypatch):
     rows = spark.range(3000).selectExpr("id * 7 as a", "id as b")
     kept = text.maybe_among(rows, text.key_filter(names, "a", "b"), "a", "b")
     assert kept.columns == ["a", "b"] and kept.where("b < 300").count() == 300
+
+
+def test_texts_are_split_once_and_words_named_once(spark, monkeypatch):
+    odd = "A\tB  c\x0bd\x0ce\rf\n\n \t g.h,i;j:k!l?m\xa0n\x1fÄB  Z \t"
+    docs = spark.createDataFrame([(odd, "en"), (None, "en"), (" \t. ", None)], "text string, lang string")
+    pieces = collocations.pieces_of(docs)
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in odd)
+    assert [r["words"] for r in pieces.collect()] == [ws for p in re.split(r"[.,;:!?\n-\r]", low) if (ws := [w for w in re.split(r"[ \t]+", p) if w])]
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    labels, real = [], collocations.stage
+    monkeypatch.setattr(collocations, "stage", lambda df, label: labels.append((label, "xxhash64" in df._jdf.queryExecution().optimizedPlan().toString() and "transform(" in df._jdf.queryExecution().optimizedPlan().toString())) or real(df, label))
+    collocations.collocations(docs, 1).count()
+    assert [label for label, hashed in labels if hashed] == ["names"]
