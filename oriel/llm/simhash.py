@@ -374,6 +374,8 @@ def alike(links: DataFrame, distinct: DataFrame, named: DataFrame, scheme: Schem
 
 #: Texts from which common shingles are learned, and how many of them come last in the order at most. They change the work, never a result.
 ORDER_TEXTS, MOST_COMMON = 10_000, 1 << 17
+#: Rarer shingles with which a row looks for an earlier meeting of a pair. They change the work, never a result.
+NEAR_BEFORE = 64
 #: Searches by leaders where buckets hold many groups, and the partners an entry has on average from which they are made.
 LEADER_ROUNDS, MANY_PARTNERS = 3, 16
 
@@ -445,6 +447,13 @@ def _needed(similarity: float, size: Column) -> Column:
     return F.ceil(F.lit(similarity) * size - 1e-6)
 
 
+def _by_holders(crossing: DataFrame) -> DataFrame:
+    """crossing with one shingle for all that the same sets have, and in `weight` how many these are."""
+    holders = [F.bit_xor(F.xxhash64(F.lit(k), "set")).alias(f"holders{k}") for k in (0, 1)]
+    same = crossing.groupBy("token").agg(F.first("n").alias("held"), *holders).groupBy("held", "holders0", "holders1")
+    return crossing.join(same.agg(F.min("token").alias("token"), F.count("*").alias("weight")).select("token", "weight"), "token")
+
+
 def _pairs_across(crossing: DataFrame, similarity: float) -> DataFrame:
     """Rows (a, b) of sets of different groups: all similar ones, and few others; crossing: rows (token, set, size, root, n).
 
@@ -453,19 +462,26 @@ def _pairs_across(crossing: DataFrame, similarity: float) -> DataFrame:
     cross groups. So it shares none of its first shingles that don't cross, nor, at the rarest
     one that both have, any rarer one: what is left (`most`) must suffice for the similarity. A
     shingle that gives a pair must leave enough to one set at least, so only the rows of which
-    that can be are joined with all others. Then the first shingles of both are compared: what
-    is common lies among the first of both, or behind the first of the one whose end earlier.
+    that can be are joined with all others. A pair meets at the first one that both have, where
+    most is left, and not again behind it: shingles that the same sets have count as one, and
+    rows carry their NEAR_BEFORE rarer ones (a pair that has none of them in common may meet
+    again, which costs work alone). Then the first shingles of both are compared: what is
+    common lies among the first of both, or behind the first of the one whose end earlier.
     """
     need = lambda size: _needed(similarity, size)
     own = Window.partitionBy("set")
-    place = F.row_number().over(own.orderBy("n", "token"))
-    ranked = crossing.withColumn("most", need(F.col("size")) + F.count("*").over(own) - place)
-    one = ranked.where(F.col("most") >= need(F.col("size"))).select("token", F.struct("set", "size", "root", "most").alias("x"))
-    other = ranked.select("token", F.struct("set", "size", "root", "most").alias("y"))
+    order = own.orderBy("n", "token")
+    behind = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    before = F.collect_list("token").over(order.rowsBetween(-NEAR_BEFORE, -1))
+    ranked = _by_holders(crossing).withColumns({"most": need(F.col("size")) - 1 + behind, "before": before})
+    fields = F.struct("set", "size", "root", "most", "before")
+    one = ranked.where(F.col("most") >= need(F.col("size"))).select("token", fields.alias("x"))
+    other = ranked.select("token", fields.alias("y"))
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     common = _needed(similarity / (1 + similarity), small + large)
     once = (F.col("y.most") < common) | (F.col("x.set") < F.col("y.set"))
-    met = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & (small >= need(large)) & (F.col("x.most") >= common) & once)
+    first = ~F.arrays_overlap("x.before", "y.before")
+    met = one.join(other, "token").where((F.col("x.root") != F.col("y.root")) & (small >= need(large)) & (F.col("x.most") >= common) & once & first)
     pairs = stage(met.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b"), F.greatest(F.lit(1), common - need(large) + 1).alias("least")).distinct(), "pairs-met")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     firsts = crossing.join(nodes, "set", "left_semi").groupBy("set").agg(F.collect_list("token").alias("tokens"))
