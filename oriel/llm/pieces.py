@@ -14,8 +14,10 @@ them joins characters across their border. Both give what the sentencepiece libr
 where two orders of the same unigram pieces have equal sums, the library's choice follows from
 the rounding of sums over the whole text before them, and may differ.
 
-Texts are encoded in Arrow batches where they lie: nothing is shuffled. A worker keeps the
-pieces of the words that it has met of late, `MOST_WORDS` or one batch at most.
+Texts are encoded in Arrow batches where they lie: nothing is shuffled. A batch is cut into
+parts of `MOST_TEXTS` texts and `MOST_BYTES` bytes, or of one longer text. A task keeps the
+pieces of the words that it has met of late, `MOST_WORDS` and those of two parts at most. They go
+when it ends: an executor has more workers than tasks, and idle ones would keep theirs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,9 @@ from oriel.sources import read_table
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_WORDS = 800_000
+MOST_WORDS, MOST_PAIRS = 250_000, 200_000
+#: Texts and their bytes that are encoded together.
+MOST_TEXTS, MOST_BYTES = 1000, 1 << 21
 #: Kinds of pieces in a model file.
 NORMAL, CONTROL, USER, BYTE = 1, 3, 4, 6
 
@@ -58,7 +63,6 @@ class Pieces:
     #: Merge models: when a piece is merged (0: a character), and from what.
     order: list[int] = field(init=False)
     parts: list[tuple[int, int] | None] = field(init=False)
-    made: Encoder | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.ids = {x: k for k, (x, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind == NORMAL}
@@ -77,12 +81,6 @@ class Pieces:
                 self.prefixes.setdefault(x[:n], -1)
             self.prefixes[x] = k
 
-    def encoder(self) -> Encoder:
-        """One for each worker: it stays with the broadcast value, and so does what it knows."""
-        if self.made is None:
-            self.made = Encoder(self)
-        return self.made
-
     def find_parts(self, piece: str) -> bool:
         """Merges the characters of one piece; True if they end as this piece."""
         run = list(piece)
@@ -212,7 +210,7 @@ class Encoder:
         cut = [self.words(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > MOST_WORDS // 2:
             self.known, self.older = {}, self.known
-        if len(self.follows) > MOST_WORDS:
+        if len(self.follows) > MOST_PAIRS:
             self.follows.clear()
         new = set().union(*cut) - self.known.keys()
         again = new & self.older.keys()
@@ -226,12 +224,22 @@ class Encoder:
         return (data[1:] if self.pieces.dummy_prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in order, by its last column's texts: MOST_TEXTS and MOST_BYTES at most, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        fits = np.searchsorted(ends, (ends[start - 1] if start else 0) + MOST_BYTES, "right")
+        size = min(MOST_TEXTS, max(1, int(fits) - start))
+        yield batch.slice(start, size)
+        start += size
+
+
 def _encoder(sent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = sent.value.encoder()
+        coder = Encoder(sent.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):  # ids of a few texts at a time
-                part = batch.slice(k, 1000)
+            for part in parts_of(batch):
                 texts = [x or "" for x in part.column(part.num_columns - 1).to_pylist()]
                 ids = coder.encode(texts)
                 same = [coder.decode(i) == t for i, t in zip(ids, texts, strict=True)]
@@ -264,7 +272,7 @@ def decode_ids(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
 
     @F.pandas_udf("string")
     def decoded(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = sent.value.encoder()
+        coder = Encoder(sent.value)
         for row in rows:
             yield row.map(lambda x: None if x is None else coder.decode(np.asarray(x)))
 

@@ -1,11 +1,15 @@
 """Small fixtures with nulls, empty and long texts, repeated rows and clashing columns; brute force beside each operator."""
 
+import gc
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import same
@@ -275,6 +279,29 @@ def test_pieces_equal_the_library(spark, docs, none):
     assert dict(decoded)[8] == ROWS[7][1]
 
 
+def test_pieces_hold_little_at_a_time_and_nothing_afterwards():
+    """Many different words in one batch: only a part of them is held, and none once the task has ended."""
+    rng, sent = np.random.default_rng(3), SimpleNamespace(value=pieces.load_pieces())
+    texts = ["x" * (pieces.MOST_BYTES + 5), None, "", *("".join(chr(97 + k) for k in ks) for ks in rng.integers(0, 26, (400, 30)))]
+    texts += [" ".join(rng.choice(["ab", "cd", "ef", "gh"], 10_000).tolist()) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(pieces.parts_of(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.num_rows == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= pieces.MOST_BYTES for p in parts)
+    words = pa.RecordBatch.from_arrays([pa.array([" ".join("".join(chr(97 + k) for k in ks) for ks in rng.integers(0, 26, (300, 6))) for _ in range(100)])], ["text"])
+    tracemalloc.start()
+    try:
+        for _ in pieces._encoder(sent)(iter([words])):
+            pass
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 1 << 20
+        tracemalloc.reset_peak()
+        for _ in pieces._encoder(sent)(iter([batch.slice(1)])):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("dummy, with_bytes", [(True, True), (False, False)])
 def test_unigram_pieces_equal_the_library(tmp_path, dummy, with_bytes):
     """Viterbi sums over a hand-made unigram model: random scores, random texts, nested and overlapping pieces."""
