@@ -17,7 +17,7 @@ the rounding of sums over the whole text before them, and may differ.
 Texts are encoded in Arrow batches where they lie: nothing is shuffled. A batch is cut into
 parts of `MOST_TEXTS` texts and `MOST_BYTES` bytes, or of one longer text. A task keeps the
 pieces of the words that it has met of late, `MOST_WORDS` and those of two parts at most. They go
-when it ends: an executor has more workers than tasks, and idle ones would keep theirs.
+when it ends, so that a worker doesn't hold them while it waits or does other work.
 """
 
 from __future__ import annotations
